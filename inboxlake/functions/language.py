@@ -35,23 +35,35 @@ def normalize(text: Column) -> Column:
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
-def votes(normalized: Column) -> dict[str, Column]:
-    """Votes per language over normalized text.
+def bound(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _one_of(members: list[str]):
+    return lambda token: token.isin(members)
+
+
+def votes(normalized: Column) -> Column:
+    """Votes per language over normalized text, as a struct.
 
     A repeated word shares its separating space with its neighbour, so a run of
     n equal words has ceil(n/2) votes: every pair is folded into one word, then
     the text is split once and its tokens looked up in the word sets.
     """
     tokens = F.split(F.regexp_replace(normalized, r" (\S++) \1(?= )", " $1"), " ")
-    result = {}
-    for lang, words in WORDS.items():
-        members = words.split()
-        count = F.size(F.filter(tokens, lambda token, members=members: token.isin(members)))
-        for sequence in SEQUENCES.get(lang, ()):
-            removed = F.length(normalized) - F.length(F.replace(normalized, F.lit(sequence)))
-            count = count + (removed / len(sequence)).cast("int")
-        result[lang] = count
-    return result
+
+    def counted(tokens: Column) -> Column:
+        fields = []
+        for lang, words in WORDS.items():
+            count = F.size(F.filter(tokens, _one_of(words.split())))
+            for sequence in SEQUENCES.get(lang, ()):
+                removed = F.length(normalized) - F.length(F.replace(normalized, F.lit(sequence)))
+                count = count + (removed / len(sequence)).cast("int")
+            fields.append(count.alias(lang))
+        return F.struct(*fields)
+
+    return bound(tokens, counted)
 
 
 def brand_language(brand: Column, brand_langs: dict[str, str] = BRAND_LANGS) -> Column:
@@ -61,22 +73,16 @@ def brand_language(brand: Column, brand_langs: dict[str, str] = BRAND_LANGS) ->
     return result.otherwise(DEFAULT_LANG)
 
 
-def winner(counts: dict[str, Column], default: Column) -> Column:
+def winner(counts: Column, default: Column) -> Column:
     """The language with strictly most votes and at least two, else the default."""
     result = F
-    for lang, count in counts.items():
-        others = [other for name, other in counts.items() if name != lang]
-        result = result.when((count >= 2) & (count > F.greatest(*others)), lang)
+    for lang in WORDS:
+        others = [counts[other] for other in WORDS if other != lang]
+        result = result.when((counts[lang] >= 2) & (counts[lang] > F.greatest(*others)), lang)
     return result.otherwise(default)
 
 
-def with_language(df, text: str, brand: str, name: str = "lang", brand_langs: dict[str, str] = BRAND_LANGS):
-    """Add a language column. Votes go through a struct so that each is computed once per row."""
-    counted = df.withColumn("_votes", F.struct(*[c.alias(k) for k, c in votes(normalize(F.col(text))).items()]))
-    counts = {lang: F.col("_votes")[lang] for lang in WORDS}
-    return counted.withColumn(name, winner(counts, brand_language(F.col(brand), brand_langs))).drop("_votes")
-
-
 def detect_language(text: Column, brand: Column, brand_langs: dict[str, str] = BRAND_LANGS) -> Column:
-    """The same as one Column, for use inside any select."""
-    return winner(votes(normalize(text)), brand_language(brand, brand_langs))
+    """Language of a text as one Column; text and votes are bound, so each is worked out once per row."""
+    default = brand_language(brand, brand_langs)
+    return bound(bound(normalize(text), votes), lambda counts: winner(counts, default))

@@ -2,6 +2,11 @@
 
 ``requests`` (author_id, brand or NULL for all brands) says for whom; every
 section has one or more rows per request and carries its ``request_key``.
+
+Joins here are of two kinds. Where both sides come straight from a shuffle the
+join is a plain one: adaptive execution splits a hot key on either side. Where
+one side is grouped or ranked by the join key first it cannot, and the shared
+e-mail addresses are split by ``skew_join``.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from inboxlake.constants import EMAIL_IN_TEXT, INBOUND, PAID_STATUSES, TOP_ACCES
 from inboxlake.functions.text import instant
 from inboxlake.operators.skew import newest, skew_join, with_position
 
+ITEM = ["brand", "title", "bucket", "file", "product_id", "position"]
 FILE_ROWS = 1_000  # entries of one section in one row of the file
 
 
@@ -28,7 +34,9 @@ def _by_author(keyed: DataFrame, author: str = "author_id") -> DataFrame:
 def newest_state(keyed: DataFrame, case_state: DataFrame) -> DataFrame:
     """The newest case state of the conversation, in the asked brand if one is asked."""
     wanted = keyed.select(F.col("author_id").alias("conversation_id"), "request_key", F.col("brand").alias("_asked"))
-    rows = skew_join(case_state, wanted, ["conversation_id"], spread=["id"])
+    # one row per brand is enough: a conversation with very many states is reduced before the join
+    rows = newest(case_state, ["conversation_id", "brand"], "updated_at", ["id"]).drop("rank")
+    rows = rows.join(wanted, "conversation_id")
     rows = rows.filter(F.col("_asked").isNull() | (F.col("_asked") == F.col("brand"))).drop("_asked")
     return newest(rows, ["request_key"], "updated_at", ["id"]).drop("rank")
 
@@ -41,12 +49,13 @@ def emails_in_text(messages: DataFrame) -> DataFrame:
 
 
 def known_emails(keyed: DataFrame, states: DataFrame, refunds: DataFrame, messages: DataFrame) -> DataFrame:
-    """(request, e-mail): from the newest state, from refunds and from inbound texts; lower case, not blank."""
+    """(request, author, e-mail): from the newest state, from refunds and from inbound texts; lower case, not blank."""
     written = emails_in_text(messages).select("author_id", F.lower("email").alias("email"))
     refunded = refunds.filter(F.col("author_id").isNotNull()).select("author_id", F.lower("email").alias("email"))
     of_author = written.unionByName(refunded).distinct()
-    of_request = skew_join(of_author, _by_author(keyed), ["author_id"], spread=["email"]).select("request_key", "email")
-    given = states.select("request_key", F.lower("given_email").alias("email"))
+    of_request = of_author.join(_by_author(keyed), "author_id").select("request_key", "author_id", "email")
+    author = F.col("conversation_id").alias("author_id")
+    given = states.select("request_key", author, F.lower("given_email").alias("email"))
     return of_request.unionByName(given).filter(F.trim("email") != "").distinct()
 
 
@@ -75,32 +84,24 @@ def customer_purchases(emails: DataFrame, purchases: DataFrame) -> DataFrame:
         F.try_variant_get(raw, "$.data.purchase.payment.type", "string").alias("payment"),
         F.coalesce(checkout, address).alias("country"),
     )
-    joined = skew_join(
-        bought, _by_email(emails), ["email_key"], spread=["transaction"], spread_right=["request_key"]
-    )
-    return joined.drop("email_key")
+    return bought.join(_by_email(emails), "email_key").drop("email_key")
 
 
 def entitlements(bought: DataFrame, items: DataFrame) -> DataFrame:
     """Active items unlocked by a product that was paid for, each once per request."""
     paid = bought.filter(F.col("paid")).select("request_key", "product_id").distinct()
     unlocks = items.filter(F.col("active")).select(
-        F.explode(F.array_distinct("unlocked_by")).alias("product_id"), F.col("id").alias("item_id")
-    )
-    rights = skew_join(paid, unlocks, ["product_id"], spread=["request_key"])
-    rights = rights.select("request_key", "item_id").distinct()
-    catalogue = items.filter(F.col("active")).select(
-        F.col("id").alias("item_id"), "brand", "title", "bucket", "file", "product_id", "position"
+        F.explode(F.array_distinct("unlocked_by")).alias("unlocking_id"), F.col("id").alias("item_id"), *ITEM
     )
-    return skew_join(rights, catalogue, ["item_id"], spread=["request_key"])
+    rights = paid.withColumnRenamed("product_id", "unlocking_id").join(unlocks, "unlocking_id")
+    return rights.drop("unlocking_id").distinct()
 
 
 def last_downloads(emails: DataFrame, accesses: DataFrame) -> DataFrame:
     """Newest download of each file under any known e-mail."""
     downloads = accesses.filter((F.col("event") == "download") & F.col("file").isNotNull())
     per_email = downloads.groupBy(F.lower("email").alias("email_key"), "file").agg(F.max("created_at").alias("at"))
-    joined = skew_join(per_email, _by_email(emails), ["email_key"], spread=["file"], spread_right=["request_key"])
-    return joined.groupBy("request_key", "file").agg(F.max("at").alias("downloaded_at"))
+    return per_email.join(_by_email(emails), "email_key").groupBy("request_key", "file").agg(F.max("at").alias("downloaded_at"))
 
 
 def customer_items(bought: DataFrame, emails: DataFrame, items: DataFrame, accesses: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def customer_accesses(emails: DataFrame, accesses: DataFrame, k: int = TOP_ACCES
     tie = ["event", "file", "email"]
     keyed = accesses.withColumn("email_key", F.lower("email"))
     per_email = newest(keyed, ["email_key"], "created_at", tie, k).drop("rank")
-    joined = skew_join(per_email, _by_email(emails), ["email_key"], spread=["created_at"], spread_right=["request_key"])
+    joined = skew_join(_by_email(emails), per_email, ["email_key"], spread=["request_key"])
     return newest(joined, ["request_key"], "created_at", tie, k).drop("email_key")
 
 
@@ -131,36 +132,34 @@ def access_counts(keyed: DataFrame, emails: DataFrame, accesses: DataFrame) -> D
     return keyed.select("request_key").join(counts, "request_key", "left").fillna(0, ["n_logins", "n_downloads"])
 
 
-def _by_author_or_email(keyed: DataFrame, emails: DataFrame, rows: DataFrame, email: str, spread: str) -> DataFrame:
+def _by_author_or_email(keyed: DataFrame, emails: DataFrame, rows: DataFrame, email: str) -> DataFrame:
     """Rows that name the author, and rows under a known e-mail that do not: two disjoint equi joins."""
-    named = skew_join(rows, _by_author(keyed), ["author_id"], spread=[spread])
+    named = rows.join(_by_author(keyed), "author_id")
     with_email = rows.withColumn("email_key", F.lower(email)).filter(F.col("email_key").isNotNull())
-    wanted = _by_email(emails).join(keyed.select("request_key", F.col("author_id").alias("_asked")), "request_key")
-    mailed = skew_join(with_email, wanted, ["email_key"], spread=[spread], spread_right=["request_key"])
+    wanted = emails.select("request_key", F.col("email").alias("email_key"), F.col("author_id").alias("_asked"))
+    mailed = with_email.join(wanted, "email_key")
     mailed = mailed.filter(~F.col("author_id").eqNullSafe(F.col("_asked"))).drop("_asked", "email_key")
     return named.unionByName(mailed)
 
 
 def customer_refunds(keyed: DataFrame, emails: DataFrame, refunds: DataFrame) -> DataFrame:
-    return _by_author_or_email(keyed, emails, refunds, "email", "id")
+    return _by_author_or_email(keyed, emails, refunds, "email")
 
 
 def customer_deliveries(keyed: DataFrame, emails: DataFrame, deliveries: DataFrame) -> DataFrame:
-    return _by_author_or_email(keyed, emails, deliveries, "to_address", "id")
+    return _by_author_or_email(keyed, emails, deliveries, "to_address")
 
 
 def customer_checks(keyed: DataFrame, purchase_checks: DataFrame) -> DataFrame:
     """Purchase checks of the conversation, without the raw answer."""
     checks = purchase_checks.drop("api_response")
-    return skew_join(
-        checks, _by_author(keyed, "conversation_id"), ["conversation_id"], spread=["created_at", "email_checked"]
-    )
+    return checks.join(_by_author(keyed, "conversation_id"), "conversation_id")
 
 
 def reply_refs(keyed: DataFrame, messages: DataFrame) -> DataFrame:
     """(request, ref): the author and every message id of the author."""
     own = messages.filter(F.col("message_id").isNotNull()).select("author_id", F.col("message_id").alias("ref"))
-    of_messages = skew_join(own, _by_author(keyed), ["author_id"], spread=["ref"]).select("request_key", "ref")
+    of_messages = own.join(_by_author(keyed), "author_id").select("request_key", "ref")
     return of_messages.unionByName(keyed.select("request_key", F.col("author_id").alias("ref"))).distinct()
 
 
@@ -170,7 +169,7 @@ def customer_queue(refs: DataFrame, reply_queue: DataFrame, k: int = TOP_QUEUE)
 
 
 def customer_pending(refs: DataFrame, pending_replies: DataFrame) -> DataFrame:
-    return skew_join(pending_replies, refs, ["ref"], spread=["created_at", "text"])
+    return pending_replies.join(refs, "ref")
 
 
 def customer_pause(keyed: DataFrame, pauses: DataFrame) -> DataFrame:
@@ -254,7 +253,7 @@ def customer_file(keyed: DataFrame, parts: dict[str, DataFrame], as_of, file_row
     stacked = [
         _section(parts["state"], "state", [F.lit("")]),
         _section(parts["pause"], "pause", [F.lit("")]),
-        _section(parts["emails"], "emails", [at("email")]),
+        _section(parts["emails"], "emails", [at("email")], ("author_id",)),
         _section(
             parts["purchases"],
             "purchases",

@@ -9,7 +9,7 @@ from inboxlake.constants import BRAND_LANGS, BRAND_NAMES, EMAIL_SHAPE, MAIL_TEXT
 from inboxlake.functions.language import brand_language
 from inboxlake.functions.text import by_value, escape_html, first_name, public_url, trim_all
 from inboxlake.operators.customer import sort_number, sort_text
-from inboxlake.operators.skew import skew_join, with_position
+from inboxlake.operators.skew import with_position
 
 MAIL_LINKS = 1_000  # links in one message
 ITEM = ["brand", "title", "bucket", "file", "position"]
@@ -29,10 +29,8 @@ def requested_items(requests: DataFrame, items: DataFrame) -> DataFrame:
     asked = requests.select("request_key", "brand", F.explode("products").alias("product")).filter(F.col("product") > 0)
     active = items.filter("active")
     products = F.array_distinct(F.concat(F.array("product_id"), F.coalesce("unlocked_by", F.array().cast("array<bigint>"))))
-    offered = active.select("brand", F.explode(products).alias("product"), F.col("id").alias("item_id"))
-    pairs = skew_join(asked.distinct(), offered, ["brand", "product"], spread=["request_key"])
-    catalogue = active.select(F.col("id").alias("item_id"), *ITEM)
-    return skew_join(pairs.select("request_key", "item_id").distinct(), catalogue, ["item_id"], spread=["request_key"])
+    offered = active.select(F.explode(products).alias("product"), F.col("id").alias("item_id"), *ITEM)
+    return asked.distinct().join(offered, ["brand", "product"]).drop("product").distinct()
 
 
 def has_products(products: Column) -> Column:
@@ -61,13 +59,10 @@ def deliverable_items(decisions: DataFrame, rights: DataFrame, items: DataFrame)
     """
     by_list = requested_items(decisions.filter("listed"), items).withColumn("key_id", F.col("item_id"))
     bought = decisions.filter(~F.col("listed") & (F.col("base") == "compra")).select("request_key")
-    by_right = skew_join(
-        rights.select("request_key", "item_id", *ITEM), bought, ["request_key"], "left_semi", spread=["item_id"]
-    ).withColumn("key_id", F.lit(None).cast("long"))
+    by_right = rights.select("request_key", "item_id", *ITEM).join(bought, "request_key", "left_semi")
+    by_right = by_right.withColumn("key_id", F.lit(None).cast("long"))
     manual = decisions.filter(F.col("base") == "confirmacao_manual").select("request_key", "brand")
-    by_hand = skew_join(manual, manual_items(items), ["brand"], spread=["request_key"]).withColumn(
-        "key_id", F.col("item_id")
-    )
+    by_hand = manual.join(manual_items(items), "brand").withColumn("key_id", F.col("item_id"))
     rows = by_list.unionByName(by_right).unionByName(by_hand)
     order = sort_text(F.col("brand"), sort_number(F.col("position")), sort_number(F.col("item_id")))
     placed = with_position(rows.withColumn("_order", order), ["request_key"], "_order")
@@ -77,7 +72,7 @@ def deliverable_items(decisions: DataFrame, rights: DataFrame, items: DataFrame)
 def chosen_items(placed: DataFrame, requests: DataFrame) -> DataFrame:
     """Only the items a request names, by id, or by place where the item came without one."""
     wanted = requests.select("request_key", "item_ids")
-    joined = skew_join(placed, wanted, ["request_key"], spread=["item_id"])
+    joined = placed.join(wanted, "request_key")
     every = F.coalesce(F.size("item_ids"), F.lit(0)) <= 0
     return joined.filter(every | F.array_contains("item_ids", F.coalesce("key_id", "place"))).drop("item_ids")
 

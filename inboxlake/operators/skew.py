@@ -50,31 +50,21 @@ def skew_join(
     how: str = "inner",
     *,
     spread: Sequence[str],
-    spread_right: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi join in which the rows of hot left keys are split over ``salts`` tasks.
 
-    ``spread`` names left columns that tell the rows of one key apart. The few
-    right rows of a hot key are copied to each of its salts; no other row is.
-    With ``spread_right`` hot keys of the right side are split the same way (inner
-    joins only). The result is that of the plain join.
+    For a right side that was grouped or ranked by the same key, where adaptive
+    execution cannot split the join. ``spread`` names left columns that tell the
+    rows of one key apart. The few right rows of a hot key are copied to each of
+    its salts; no other row is. The result is that of the plain join.
     """
     keys = list(on)
     hot = hot_keys(left.select(*keys), keys, hot_rows)
     left = _tagged(left, hot, keys, "_hot").withColumn("_salt", _spread("_hot", keys, spread, salts))
     right = _tagged(right, hot, keys, "_hot").withColumn("_salt", _copies("_hot", salts))
-    left, right = left.drop("_hot"), right.drop("_hot")
-    if spread_right is None:
-        return left.join(right, [*keys, "_salt"], how).drop("_salt")
-    if how != "inner":
-        raise ValueError("spread_right needs an inner join")
-    hot = hot_keys(right.select(*keys), keys, hot_rows)
-    left = _tagged(left, hot, keys, "_hot").withColumn("_salt2", _copies("_hot", salts))
-    right = _tagged(right, hot, keys, "_hot").withColumn("_salt2", _spread("_hot", keys, spread_right, salts))
-    left, right = left.drop("_hot"), right.drop("_hot")
-    return left.join(right, [*keys, "_salt", "_salt2"]).drop("_salt", "_salt2")
+    return left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: str, prefix: int = 9) -> DataFrame:

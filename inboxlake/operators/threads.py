@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inboxlake.constants import INBOUND, LANGUAGE_SAMPLE, OUTBOUND, URGENCY
-from inboxlake.functions.language import with_language
+from inboxlake.functions.language import detect_language
 from inboxlake.functions.text import blank_to_null, elapsed, instant, is_blank
 from inboxlake.operators.skew import HOT_ROWS, newest, skew_join
 
@@ -112,7 +112,7 @@ def language_sample(messages: DataFrame, sample: int = LANGUAGE_SAMPLE) -> DataF
 def with_thread_language(threads: DataFrame, messages: DataFrame) -> DataFrame:
     """Language of the author, with the default of the thread's brand."""
     joined = threads.join(language_sample(messages), "author_id", "left")
-    return with_language(joined, "sample", "brand").drop("sample")
+    return joined.withColumn("lang", detect_language(F.col("sample"), F.col("brand"))).drop("sample")
 
 
 def with_clocks(threads: DataFrame, as_of) -> DataFrame:

@@ -176,7 +176,7 @@ from messages where direction = 'entrada'""",
 select cast(c_custkey as bigint) as seq,
   case cast(c_custkey % 5 as int) when 0 then 'cancel' when 1 then 'state' when 2 then 'pause' when 3 then 'refund' else 'outside' end as kind,
   case when c_custkey % 5 = 0 then cast(2000000000000 + c_custkey as bigint) else null end as target_id,
-  cast(1000000000000000 + (case when c_custkey % 3 = 0 then c_custkey - c_custkey % 2 else c_custkey end)
+  cast(1000000000000000 + (case when c_custkey >= 60 and (c_custkey % 7 = 0 or c_custkey % 13 = 0) then c_custkey - 60 else c_custkey end)
     + (case when c_custkey % 11 = 0 then 900000000 else 0 end) as string) as conversation_id,
   {_brand('c_custkey')} as brand,
   case cast(c_custkey % 5 as int) when 1 then (case when c_custkey % 13 = 0 then 'bogus' else 'resolvido' end)
