@@ -121,7 +121,7 @@ def refund_line(r) -> Column:
 
 def state_line(s) -> Column:
     given = blank_to_null(s["given_email"])
-    mail = F.coalesce(F.concat(F.lit(" · e-mail informado "), mask_email(given)), F.lit(""))
+    mail = F.when(given.isNull(), F.lit("")).otherwise(F.concat(F.lit(" · e-mail informado "), mask_email(given)))
     line = F.concat(_shown(s["state"]), mail, F.lit(" · tentativas "), _shown(s["attempts"]))
     return F.when(s.isNull(), F.lit("nunca entrou")).otherwise(line)
 
@@ -168,7 +168,7 @@ def delivery_summary(deliveries: DataFrame) -> DataFrame:
     """Per request: deliveries, those that went well, and the newest of these."""
     d = F.struct(*deliveries.columns)
     good = is_delivered(d)
-    last = F.max_by(F.when(good, F.struct("created_at", "to_address")), F.when(good, F.struct("created_at", "id")))
+    last = F.max_by(F.when(good, F.struct("created_at", "to_address")), F.when(good, F.struct("created_at", -F.col("id"))))
     grouped = deliveries.groupBy("request_key").agg(
         F.count(F.lit(1)).alias("n_deliveries"), F.count_if(good).alias("n_delivered"), last.alias("_last")
     )

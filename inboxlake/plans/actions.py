@@ -270,7 +270,7 @@ select {FIRST_ID} + seq, 'saida', coalesce(nullif(author, ''), (select max(m.aut
   null, '[respondido à mão por ' || by_whom || '] comentário apagado pela tela: "' || left(coalesce(target_text, ''), 120) || '"'
 from judged j where outcome = 'done'""",
 )
-def _(t):
+def comment_delete(t):
     return _moderated(t, ("delete",))[0].select("id", "direction", "author", "deleted_at", "text")
 
 

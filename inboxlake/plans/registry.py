@@ -31,6 +31,8 @@ def with_tables(sql: str) -> str:
     """The SQL with the derived tables it names in front. It may begin with steps of its own (", x as (...)")."""
     used = [name for name in DERIVATIONS if re.search(rf"\b(from|join)\s+{name}\b", sql)]
     body = sql.strip()
+    if body.startswith("with "):
+        return body
     if not used:
         return ("with " + body[1:]) if body.startswith(",") else body
     return f"with {ctes(*used)}\n{body}"

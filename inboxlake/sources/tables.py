@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # table -> columns, as DDL
@@ -49,3 +52,18 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: int) -> str:
     path = f"{root}/{name}/version={version}"
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder for tables written between jobs: in the folder the cluster shares, else (tests) a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return tempfile.mkdtemp(prefix="inboxlake-")
+    return f"{shared.rstrip('/')}/inboxlake-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` written as a table and read back: computed once, and kept when executors are lost."""
+    path = f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
