@@ -24,6 +24,7 @@ from inboxlake.plans import delivery as delivery_plans
 from inboxlake.functions.language import detect_language
 from inboxlake.operators import actions
 from inboxlake.sources.derived import AS_OF, BASE_TABLES, DERIVATIONS, Inbox
+from inboxlake.sources.tables import workspace
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -54,7 +55,7 @@ def headline(t) -> dict:
         "B07_stuck_cases": lambda: stuck.stuck_cases(t.case_state, t.messages, t.reply_queue, t.purchases, AS_OF),
         "C03_known_emails": lambda: customer_plans.Parts(t).emails,
         "C06_last_download": lambda: customer_plans.customer_items(t),
-        "C15_customer_file": lambda: customer_plans.Parts(t).file(),
+        "C15_customer_file": lambda: customer_plans.Parts(t, folder=workspace(t.spark)).file(),
         "D01_language": lambda: t.messages.select("id", detect_language(F.col("text"), F.col("brand")).alias("lang")),
         "E01_reply_validation": lambda: actions.validate_replies(t.actions_reply, t.messages),
         "E10_comment_delete": lambda: action_plans.comment_delete(t),

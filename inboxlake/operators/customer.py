@@ -209,11 +209,12 @@ def _section(df: DataFrame, name: str, order: list[Column], drop: tuple[str, ...
 
 def sections(
     keyed: DataFrame,
-    messages: DataFrame,
+    states: DataFrame,
+    emails: DataFrame,
+    bought: DataFrame,
+    refs: DataFrame,
     reply_queue: DataFrame,
-    case_state: DataFrame,
     pauses: DataFrame,
-    purchases: DataFrame,
     items: DataFrame,
     accesses: DataFrame,
     refunds: DataFrame,
@@ -221,11 +222,11 @@ def sections(
     pending_replies: DataFrame,
     deliveries: DataFrame,
 ) -> dict[str, DataFrame]:
-    """Every section of the file as flat rows, by name."""
-    states = newest_state(keyed, case_state)
-    emails = known_emails(keyed, states, refunds, messages)
-    bought = customer_purchases(emails, purchases)
-    refs = reply_refs(keyed, messages)
+    """Every section of the file as flat rows, by name.
+
+    ``states``, ``emails``, ``bought`` and ``refs`` are the steps above. Several
+    sections need the e-mails and purchases: write them once (``tables.settled``).
+    """
     return {
         "state": states,
         "pause": customer_pause(keyed, pauses),
@@ -242,7 +243,9 @@ def sections(
     }
 
 
-def customer_file(keyed: DataFrame, parts: dict[str, DataFrame], as_of, file_rows: int = FILE_ROWS) -> DataFrame:
+def customer_file(
+    keyed: DataFrame, parts: dict[str, DataFrame], as_of, file_rows: int = FILE_ROWS, folder: str | None = None
+) -> DataFrame:
     """One nested row per request, with an array per section, empty when there is nothing.
 
     A section longer than ``file_rows`` goes on in further rows (``page`` 1, 2, ...),
@@ -271,7 +274,7 @@ def customer_file(keyed: DataFrame, parts: dict[str, DataFrame], as_of, file_row
     rows = keyed.select("request_key", F.lit("").alias("section"), F.lit("").alias("order"))
     for frame in stacked:
         rows = rows.unionByName(frame, allowMissingColumns=True)
-    rows = with_position(rows, ["request_key", "section"], "order")
+    rows = with_position(rows, ["request_key", "section"], "order", folder=folder)
     rows = rows.withColumn("page", F.floor((F.col("position") - 1) / file_rows))
     listed = ["emails", "purchases", "items", "accesses", "refunds", "checks", "queue", "pending", "deliveries"]
     pages = rows.groupBy("request_key", "page").agg(

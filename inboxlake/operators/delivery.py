@@ -51,22 +51,28 @@ def decide(requests: DataFrame, purchases: DataFrame) -> DataFrame:
     return joined.withColumn("base", base).withColumn("listed", listed)
 
 
-def deliverable_items(decisions: DataFrame, rights: DataFrame, items: DataFrame) -> DataFrame:
+def deliverable_items(
+    decisions: DataFrame, rights: DataFrame, items: DataFrame, folder: str | None = None
+) -> DataFrame:
     """The items of each decided request in order, ``place`` from 0.
 
     From the product list, from the entitlements (these are chosen by place), or
-    the main items of the brand.
+    the main items of the brand, which are put in order once for all requests.
     """
     by_list = requested_items(decisions.filter("listed"), items).withColumn("key_id", F.col("item_id"))
     bought = decisions.filter(~F.col("listed") & (F.col("base") == "compra")).select("request_key")
     by_right = rights.select("request_key", "item_id", *ITEM).join(bought, "request_key", "left_semi")
     by_right = by_right.withColumn("key_id", F.lit(None).cast("long"))
     manual = decisions.filter(F.col("base") == "confirmacao_manual").select("request_key", "brand")
-    by_hand = manual.join(manual_items(items), "brand").withColumn("key_id", F.col("item_id"))
-    rows = by_list.unionByName(by_right).unionByName(by_hand)
-    order = sort_text(F.col("brand"), sort_number(F.col("position")), sort_number(F.col("item_id")))
-    placed = with_position(rows.withColumn("_order", order), ["request_key"], "_order")
-    return placed.withColumn("place", F.col("position") - 1).drop("_order")
+
+    def in_order(rows: DataFrame, key: str, folder: str | None) -> DataFrame:
+        order = sort_text(F.col("brand"), sort_number(F.col("position")), sort_number(F.col("item_id")))
+        placed = with_position(rows.withColumn("_order", order), [key], "_order", folder=folder)
+        return placed.withColumn("place", F.col("position") - 1).drop("_order", "position")
+
+    by_hand = manual.join(in_order(manual_items(items), "brand", None), "brand")
+    placed = in_order(by_list.unionByName(by_right), "request_key", folder)
+    return placed.unionByName(by_hand.withColumn("key_id", F.col("item_id")))
 
 
 def chosen_items(placed: DataFrame, requests: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from inboxlake.sources.tables import settled
+
 HOT_ROWS = 500_000  # rows of one key from which it is split
 HOT_KEYS = 1_000  # most keys that are split; bounds what is broadcast
 SALTS = 256
@@ -67,14 +69,19 @@ def skew_join(
     return left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: str, prefix: int = 9) -> DataFrame:
+def with_position(
+    df: DataFrame, keys: Sequence[str], order: str, prefix: int = 9, folder: str | None = None
+) -> DataFrame:
     """Position from 1 of each row within its key, by the ascending string column ``order``.
 
     Rows with the same first ``prefix`` characters of ``order`` are a bucket. They
     are numbered inside (key, bucket) and moved by the rows of the buckets before,
-    so that no task sorts a whole key.
+    so that no task sorts a whole key. The rows are needed twice: with a
+    ``folder`` they are written there first instead of worked out twice.
     """
     keys = list(keys)
+    if folder is not None:
+        df = settled(df, folder, f"unnumbered-{order}")
     bucketed = df.withColumn("_bucket", F.left(order, F.lit(prefix)))
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

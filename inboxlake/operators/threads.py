@@ -39,12 +39,16 @@ def queue_sends(reply_queue: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def thread_rollup(recent_messages: DataFrame) -> DataFrame:
-    """One row per thread: largest author name, newest inbound, newest outbound."""
+    """One row per thread: largest author name, newest inbound with its text, newest outbound.
+
+    Texts are reduced to one per thread before the shuffle.
+    """
     inbound, outbound = F.col("direction") == INBOUND, F.col("direction") == OUTBOUND
     return recent_messages.groupBy(*THREAD).agg(
         F.max(blank_to_null(F.col("author"))).alias("author"),
         F.max(F.when(inbound, F.col("created_at"))).alias("last_in"),
         F.max(F.when(outbound, F.col("created_at"))).alias("last_message_out"),
+        F.max_by(F.struct("text", "message_id"), F.when(inbound, F.struct("created_at", "id"))).alias("newest"),
     )
 
 
@@ -62,24 +66,21 @@ def unanswered(threads: DataFrame) -> DataFrame:
 def waiting(recent_messages: DataFrame, threads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """What waits in each unanswered thread: since when, how many, media, categories, newest text.
 
-    One pass over the inbound messages after the last outbound. The newest
-    inbound of an unanswered thread is among them. Threads without brand or
-    channel match nothing and keep empty values.
+    One pass over the inbound messages after the last outbound, without their
+    texts. Threads without brand or channel match nothing and keep empty values.
     """
     inbound = recent_messages.filter(F.col("direction") == INBOUND).select(
-        *THREAD, "id", "created_at", "text", "category", "message_id"
+        *THREAD, "id", "created_at", is_blank(F.col("text")).alias("is_media"), "category"
     )
-    bounds = threads.select(*THREAD, "last_in", "last_out")
+    bounds = threads.select(*THREAD, "last_out")
     open_rows = skew_join(inbound, bounds, THREAD, spread=["id"], hot_rows=hot_rows).filter(
         F.col("created_at") > F.col("last_out")
     )
-    is_newest = F.col("created_at") == F.col("last_in")
     summary = open_rows.groupBy(*THREAD).agg(
         F.min("created_at").alias("waiting_since"),
         F.count(F.lit(1)).alias("n_unanswered"),
-        F.count(F.when(is_blank(F.col("text")), 1)).alias("n_media"),
+        F.count_if("is_media").alias("n_media"),
         F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("categories"),
-        F.max_by(F.when(is_newest, F.struct("text", "message_id")), F.when(is_newest, F.col("id"))).alias("_newest"),
     )
     found = summary.select(
         *THREAD,
@@ -87,14 +88,17 @@ def waiting(recent_messages: DataFrame, threads: DataFrame, hot_rows: int = HOT_
         "n_unanswered",
         "n_media",
         blank_to_null(F.col("categories")).alias("categories"),
-        F.col("_newest.text").alias("last_text"),
-        F.col("_newest.message_id").alias("last_message_id"),
     )
     none = F.lit(0).cast("long")
+    matched = F.col("brand").isNotNull() & F.col("channel").isNotNull()
     return (
         threads.join(found, THREAD, "left")
         .withColumn("n_unanswered", F.coalesce("n_unanswered", none))
         .withColumn("n_media", F.coalesce("n_media", none))
+        # the texts of threads without brand or channel are not looked up either
+        .withColumn("last_text", F.when(matched, F.col("newest.text")))
+        .withColumn("last_message_id", F.when(matched, F.col("newest.message_id")))
+        .drop("newest")
     )
 
 

@@ -8,6 +8,7 @@ from inboxlake.constants import BRAND_LANGS, BRAND_NAMES, DEFAULT_LANG, MAIL_TEX
 from inboxlake.operators import customer, delivery as op
 from inboxlake.plans.customer import ENTITLED, Parts
 from inboxlake.plans.registry import query
+from inboxlake.sources.tables import workspace
 
 BASE_URL = "https://files.example//"
 PUBLIC = ["public files"]
@@ -76,14 +77,14 @@ LANG_SQL = f"case when lang in ('es', 'en', 'pt', 'de', 'it') then lang else {ca
 class Sends(Parts):
     """The steps of a delivery over one inbox."""
 
-    def __init__(self, t):
-        super().__init__(t, t.send_requests)
+    def __init__(self, t, settle=False):
+        super().__init__(t, t.send_requests, workspace(t.spark) if settle else None)
         self.requests = t.send_requests.withColumn("request_key", F.concat_ws("|", "author_id", "brand"))
         self.decided = op.decide(self.requests, self.bought)
 
     def placed(self):
         rights = customer.entitlements(self.bought, self.t.items)
-        return op.deliverable_items(self.decided, rights, self.t.items)
+        return op.deliverable_items(self.decided, rights, self.t.items, self.folder)
 
     def linked(self):
         return op.with_links(op.chosen_items(self.placed(), self.requests), BASE_URL, PUBLIC)
@@ -201,7 +202,7 @@ select request_key, lang, cast(0 as bigint) as part, replace(subject_t, '{{marca
 from worded""",
 )
 def rendered(t):
-    s = Sends(t)
+    s = Sends(t, settle=True)
     mails = op.rendered(s.addressed(), s.linked())
     return mails.select("request_key", "lang", "part", "subject", F.array_join("files", ", ").alias("files"), "plain", "html")
 
