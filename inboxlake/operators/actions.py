@@ -263,7 +263,6 @@ def moderate_comments(
     inbound = messages.filter((F.col("direction") == INBOUND) & F.col("message_id").isNotNull())
     inbound = inbound.join(actions.select(*key).distinct(), key, "left_semi")
     targets = inbound.groupBy(*key).agg(F.min_by(F.struct("id", "deleted_at", "text"), "id").alias("_target"))
-    found = skew_join(actions, targets, key, "left", spread=["seq"])
     # the first good delete of a comment closes it for the actions after it
     deletes = (
         actions.filter((F.col("kind") == "delete") & F.col("brand").isin(*brands) & F.col("channel").isin(*channels))
@@ -271,7 +270,9 @@ def moderate_comments(
         .groupBy(*key)
         .agg(F.min("seq").alias("_deleted_seq"))
     )
-    found = skew_join(found, deletes, key, "left", spread=["seq"])
+    known = targets.join(deletes, key, "left")
+    named = skew_join(actions, author_names(messages), ["author_id"], "left", spread=["seq"])
+    found = skew_join(named, known, key, "left", spread=["seq"], counted=actions)
     gone = F.col("_target.deleted_at").isNotNull() | (F.col("_deleted_seq") < F.col("seq"))
     missing = F.col("message_id").isNull() | F.col("brand").isNull() | F.col("channel").isNull()
     missing = missing | F.col("author_id").isNull()
@@ -313,10 +314,9 @@ def moderate_comments(
         )
         .otherwise(F.concat(F.lit("[à mão por "), "by_whom", F.lit("] comentário reexibido pela tela: "), quoted))
     )
-    named = skew_join(done, author_names(messages), ["author_id"], "left", spread=["seq"])
-    named = named.withColumn("author", F.coalesce(blank_to_null(F.col("author")), F.col("known_name")))
-    records = _outbound_record(named.withColumn("text", audit), as_of, first_id)
-    return updated.unionByName(records), judged.drop("_target", "_deleted_seq")
+    signed = done.withColumn("author", F.coalesce(blank_to_null(F.col("author")), F.col("known_name")))
+    records = _outbound_record(signed.withColumn("text", audit), as_of, first_id)
+    return updated.unionByName(records), judged.drop("_target", "_deleted_seq", "known_name")
 
 
 # --- facts ------------------------------------------------------------------

@@ -52,6 +52,7 @@ def skew_join(
     how: str = "inner",
     *,
     spread: Sequence[str],
+    counted: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -60,10 +61,11 @@ def skew_join(
     For a right side that was grouped or ranked by the same key, where adaptive
     execution cannot split the join. ``spread`` names left columns that tell the
     rows of one key apart. The few right rows of a hot key are copied to each of
-    its salts; no other row is. The result is that of the plain join.
+    its salts; no other row is. The result is that of the plain join. ``counted``
+    is a cheaper frame to find the hot keys in, such as ``left`` before its joins.
     """
     keys = list(on)
-    hot = hot_keys(left.select(*keys), keys, hot_rows)
+    hot = hot_keys((left if counted is None else counted).select(*keys), keys, hot_rows)
     left = _tagged(left, hot, keys, "_hot").withColumn("_salt", _spread("_hot", keys, spread, salts))
     right = _tagged(right, hot, keys, "_hot").withColumn("_salt", _copies("_hot", salts))
     return left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], how).drop("_salt")

@@ -47,8 +47,10 @@ def paid_emails(purchases: DataFrame) -> DataFrame:
     return paid.select(F.lower("email").alias("email_key")).distinct()
 
 
-def with_conversation_facts(cases: DataFrame, facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    joined = skew_join(cases, facts, ["conversation_id"], "left", spread=["id"], hot_rows=hot_rows)
+def with_conversation_facts(
+    cases: DataFrame, facts: DataFrame, counted: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    joined = skew_join(cases, facts, ["conversation_id"], "left", spread=["id"], counted=counted, hot_rows=hot_rows)
     return (
         joined.withColumn("author", F.coalesce(blank_to_null(F.col("author")), F.col("known_name")))
         .withColumn("reply_queued", F.coalesce("reply_queued", F.lit(False)))
@@ -68,8 +70,8 @@ def stuck_cases(
     case_state: DataFrame, messages: DataFrame, reply_queue: DataFrame, purchases: DataFrame, as_of
 ) -> DataFrame:
     """The report, oldest update first."""
-    cases = with_conversation_facts(open_cases(case_state), conversation_facts(messages, reply_queue))
-    cases = with_paid_flag(cases, purchases)
+    cases = with_paid_flag(open_cases(case_state), purchases)
+    cases = with_conversation_facts(cases, conversation_facts(messages, reply_queue), counted=case_state)
     now = instant(as_of)
     return cases.select(
         now.alias("as_of"),

@@ -248,10 +248,15 @@ def queue(
     days: int | None = 7,
     language: bool = True,
 ) -> DataFrame:
-    """The whole queue, unordered; without ``language`` in its first, narrower form."""
+    """The whole queue, unordered; without ``language`` in its first, narrower form.
+
+    The joins go from the full thread key to the author alone, so that the
+    threads are shuffled once per key and not once per join.
+    """
     threads = waiting_threads(messages, reply_queue, as_of, days)
+    threads = with_queued(threads, reply_queue, recent(messages, as_of, days))
+    threads = threads.join(latest_state(case_state), ["author_id", "brand"], "left")
+    threads = with_pause(threads, pauses)
     if language:
         threads = with_thread_language(threads, messages)
-    threads = with_clocks(threads, as_of).join(latest_state(case_state), ["author_id", "brand"], "left")
-    threads = with_queued(with_pause(threads, pauses), reply_queue, recent(messages, as_of, days))
-    return report(with_urgency(threads), as_of, language)
+    return report(with_urgency(with_clocks(threads, as_of)), as_of, language)

@@ -28,6 +28,12 @@ def _author(key: str) -> str:
 
 NOW = f"timestamp '{AS_OF}'"
 
+# the comment an action is about, some of them wrong on purpose
+MODERATED = """case when id % 31 = 0 then 'x' else message_id end as message_id,
+  case when id % 29 = 0 then 'brand_xx' else brand end as brand, case when id % 37 = 0 then 'dm' else channel end as channel,
+  case when id % 41 = 0 then null else author_id end as author_id, case when id % 2 = 0 then author else null end as author, 'agent' as by_whom
+from messages where direction = 'entrada' and channel <> 'dm'"""
+
 DERIVATIONS = {
     "messages": f"""
 select e.event_id as id, {_brand('e.user_id')} as brand,
@@ -238,13 +244,10 @@ select l.doc_id as seq, case when l.toxic = 1 then 'delete' else 'save' end as k
   case when l.doc_id % 4 = 0 then ' ' when l.doc_id % 4 = 1 then null else ' ' || d.source || ' ' end as topic,
   case when l.doc_id % 11 = 0 then '  ' else ' ' || d.text || ' ' end as text, 'agent' as by_whom
 from labels l join documents d on d.doc_id = l.doc_id""",
-    "actions_moderation": """
-select id + r.turn * 3000000000000 as seq,
-  case when r.turn = 1 then 'hide' when id % 3 = 0 then 'delete' when id % 3 = 1 then 'hide' else 'show' end as kind,
-  case when id % 31 = 0 then 'x' else message_id end as message_id, case when id % 29 = 0 then 'brand_xx' else brand end as brand,
-  case when id % 37 = 0 then 'dm' else channel end as channel, case when id % 41 = 0 then null else author_id end as author_id,
-  case when id % 2 = 0 then author else null end as author, 'agent' as by_whom
-from messages, (select 0 as turn union all select 1) r where direction = 'entrada' and channel <> 'dm'""",
+    "actions_moderation": f"""
+select id as seq, case cast(id % 3 as int) when 0 then 'delete' when 1 then 'hide' else 'show' end as kind, {MODERATED}
+union all
+select id + 3000000000000, 'hide', {MODERATED}""",
 }
 
 # table -> tables it is derived from

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
 
 from inboxlake.operators import actions, threads
+from inboxlake.operators.skew import skew_join
 from inboxlake.operators.threads import THREAD
 from inboxlake.sources.tables import SCHEMAS
 
@@ -35,7 +36,8 @@ class Store:
         return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
 
     def write(self, df: DataFrame, name: str, batch: int, key: str) -> None:
-        rows = self.bucketed(df, key).repartition("bucket")
+        # adaptive execution splits a bucket that holds a hot key over several files
+        rows = self.bucketed(df, key).hint("rebalance", "bucket")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch}")
 
     def read(self, name: str, schema: str) -> DataFrame:
@@ -90,7 +92,8 @@ def update_threads(store: Store, events: DataFrame, batch: int, as_of, days: int
         .unionByName(resolved.filter(F.col("batch") == batch).select("bucket", *THREAD))
         .distinct()
     )
-    known = everyone.filter(F.col("batch") <= batch).join(touched, ["bucket", *THREAD], "left_semi")
+    known = everyone.filter(F.col("batch") <= batch)
+    known = skew_join(known, touched, ["bucket", *THREAD], "left_semi", spread=["id"])
     window = threads.recent(known, as_of, days)
     sent = resolved.filter(F.col("batch") <= batch).join(touched, ["bucket", *THREAD], "left_semi")
     open_threads = threads.unanswered(threads.last_outbound(threads.thread_rollup(window), sent.select(*THREAD, "sent_at")))
