@@ -16,7 +16,7 @@ SALTS = 256
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
-    """The keys with at least ``hot_rows`` rows, the ``most`` largest of them.
+    """The keys with at least ``hot_rows`` rows, the ``most`` largest of them, with their count ``_n``.
 
     Counting is partial on the map side, so a hot key costs one row per task.
     The order is total, so every use of the result sees the same keys. Keys left
@@ -24,25 +24,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, most:
     """
     counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.filter(F.col("_n") >= hot_rows)
-    return counts.orderBy(F.col("_n").desc(), *keys).limit(most).select(*keys)
+    return counts.orderBy(F.col("_n").desc(), *keys).limit(most)
 
 
-def _tagged(df: DataFrame, hot: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    marked = df.join(F.broadcast(hot.withColumn(flag, F.lit(True))), list(keys), "left")
-    return marked.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+def _salted(df: DataFrame, hot: DataFrame, keys: Sequence[str], salt: Column) -> DataFrame:
+    return df.join(F.broadcast(hot), list(keys), "left").select(*df.columns, salt.alias("_salt"))
 
 
-def _spread(flag: str, keys: Sequence[str], by: Sequence[str], salts: int) -> Column:
+def _spread(keys: Sequence[str], by: Sequence[str], salts: int) -> Column:
     """Salt of a row to be split. Rows without a key match nothing, so they are split too."""
-    split = F.col(flag)
+    split = F.col("_hot").isNotNull()
     for key in keys:
         split = split | F.col(key).isNull()
     return F.when(split, F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(F.lit(0).cast("long"))
 
 
-def _copies(flag: str, salts: int) -> Column:
+def _copies(salts: int) -> Column:
     every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    return F.explode(F.when(F.col(flag), every).otherwise(F.array(F.lit(0).cast("long"))))
+    return F.explode(F.when(F.col("_hot").isNotNull(), every).otherwise(F.array(F.lit(0).cast("long"))))
 
 
 def skew_join(
@@ -65,10 +64,10 @@ def skew_join(
     is a cheaper frame to find the hot keys in, such as ``left`` before its joins.
     """
     keys = list(on)
-    hot = hot_keys((left if counted is None else counted).select(*keys), keys, hot_rows)
-    left = _tagged(left, hot, keys, "_hot").withColumn("_salt", _spread("_hot", keys, spread, salts))
-    right = _tagged(right, hot, keys, "_hot").withColumn("_salt", _copies("_hot", salts))
-    return left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+    hot = hot_keys(left if counted is None else counted, keys, hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    left = _salted(left, hot, keys, _spread(keys, spread, salts))
+    right = _salted(right, hot, keys, _copies(salts))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def with_position(
@@ -89,12 +88,9 @@ def with_position(
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(order))
-    numbered = bucketed.withColumn("_inside", inside)
-    return (
-        numbered.join(offsets, [*keys, "_bucket"])
-        .withColumn("position", F.col("_inside") + F.col("_before"))
-        .drop("_bucket", "_inside", "_before")
-    )
+    numbered = bucketed.withColumn("_inside", inside).join(offsets, [*keys, "_bucket"])
+    kept = [c for c in df.columns if c != "position"]
+    return numbered.select(*kept, (F.col("_inside") + F.col("_before")).alias("position"))
 
 
 def newest(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], k: int = 1) -> DataFrame:
@@ -105,4 +101,4 @@ def newest(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], k:
     """
     order = [F.col(time).desc_nulls_first(), *[F.col(c).desc_nulls_last() for c in tie]]
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).withColumnRenamed("_rank", "rank")
+    return df.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -56,7 +56,8 @@ def last_outbound(rollup: DataFrame, sends: DataFrame) -> DataFrame:
     """Newest outbound of a thread: a message in the window or a queue send of any time."""
     newest_send = sends.groupBy(*THREAD).agg(F.max("sent_at").alias("_sent"))
     out = F.greatest(F.coalesce("last_message_out", never()), F.coalesce("_sent", never()))
-    return rollup.join(newest_send, THREAD, "left").withColumn("last_out", out).drop("_sent", "last_message_out")
+    kept = [c for c in rollup.columns if c != "last_message_out"]
+    return rollup.join(newest_send, THREAD, "left").select(*kept, out.alias("last_out"))
 
 
 def unanswered(threads: DataFrame) -> DataFrame:
@@ -80,25 +81,19 @@ def waiting(recent_messages: DataFrame, threads: DataFrame, hot_rows: int = HOT_
         F.min("created_at").alias("waiting_since"),
         F.count(F.lit(1)).alias("n_unanswered"),
         F.count_if("is_media").alias("n_media"),
-        F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("categories"),
-    )
-    found = summary.select(
-        *THREAD,
-        "waiting_since",
-        "n_unanswered",
-        "n_media",
-        blank_to_null(F.col("categories")).alias("categories"),
+        blank_to_null(F.array_join(F.array_sort(F.collect_set("category")), ", ")).alias("categories"),
     )
     none = F.lit(0).cast("long")
     matched = F.col("brand").isNotNull() & F.col("channel").isNotNull()
-    return (
-        threads.join(found, THREAD, "left")
-        .withColumn("n_unanswered", F.coalesce("n_unanswered", none))
-        .withColumn("n_media", F.coalesce("n_media", none))
+    return threads.join(summary, THREAD, "left").select(
+        *[c for c in threads.columns if c != "newest"],
+        "waiting_since",
+        F.coalesce("n_unanswered", none).alias("n_unanswered"),
+        F.coalesce("n_media", none).alias("n_media"),
+        "categories",
         # the texts of threads without brand or channel are not looked up either
-        .withColumn("last_text", F.when(matched, F.col("newest.text")))
-        .withColumn("last_message_id", F.when(matched, F.col("newest.message_id")))
-        .drop("newest")
+        F.when(matched, F.col("newest.text")).alias("last_text"),
+        F.when(matched, F.col("newest.message_id")).alias("last_message_id"),
     )
 
 
@@ -122,10 +117,12 @@ def with_thread_language(threads: DataFrame, messages: DataFrame) -> DataFrame:
 def with_clocks(threads: DataFrame, as_of) -> DataFrame:
     """Hours waiting, and hours left of the 24 h and 7 d windows (direct messages only)."""
     now, direct = instant(as_of), F.col("channel") == "dm"
-    return (
-        threads.withColumn("hours_waiting", elapsed(now, F.col("waiting_since"), 3600))
-        .withColumn("window_24h", F.when(direct, elapsed(now, F.col("last_in"), 3600, minus_from=24)))
-        .withColumn("window_7d", F.when(direct, elapsed(now, F.col("last_in"), 3600, minus_from=168)))
+    return threads.withColumns(
+        {
+            "hours_waiting": elapsed(now, F.col("waiting_since"), 3600),
+            "window_24h": F.when(direct, elapsed(now, F.col("last_in"), 3600, minus_from=24)),
+            "window_7d": F.when(direct, elapsed(now, F.col("last_in"), 3600, minus_from=168)),
+        }
     )
 
 
@@ -147,11 +144,11 @@ def with_pause(threads: DataFrame, pauses: DataFrame) -> DataFrame:
     paused = pauses.select(
         F.col("conversation_id").alias("author_id"), F.col("paused_until").alias("_until"), F.col("reason").alias("_reason")
     )
-    return (
-        threads.join(paused, "author_id", "left")
-        .withColumn("paused_until", F.greatest("state_paused_until", "_until"))
-        .withColumn("pause_reason", F.coalesce("_reason", "state_pause_reason"))
-        .drop("_until", "_reason", "state_paused_until", "state_pause_reason")
+    kept = [c for c in threads.columns if c not in ("state_paused_until", "state_pause_reason")]
+    return threads.join(paused, "author_id", "left").select(
+        *kept,
+        F.greatest("state_paused_until", "_until").alias("paused_until"),
+        F.coalesce("_reason", "state_pause_reason").alias("pause_reason"),
     )
 
 
@@ -198,7 +195,7 @@ def with_urgency(threads: DataFrame) -> DataFrame:
     for rule, (level, label) in zip(rules, URGENCY):
         urgency, reason = urgency.when(rule, level), reason.when(rule, label)
     level, label = URGENCY[-1]
-    return threads.withColumn("urgency", urgency.otherwise(level)).withColumn("urgency_reason", reason.otherwise(label))
+    return threads.withColumns({"urgency": urgency.otherwise(level), "urgency_reason": reason.otherwise(label)})
 
 
 def report(threads: DataFrame, as_of, language: bool = True) -> DataFrame:
