@@ -106,3 +106,110 @@ MAIL_TEXTS = {
         "button": "Scarica",
     },
 }
+
+# fixed values: wording of transcripts and of the lines of a file
+WORDS = {
+    "customer": "CLIENTE",
+    "us": "NÓS",
+    "internal": "REGISTRO INTERNO",
+    "media_unknown": "[mídia sem texto: imagem, print ou áudio; conteúdo desconhecido]",
+    "media": "[mídia sem texto]",
+    "empty": "[vazio]",
+    "deleted": " (comentário apagado)",
+    "hidden": " (comentário oculto)",
+    "paid": "PAGA",
+    "never_used": "nunca baixou",
+    "guided": "já recebeu o passo a passo",
+    "not_guided": "AINDA NÃO recebeu o passo a passo",
+    "never_entered": "nunca entrou",
+    "not_paused": "não",
+    "delivered": "entregue pela Resend",
+    "by_bot": "pelo robô",
+    "by_owner": "à mão por {owner}",
+    "no_emails": "nenhum",
+    "no_purchases": "- nenhuma compra encontrada para os e-mails conhecidos",
+    "no_items": "- nenhum (sem compra paga ou sem cadastro)",
+    "no_deliveries": "- nenhum envio registrado por aqui (pode ter recebido só o e-mail automático da Hotmart)",
+    "no_refunds": "nenhum pedido",
+    "no_messages": "(sem mensagens gravadas)",
+    "no_draft": "(vazio)",
+}
+
+# fixed values: forms of the lines
+LINES = {
+    "reply_message": "[{at} · {channel}{category}] {who}: {text}",
+    "summary_message": "[{at} {channel}{category}] {who}: {text}{removed}",
+    "purchase": "- {status} · {product} · {amount} {currency} · transação {transaction} · {day} · e-mail {email}{payment}",
+    "item": "- {title} ({brand}) · {used}",
+    "used": "baixou em {day}",
+    "refund": "pedido em {day} · {transactions} · motivo: {reason} · {guided}",
+    "state": "{state}{email} · tentativas {attempts}",
+    "state_email": " · e-mail informado {email}",
+    "pause": "até {until} ({reason})",
+    "delivery": "- {day} · para {to} · {n} arquivo(s): {files} · {result} · enviado {by}",
+    "more_files": "{first} e mais {n}",
+    "failed": "FALHOU: {result}",
+    "correction": "- {rule_mark}{asked}{rule}{pair}",
+    "rule_mark": "[REGRA] ",
+    "asked": 'ele pediu: "{instruction}"',
+    "rule": " → regra: {rule}",
+    "pair": "\n    antes: {before}\n    depois: {after}",
+    "fact": "- [{topic}] {text}",
+}
+
+# fixed values: the case text
+CHANNEL_TEXTS = {
+    "dm": "DM (mensagem direta)",
+    "comentario_publico": "COMENTÁRIO PÚBLICO (3 linhas, sem link, outros leem)",
+}
+PRIVATE_TEXT = "RESPOSTA PRIVADA ao comentário (chega como DM)"
+CASE_TEXT = """CASO
+- Marca: {brand}
+- Canal da resposta: {channel}
+- Idioma do cliente (detectado): {lang}
+- Situação: {situation}{window}
+- Categorias detectadas pelo bot: {categories}
+{target}
+FICHA
+- E-mails conhecidos (mascarados): {emails}
+- Compras ({n_paid} paga(s) de {n_purchases}):
+{purchases}
+- Arquivos a que tem direito:
+{items}
+- ENTREGAS JÁ FEITAS por e-mail ({n_delivered} entregue(s) de {n_deliveries} tentativa(s)):
+{deliveries}
+{last}
+- Logins na biblioteca antiga: {n_logins} · downloads: {n_downloads}
+- Estado no fluxo automático: {state}
+- Bot pausado: {pause}
+- Reembolso: {refunds}"""
+CASE_TARGET = "- Comentário que está sendo respondido: {target}\n"
+CASE_LAST = (
+    "- RESUMO PARA USAR NA RESPOSTA: os arquivos foram enviados em {day} para {to}. "
+    "Se ele disser que não recebeu, é este dia e este e-mail que você cita (regra 15)."
+)
+CASE_NO_LAST = (
+    "- Nenhuma entrega registrada: se ele tem compra paga e diz que não recebeu, o caminho é reenviar, não citar data."
+)
+CASE_TALK = "\n\nCONVERSA (cronológica, últimas {n})\n{transcript}\n"
+CASE_WRITE = "\nEscreva a resposta para este caso."
+CASE_IMPROVE = (
+    "\nRASCUNHO ATUAL (o que está na caixa de resposta):\n{draft}\n\n"
+    'INSTRUÇÃO DE {owner} (ditada ou escrita, pode estar informal):\n"{instruction}"\n'
+)
+
+# fixed values: records of actions
+RECORDS = {
+    "origin": "tela:{by}",
+    "pause": "humano atendendo pela tela ({by})",
+    "refund": "registrado pela tela por {by}",
+    "outside": "[respondido à mão no Instagram por {by}]{note}",
+    "delete": '[respondido à mão por {by}] comentário apagado pela tela: "{text}"',
+    "hide": '[à mão por {by}] comentário ocultado pela tela: "{text}"',
+    "show": '[à mão por {by}] comentário reexibido pela tela: "{text}"',
+    "links": "links de arquivos liberados por confirmação manual: {reason}",
+    "mail": "e-mail com arquivos enviado por confirmação manual: {reason}",
+    "no_email": "(sem e-mail)",
+    "default_topic": "geral",
+    "not_json": "A IA não devolveu JSON; texto bruto acima.",
+}

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def filled(form: str, **values: Column) -> Column:
+    """A text form with its ``{names}`` replaced by columns; NULL when one of them is."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(form):
+        parts += [F.lit(text)] if text else []
+        parts += [values[name]] if name else []
+    return F.concat(*parts)
+
+
 def trim_all(c: Column) -> Column:
     """Strip every kind of white space at both ends (``F.trim`` strips spaces only)."""
     return F.regexp_replace(c, r"(?U)^[\s﻿]+|[\s﻿]+$", "")

@@ -23,11 +23,12 @@ from inboxlake.constants import (
     PUBLIC_LINK,
     PUBLIC_MAX_LINES,
     REASON_SOURCES,
+    RECORDS,
     REPLY_BRANDS,
     REPLY_CHANNELS,
     REPLY_MAX_CHARS,
 )
-from inboxlake.functions.text import blank_to_null, instant, trim_all
+from inboxlake.functions.text import blank_to_null, filled, instant, trim_all
 from inboxlake.operators.skew import newest, skew_join
 
 
@@ -79,7 +80,7 @@ def upsert_replies(reply_queue: DataFrame, accepted: DataFrame, as_of, first_id:
         "seq",
         F.col("brand").alias("new_brand"),
         F.col("text").alias("new_text"),
-        F.concat(F.lit("tela:"), "by_whom").alias("new_origin"),
+        filled(RECORDS["origin"], by=F.col("by_whom")).alias("new_origin"),
     )
     first = accepted.groupBy("channel", "ref").agg(F.min("seq").alias("first_seq"))
     joined = reply_queue.join(last.join(first, ["channel", "ref"]), ["channel", "ref"], "full")
@@ -170,7 +171,7 @@ def set_pauses(pauses: DataFrame, actions: DataFrame, as_of) -> DataFrame:
         F.col("ended_seq").isNull() | (F.col("named.seq") > F.col("ended_seq"))
     )
     author = F.when(fresh, F.col("named.author")).when(F.col("ended_seq").isNull(), F.col("old_author"))
-    reason = F.concat(F.lit("humano atendendo pela tela ("), F.col("last.by_whom"), F.lit(")"))
+    reason = filled(RECORDS["pause"], by=F.col("last.by_whom"))
     kept = joined.filter(~changed | ~F.col("last.ended"))
     return kept.select(
         "conversation_id",
@@ -188,7 +189,7 @@ def register_refunds(actions: DataFrame, as_of, first_id: int) -> tuple[DataFram
     """New refund rows and the rejected actions (unknown source of the reason)."""
     checked = actions.withColumn("error", F.when(~F.col("reason_source").isin(*REASON_SOURCES), "reason_source"))
     accepted, rejected = split_valid(checked)
-    signed = F.concat(F.lit("registrado pela tela por "), "by_whom")
+    signed = filled(RECORDS["refund"], by=F.col("by_whom"))
     rows = accepted.select(
         (F.lit(first_id) + F.col("seq")).alias("id"),
         "brand",
@@ -241,9 +242,8 @@ def answered_outside(messages: DataFrame, actions: DataFrame, as_of, first_id: i
     accepted, rejected = split_valid(checked)
     note = F.coalesce(F.concat(F.lit(" "), blank_to_null(F.col("note"))), F.lit(""))
     named = skew_join(accepted, author_names(messages), ["author_id"], "left", spread=["seq"])
-    rows = named.withColumn("author", F.col("known_name")).withColumn(
-        "text", F.concat(F.lit("[respondido à mão no Instagram por "), "by_whom", F.lit("]"), note)
-    )
+    text = filled(RECORDS["outside"], by=F.col("by_whom"), note=note)
+    rows = named.withColumns({"author": F.col("known_name"), "text": text})
     return _outbound_record(rows, as_of, first_id), rejected
 
 
@@ -302,18 +302,10 @@ def moderate_comments(
         )
         .drop("_delete", "_visible")
     )
-    quoted = F.concat(F.lit('"'), F.substring(F.coalesce("_target.text", F.lit("")), 1, 120), F.lit('"'))
-    audit = (
-        F.when(
-            F.col("kind") == "delete",
-            F.concat(F.lit("[respondido à mão por "), "by_whom", F.lit("] comentário apagado pela tela: "), quoted),
-        )
-        .when(
-            F.col("kind") == "hide",
-            F.concat(F.lit("[à mão por "), "by_whom", F.lit("] comentário ocultado pela tela: "), quoted),
-        )
-        .otherwise(F.concat(F.lit("[à mão por "), "by_whom", F.lit("] comentário reexibido pela tela: "), quoted))
-    )
+    start = F.substring(F.coalesce("_target.text", F.lit("")), 1, 120)
+    audit = F
+    for kind in ("delete", "hide", "show"):
+        audit = audit.when(F.col("kind") == kind, filled(RECORDS[kind], by=F.col("by_whom"), text=start))
     signed = done.withColumn("author", F.coalesce(blank_to_null(F.col("author")), F.col("known_name")))
     records = _outbound_record(signed.withColumn("text", audit), as_of, first_id)
     return updated.unionByName(records), judged.drop("_target", "_deleted_seq", "known_name")
@@ -332,7 +324,7 @@ def save_facts(facts: DataFrame, actions: DataFrame, as_of, first_id: int) -> tu
     accepted, rejected = split_valid(checked)
     added = accepted.filter(F.col("target_id").isNull()).select(
         (F.lit(first_id) + F.col("seq")).alias("id"),
-        F.coalesce("topic", F.lit("geral")).alias("topic"),
+        F.coalesce("topic", F.lit(RECORDS["default_topic"])).alias("topic"),
         "text",
         F.lit(True).alias("active"),
         instant(as_of).alias("updated_at"),
@@ -383,20 +375,16 @@ def delete_facts(facts: DataFrame, actions: DataFrame, as_of) -> tuple[DataFrame
 
 def manual_approvals(decisions: DataFrame, as_of, channel: str = "links") -> DataFrame:
     """Audit rows of deliveries made without a paid purchase (``decisions`` of ``delivery.decide``)."""
-    what = {
-        "links": "links de arquivos liberados por confirmação manual: ",
-        "mail": "e-mail com arquivos enviado por confirmação manual: ",
-    }[channel]
     manual = decisions.filter(F.col("base") == "confirmacao_manual")
     return manual.select(
         "brand",
         F.col("author_id").alias("conversation_id"),
         F.lit(None).cast("string").alias("author"),
-        F.coalesce("email", F.lit("(sem e-mail)")).alias("email_checked"),
+        F.coalesce("email", F.lit(RECORDS["no_email"])).alias("email_checked"),
         F.lit("tela").alias("origin"),
         F.lit("confianca_manual").alias("result"),
         F.lit(0).alias("n_found"),
-        F.concat(F.lit(what), trim_all(F.col("justification"))).alias("action_taken"),
+        filled(RECORDS[channel], reason=trim_all(F.col("justification"))).alias("action_taken"),
         F.col("by_whom").alias("decided_by"),
         F.lit(True).alias("approved"),
         instant(as_of).alias("created_at"),

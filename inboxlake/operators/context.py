@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from inboxlake.constants import (
+    CASE_IMPROVE,
+    CASE_LAST,
+    CASE_NO_LAST,
+    CASE_TALK,
+    CASE_TARGET,
+    CASE_TEXT,
+    CASE_WRITE,
+    CHANNEL_TEXTS,
     CORRECTIONS_KEPT,
     CORRECTIONS_READ,
     INBOUND,
+    LINES,
+    PRIVATE_TEXT,
     TRANSCRIPT_LONG,
     TRANSCRIPT_SHORT,
     TRANSLATION_BATCH,
     TRANSLATION_CHARS,
+    WORDS,
 )
-from inboxlake.functions.text import blank_to_null, is_blank, json_object_in, mask_email, stamp, trim_all
+from inboxlake.functions.text import blank_to_null, by_value, filled, is_blank, json_object_in, mask_email, stamp, trim_all
 from inboxlake.operators.skew import newest, skew_join
 
 DAY = "yyyy-MM-dd"
+HOT_PAGES = 1_000
 
 
 def _opt(prefix: str, c: Column) -> Column:
@@ -33,33 +44,37 @@ def _shown(c: Column) -> Column:
 # --- transcripts ------------------------------------------------------------
 
 
+def _said(m) -> Column:
+    return blank_to_null(trim_all(F.coalesce(m["text"], F.lit(""))))
+
+
 def reply_line(m) -> Column:
     """A message as the one who answers sees it."""
     inbound = m["direction"] == INBOUND
-    empty = F.when(
-        inbound, F.lit("[mídia sem texto: imagem, print ou áudio; conteúdo desconhecido]")
-    ).otherwise(F.lit("[vazio]"))
-    text = F.coalesce(blank_to_null(trim_all(F.coalesce(m["text"], F.lit("")))), empty)
-    who = F.when(inbound, F.lit("CLIENTE")).otherwise(F.lit("NÓS"))
-    head = F.concat(stamp(m["created_at"], "yyyy-MM-dd HH:mm"), F.lit(" · "), m["channel"], _opt(" · ", m["category"]))
-    return F.concat(F.lit("["), head, F.lit("] "), who, F.lit(": "), text)
+    return filled(
+        LINES["reply_message"],
+        at=stamp(m["created_at"], "yyyy-MM-dd HH:mm"),
+        channel=m["channel"],
+        category=_opt(" · ", m["category"]),
+        who=F.when(inbound, WORDS["customer"]).otherwise(WORDS["us"]),
+        text=F.coalesce(_said(m), F.when(inbound, WORDS["media_unknown"]).otherwise(WORDS["empty"])),
+    )
 
 
 def summary_line(m) -> Column:
     """A message as the summary sees it: internal notes and removed comments are told apart."""
-    text = F.coalesce(blank_to_null(trim_all(F.coalesce(m["text"], F.lit("")))), F.lit("[mídia sem texto]"))
-    who = (
-        F.when(m["direction"] == INBOUND, F.lit("CLIENTE"))
-        .when(F.startswith(F.coalesce(m["text"], F.lit("")), F.lit("[")), F.lit("REGISTRO INTERNO"))
-        .otherwise(F.lit("NÓS"))
-    )
-    removed = (
-        F.when(m["deleted_at"].isNotNull(), F.lit(" (comentário apagado)"))
-        .when(m["hidden_at"].isNotNull(), F.lit(" (comentário oculto)"))
-        .otherwise(F.lit(""))
+    note = F.startswith(F.coalesce(m["text"], F.lit("")), F.lit("["))
+    return filled(
+        LINES["summary_message"],
+        at=stamp(m["created_at"], "MM-dd HH:mm"),
+        channel=m["channel"],
+        category=_opt(" ", m["category"]),
+        who=F.when(m["direction"] == INBOUND, WORDS["customer"]).when(note, WORDS["internal"]).otherwise(WORDS["us"]),
+        text=F.coalesce(_said(m), F.lit(WORDS["media"])),
+        removed=F.when(m["deleted_at"].isNotNull(), WORDS["deleted"])
+        .when(m["hidden_at"].isNotNull(), WORDS["hidden"])
+        .otherwise(""),
     )
-    head = F.concat(stamp(m["created_at"], "MM-dd HH:mm"), F.lit(" "), m["channel"], _opt(" ", m["category"]))
-    return F.concat(F.lit("["), head, F.lit("] "), who, F.lit(": "), text, removed)
 
 
 def transcript(messages: DataFrame, line=reply_line, k: int = TRANSCRIPT_SHORT) -> DataFrame:
@@ -88,48 +103,45 @@ def amount_text(amount: Column) -> Column:
 
 
 def purchase_line(p) -> Column:
-    status = F.when(p["paid"], F.lit("PAGA")).otherwise(_shown(p["status"]))
-    day = stamp(F.coalesce(p["approved_at"], p["registered_at"]), DAY)
-    parts = [
-        status,
-        _shown(p["product_name"]),
-        F.concat(_shown(amount_text(p["amount"])), F.lit(" "), _shown(p["currency"])),
-        F.concat(F.lit("transação "), _shown(p["transaction"])),
-        _shown(day),
-        F.concat(F.lit("e-mail "), mask_email(p["email"])),
-    ]
-    return F.concat(F.lit("- "), F.concat_ws(" · ", *parts), _opt(" · ", p["payment"]))
+    return filled(
+        LINES["purchase"],
+        status=F.when(p["paid"], WORDS["paid"]).otherwise(_shown(p["status"])),
+        product=_shown(p["product_name"]),
+        amount=_shown(amount_text(p["amount"])),
+        currency=_shown(p["currency"]),
+        transaction=_shown(p["transaction"]),
+        day=_shown(stamp(F.coalesce(p["approved_at"], p["registered_at"]), DAY)),
+        email=mask_email(p["email"]),
+        payment=_opt(" · ", p["payment"]),
+    )
 
 
 def item_line(i) -> Column:
-    used = F.coalesce(F.concat(F.lit("baixou em "), stamp(i["downloaded_at"], DAY)), F.lit("nunca baixou"))
-    return F.concat(F.lit("- "), _shown(i["title"]), F.lit(" ("), _shown(i["brand"]), F.lit(") · "), used)
+    used = F.coalesce(filled(LINES["used"], day=stamp(i["downloaded_at"], DAY)), F.lit(WORDS["never_used"]))
+    return filled(LINES["item"], title=_shown(i["title"]), brand=_shown(i["brand"]), used=used)
 
 
 def refund_line(r) -> Column:
-    guided = F.when(r["guided_at"].isNotNull(), F.lit("já recebeu o passo a passo")).otherwise(
-        F.lit("AINDA NÃO recebeu o passo a passo")
-    )
-    return F.concat_ws(
-        " · ",
-        F.concat(F.lit("pedido em "), _shown(stamp(r["requested_at"], DAY))),
-        F.array_join(F.coalesce(r["transactions"], F.array().cast("array<string>")), ", "),
-        F.concat(F.lit("motivo: "), F.coalesce(r["reason"], F.lit("?"))),
-        guided,
+    return filled(
+        LINES["refund"],
+        day=_shown(stamp(r["requested_at"], DAY)),
+        transactions=F.array_join(F.coalesce(r["transactions"], F.array().cast("array<string>")), ", "),
+        reason=F.coalesce(r["reason"], F.lit("?")),
+        guided=F.when(r["guided_at"].isNotNull(), WORDS["guided"]).otherwise(WORDS["not_guided"]),
     )
 
 
 def state_line(s) -> Column:
     given = blank_to_null(s["given_email"])
-    mail = F.when(given.isNull(), F.lit("")).otherwise(F.concat(F.lit(" · e-mail informado "), mask_email(given)))
-    line = F.concat(_shown(s["state"]), mail, F.lit(" · tentativas "), _shown(s["attempts"]))
-    return F.when(s.isNull(), F.lit("nunca entrou")).otherwise(line)
+    mail = F.when(given.isNull(), "").otherwise(filled(LINES["state_email"], email=mask_email(given)))
+    line = filled(LINES["state"], state=_shown(s["state"]), email=mail, attempts=_shown(s["attempts"]))
+    return F.when(s.isNull(), WORDS["never_entered"]).otherwise(line)
 
 
 def pause_line(p) -> Column:
-    until = stamp(p["paused_until"], "yyyy-MM-dd'T'HH:mm")
-    line = F.concat(F.lit("até "), _shown(until), F.lit(" ("), _shown(p["reason"]), F.lit(")"))
-    return F.when(p.isNull(), F.lit("não")).otherwise(line)
+    until = _shown(stamp(p["paused_until"], "yyyy-MM-dd'T'HH:mm"))
+    line = filled(LINES["pause"], until=until, reason=_shown(p["reason"]))
+    return F.when(p.isNull(), WORDS["not_paused"]).otherwise(line)
 
 
 def is_delivered(d) -> Column:
@@ -141,21 +153,16 @@ def delivery_line(d, owner: str) -> Column:
     files = F.coalesce(d["files"], F.array().cast("array<string>"))
     n = F.size(files)
     first = F.array_join(F.slice(files, 1, 3), ", ")
-    listed = F.when(n <= 3, first).otherwise(F.concat(first, F.lit(" e mais "), (n - 3).cast("string")))
-    result = F.when(d["result"] == "ok", F.lit("entregue pela Resend")).otherwise(
-        F.concat(F.lit("FALHOU: "), F.coalesce(d["result"], F.lit("?")))
-    )
-    by = F.when(d["by_whom"] == "bot", F.lit("pelo robô")).otherwise(F.lit(f"à mão por {owner}"))
-    return F.concat(
-        F.lit("- "),
-        F.concat_ws(
-            " · ",
-            F.coalesce(stamp(d["created_at"], "dd/MM/yyyy"), F.lit("")),
-            F.concat(F.lit("para "), mask_email(d["to_address"])),
-            F.concat(n.cast("string"), F.lit(" arquivo(s): "), F.coalesce(blank_to_null(listed), F.lit("?"))),
-            result,
-            F.concat(F.lit("enviado "), by),
-        ),
+    listed = F.when(n <= 3, first).otherwise(filled(LINES["more_files"], first=first, n=(n - 3).cast("string")))
+    failed = filled(LINES["failed"], result=F.coalesce(d["result"], F.lit("?")))
+    return filled(
+        LINES["delivery"],
+        day=F.coalesce(stamp(d["created_at"], "dd/MM/yyyy"), F.lit("")),
+        to=mask_email(d["to_address"]),
+        n=n.cast("string"),
+        files=F.coalesce(blank_to_null(listed), F.lit("?")),
+        result=F.when(d["result"] == "ok", WORDS["delivered"]).otherwise(failed),
+        by=F.when(d["by_whom"] == "bot", WORDS["by_bot"]).otherwise(WORDS["by_owner"].format(owner=owner)),
     )
 
 
@@ -213,118 +220,93 @@ def ranked_corrections(
 
 def correction_line(c) -> Column:
     both = ~is_blank(c["before"]) & ~is_blank(c["after"])
-    pair = F.when(both, F.concat(F.lit("\n    antes: "), c["before"], F.lit("\n    depois: "), c["after"])).otherwise("")
-    asked = F.coalesce(F.concat(F.lit('ele pediu: "'), blank_to_null(c["instruction"]), F.lit('"')), F.lit(""))
-    rule = F.when(F.coalesce(c["is_rule"], F.lit(False)), F.lit("[REGRA] ")).otherwise(F.lit(""))
-    return F.concat(F.lit("- "), rule, asked, _opt(" → regra: ", c["rule"]), pair)
+    return filled(
+        LINES["correction"],
+        rule_mark=F.when(F.coalesce(c["is_rule"], F.lit(False)), LINES["rule_mark"]).otherwise(""),
+        asked=F.coalesce(filled(LINES["asked"], instruction=blank_to_null(c["instruction"])), F.lit("")),
+        rule=F.coalesce(filled(LINES["rule"], rule=blank_to_null(c["rule"])), F.lit("")),
+        pair=F.when(both, filled(LINES["pair"], before=c["before"], after=c["after"])).otherwise(""),
+    )
 
 
 def active_facts(facts: DataFrame) -> DataFrame:
     """Active facts by topic, each as a line."""
-    line = F.concat(F.lit("- ["), "topic", F.lit("] "), "text").alias("line")
+    line = filled(LINES["fact"], topic=F.col("topic"), text=F.col("text")).alias("line")
     return facts.filter("active").select("id", "topic", line).orderBy("topic", "id")
 
 
 # --- the case ---------------------------------------------------------------
 
-CHANNEL_TEXT = {
-    "dm": "DM (mensagem direta)",
-    "comentario_publico": "COMENTÁRIO PÚBLICO (3 linhas, sem link, outros leem)",
-}
-PRIVATE_TEXT = "RESPOSTA PRIVADA ao comentário (chega como DM)"
+def file_totals(keyed: DataFrame, bought: DataFrame, deliveries: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per request: purchases, paid ones, deliveries, those that went well, the newest of these, access counts."""
+    purchases = bought.groupBy("request_key").agg(
+        F.count(F.lit(1)).alias("n_purchases"), F.count_if("paid").alias("n_paid")
+    )
+    totals = keyed.join(purchases, "request_key", "left").join(delivery_summary(deliveries), "request_key", "left")
+    return totals.join(counts, "request_key")
 
 
-def case_context(requests: DataFrame, file: DataFrame, transcripts: DataFrame, owner: str = "atendente") -> DataFrame:
+def case_context(
+    requests: DataFrame, file: DataFrame, totals: DataFrame, transcripts: DataFrame, owner: str = "atendente"
+) -> DataFrame:
     """The case text of each request: situation, file, conversation, and in ``melhorar`` mode the draft.
 
     ``requests`` has author_id, brand, channel, lang, mode, draft, instruction,
     categories, urgency_reason, window and target_comment; ``file`` is the
-    customer file. A file of several pages gives as many texts; totals are of
-    the whole file, the conversation is in the first.
+    customer file (written as a table: it is read twice). A file of several pages
+    gives as many texts; ``totals`` are of the whole file, the conversation is in the first.
     """
-    paid = F.filter("purchases", lambda p: F.coalesce(p["paid"], F.lit(False)))
-    good = F.filter("deliveries", is_delivered)
-    of_request = W.partitionBy("author_id", "brand")
-    counted = (
-        file.withColumn("n_purchases", F.sum(F.size("purchases")).over(of_request))
-        .withColumn("n_paid", F.sum(F.size(paid)).over(of_request))
-        .withColumn("n_deliveries", F.sum(F.size("deliveries")).over(of_request))
-        .withColumn("n_delivered", F.sum(F.size(good)).over(of_request))
-        .withColumn("_last", F.min_by(F.get(good, F.lit(0)), F.when(F.size(good) > 0, F.col("page"))).over(of_request))
-    )
+    key = ["author_id", "brand"]
     asked = requests.select(
-        "author_id", "brand", "channel", "lang", "mode", "draft", "instruction", "categories", "urgency_reason",
-        "window", "target_comment",
+        *key, "channel", "lang", "mode", "draft", "instruction", "categories", "urgency_reason", "window", "target_comment"
     )
-    rows = asked.join(counted, ["author_id", "brand"]).join(transcripts, "author_id", "left")
+    heads = asked.join(totals, key).join(transcripts, "author_id", "left")
+    # pages are long rows, so the pages of one customer are split early
+    rows = skew_join(file.drop("as_of", "n_logins", "n_downloads"), heads, key, spread=["page"], hot_rows=HOT_PAGES)
 
     def block(name: str, build, none: str, joiner: str = "\n") -> Column:
         text = F.array_join(F.transform(name, build), joiner)
         return F.when(F.size(name) > 0, text).otherwise(F.lit(none))
 
-    channel = F
-    for name, text in CHANNEL_TEXT.items():
-        channel = channel.when(F.col("channel") == name, text)
-    emails = F.coalesce(blank_to_null(F.array_join(F.transform("emails", mask_email), ", ")), F.lit("nenhum"))
-    last = F.when(
-        F.col("_last").isNull(),
-        F.lit("- Nenhuma entrega registrada: se ele tem compra paga e diz que não recebeu, o caminho é reenviar, não citar data."),
-    ).otherwise(
-        F.concat(
-            F.lit("- RESUMO PARA USAR NA RESPOSTA: os arquivos foram enviados em "),
-            stamp(F.col("_last.created_at"), "dd/MM/yyyy"),
-            F.lit(" para "),
-            mask_email(F.col("_last.to_address")),
-            F.lit(". Se ele disser que não recebeu, é este dia e este e-mail que você cita (regra 15)."),
-        )
-    )
-
     def n(name: str) -> Column:
-        return F.col(name).cast("string")
-
-    body = F.concat_ws(
-        "\n",
-        F.lit("CASO"),
-        F.concat(F.lit("- Marca: "), "brand"),
-        F.concat(F.lit("- Canal da resposta: "), channel.otherwise(PRIVATE_TEXT)),
-        F.concat(F.lit("- Idioma do cliente (detectado): "), "lang"),
-        F.concat(F.lit("- Situação: "), F.coalesce("urgency_reason", F.lit("-")), _opt(" · ", F.col("window"))),
-        F.concat(F.lit("- Categorias detectadas pelo bot: "), F.coalesce("categories", F.lit("-"))),
-        F.concat(F.lit("- Comentário que está sendo respondido: "), blank_to_null(F.col("target_comment"))),
-        F.lit("\nFICHA"),
-        F.concat(F.lit("- E-mails conhecidos (mascarados): "), emails),
-        F.concat(F.lit("- Compras ("), n("n_paid"), F.lit(" paga(s) de "), n("n_purchases"), F.lit("):")),
-        block("purchases", purchase_line, "- nenhuma compra encontrada para os e-mails conhecidos"),
-        F.lit("- Arquivos a que tem direito:"),
-        block("items", item_line, "- nenhum (sem compra paga ou sem cadastro)"),
-        F.concat(
-            F.lit("- ENTREGAS JÁ FEITAS por e-mail ("), n("n_delivered"), F.lit(" entregue(s) de "), n("n_deliveries"),
-            F.lit(" tentativa(s)):"),
-        ),
-        block(
-            "deliveries",
-            lambda d: delivery_line(d, owner),
-            "- nenhum envio registrado por aqui (pode ter recebido só o e-mail automático da Hotmart)",
-        ),
-        last,
-        F.concat(F.lit("- Logins na biblioteca antiga: "), n("n_logins"), F.lit(" · downloads: "), n("n_downloads")),
-        F.concat(F.lit("- Estado no fluxo automático: "), state_line(F.col("state"))),
-        F.concat(F.lit("- Bot pausado: "), pause_line(F.col("pause"))),
-        F.concat(F.lit("- Reembolso: "), block("refunds", refund_line, "nenhum pedido", " | ")),
+        return F.coalesce(F.col(name).cast("string"), F.lit("0"))
+
+    emails = blank_to_null(F.array_join(F.transform("emails", mask_email), ", "))
+    last = filled(CASE_LAST, day=stamp(F.col("last_at"), "dd/MM/yyyy"), to=F.col("last_to"))
+    target = filled(CASE_TARGET, target=blank_to_null(F.col("target_comment")))
+    body = filled(
+        CASE_TEXT,
+        brand=F.col("brand"),
+        channel=by_value(F.col("channel"), CHANNEL_TEXTS, F.lit(PRIVATE_TEXT)),
+        lang=F.col("lang"),
+        situation=F.coalesce("urgency_reason", F.lit("-")),
+        window=_opt(" · ", F.col("window")),
+        categories=F.coalesce("categories", F.lit("-")),
+        target=F.coalesce(target, F.lit("")),
+        emails=F.coalesce(emails, F.lit(WORDS["no_emails"])),
+        n_paid=n("n_paid"),
+        n_purchases=n("n_purchases"),
+        purchases=block("purchases", purchase_line, WORDS["no_purchases"]),
+        items=block("items", item_line, WORDS["no_items"]),
+        n_delivered=n("n_delivered"),
+        n_deliveries=n("n_deliveries"),
+        deliveries=block("deliveries", lambda d: delivery_line(d, owner), WORDS["no_deliveries"]),
+        last=F.coalesce(last, F.lit(CASE_NO_LAST)),
+        n_logins=n("n_logins"),
+        n_downloads=n("n_downloads"),
+        state=state_line(F.col("state")),
+        pause=pause_line(F.col("pause")),
+        refunds=block("refunds", refund_line, WORDS["no_refunds"], " | "),
     )
-    talk = F.concat(
-        F.lit("\n\nCONVERSA (cronológica, últimas "), F.coalesce(n("n_msgs"), F.lit("0")), F.lit(")\n"),
-        F.coalesce("transcript", F.lit("(sem mensagens gravadas)")), F.lit("\n"),
+    talk = filled(CASE_TALK, n=n("n_msgs"), transcript=F.coalesce("transcript", F.lit(WORDS["no_messages"])))
+    improve = filled(
+        CASE_IMPROVE,
+        draft=F.coalesce("draft", F.lit(WORDS["no_draft"])),
+        owner=F.lit(owner.upper()),
+        instruction=F.coalesce("instruction", F.lit("")),
     )
-    improve = F.when(
-        F.col("mode") == "melhorar",
-        F.concat(
-            F.lit("\nRASCUNHO ATUAL (o que está na caixa de resposta):\n"), F.coalesce("draft", F.lit("(vazio)")),
-            F.lit(f"\n\nINSTRUÇÃO DE {owner.upper()} (ditada ou escrita, pode estar informal):\n"),
-            F.lit('"'), F.coalesce("instruction", F.lit("")), F.lit('"\n'),
-        ),
-    ).otherwise(F.lit("\nEscreva a resposta para este caso."))
-    context = F.when(F.col("page") == 0, F.concat(body, talk, improve)).otherwise(body)
+    task = F.when(F.col("mode") == "melhorar", improve).otherwise(CASE_WRITE)
+    context = F.when(F.col("page") == 0, F.concat(body, talk, task)).otherwise(body)
     return rows.select("author_id", "brand", "channel", "lang", "mode", "page", context.alias("context"))
 
 

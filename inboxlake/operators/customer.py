@@ -23,7 +23,10 @@ FILE_ROWS = 1_000  # entries of one section in one row of the file
 
 
 def customer_requests(requests: DataFrame) -> DataFrame:
-    """Distinct requests with a key of their own."""
+    """Distinct requests with a key of their own: the author, then the brand if one is asked.
+
+    Author ids hold no ``|``, so the key also tells its author and brand.
+    """
     return requests.select("author_id", "brand").distinct().withColumn("request_key", F.concat_ws("|", "author_id", "brand"))
 
 
@@ -249,13 +252,16 @@ def customer_file(
     """One nested row per request, with an array per section, empty when there is nothing.
 
     A section longer than ``file_rows`` goes on in further rows (``page`` 1, 2, ...),
-    so a customer with very many entries is neither cut nor held by one task.
-    The sections are stacked, numbered and grouped once instead of joined one by one.
+    so a customer with very many entries is neither cut nor held by one task;
+    state, pause and access counts are in page 0. The sections are stacked,
+    numbered and grouped once instead of joined one by one, and nothing is joined
+    to the grouped rows, which would bring a long file together again.
     """
     at, tie = F.col, [sort_number(F.col("id"))]
     stacked = [
         _section(parts["state"], "state", [F.lit("")]),
         _section(parts["pause"], "pause", [F.lit("")]),
+        _section(parts["counts"], "counts", [F.lit("")]),
         _section(parts["emails"], "emails", [at("email")], ("author_id",)),
         _section(
             parts["purchases"],
@@ -280,21 +286,22 @@ def customer_file(
     pages = rows.groupBy("request_key", "page").agg(
         F.first("state", ignorenulls=True).alias("state"),
         F.first("pause", ignorenulls=True).alias("pause"),
+        F.first("counts", ignorenulls=True).alias("counts"),
         *[
             F.array_sort(F.collect_list(F.when(F.col(n).isNotNull(), F.struct("position", n)))).alias(n)
             for n in listed
         ],
     )
-    heads = keyed.join(parts["counts"], "request_key")
-    return pages.join(heads, "request_key").select(
+    key = F.split("request_key", r"\|", 2)
+    return pages.select(
         instant(as_of).alias("as_of"),
-        "author_id",
-        "brand",
+        F.get(key, F.lit(0)).alias("author_id"),
+        F.get(key, F.lit(1)).alias("brand"),
         "page",
         "state",
         "pause",
         F.col("emails.emails.email").alias("emails"),
         *[F.col(n)[n].alias(n) for n in listed[1:]],
-        "n_logins",
-        "n_downloads",
+        "counts.n_logins",
+        "counts.n_downloads",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inboxlake.constants import COMMENT_CHANNELS, MODERATION_BRANDS
+from inboxlake.constants import COMMENT_CHANNELS, MODERATION_BRANDS, RECORDS
 from inboxlake.operators import actions as op
 from inboxlake.operators.context import parsed_output, translation_backlog
 from inboxlake.operators.delivery import decide
@@ -335,7 +335,7 @@ def field_sql(name: str, otherwise: str = "''") -> str:
 
 
 def _suggestions(t):
-    note = ("notas", "A IA não devolveu JSON; texto bruto acima.")
+    note = ("notas", RECORDS["not_json"])
     return parsed_output(t.model_outputs, "raw", ["texto", "texto_pt", "notas"], note)
 
 
