@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,16 +55,24 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: int) -> str:
     return path
 
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder for tables written between jobs: in the folder the cluster shares, else (tests) a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def workspace(spark: SparkSession, folder: str | None = None) -> str:
+    """A new folder for tables written between jobs, in ``folder`` or the one that the cluster shares.
+
+    The shared folder is the session's ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``. Only
+    a session in one process (``local[...]``) may go without either: it gets a temporary folder. A session on a
+    cluster raises, as no folder of one machine can be read by the others.
+    """
+    shared = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        return tempfile.mkdtemp(prefix="inboxlake-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="inboxlake-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/inboxlake-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """``df`` written as a table and read back: computed once, and kept when executors are lost."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    """``df`` written as a table under a name of its own and read back: computed once, kept when executors are lost."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
