@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inboxlake.llm import factorisation, packing, pieces, quality_rules, sharding, simhash, tool_links, url_filter, vafile
+from inboxlake.llm import factorisation, packing, pieces, quality_rules, sharding, simhash, suffix_dedup, tool_links, url_filter, vafile
 from inboxlake.sources.tables import workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,18 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op8_suffix_arrays")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.cut_repeats(table(spark, folder, "documents").select("doc_id", "text"), workspace(spark))
+    return rows.select(
+        F.col("rest.doc_id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op9_pieces")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
