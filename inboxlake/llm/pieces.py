@@ -123,7 +123,7 @@ class Pieces:
     def _together(self, at: np.ndarray, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray, made: np.ndarray) -> np.ndarray:
         """Of the places of every word's best pair, those that are merged next, one after the other from the left.
 
-        The first, and after it every other of those that overlap, up to the first whose new neighbours form a pair that is better still.
+        The first, and after it every other of those that overlap, up to the first whose new neighbours form a pair that is as good or better.
         """
         leftmost = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
         if leftmost.all():
@@ -136,7 +136,7 @@ class Pieces:
         merged_before = np.concatenate([[False], at[1:] == at[:-1] + 2])
         left = np.where((at > 0) & (word[before] == word[at]), np.where(merged_before, result, symbol[before]), -1)
         right = np.where((at + 2 <= last) & (word[after] == word[at]), symbol[after], -1)
-        turns = (self._pairs(left, result)[0] < rank[at]) | (self._pairs(result, right)[0] < rank[at])
+        turns = (self._pairs(left, result)[0] <= rank[at]) | (self._pairs(result, right)[0] <= rank[at])
         earlier = np.cumsum(turns) - turns
         first = np.flatnonzero(np.concatenate([[True], word[at[1:]] != word[at[:-1]]]))
         return at[earlier == np.repeat(earlier[first], np.diff(np.append(first, len(at))))]

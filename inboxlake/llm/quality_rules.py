@@ -23,13 +23,13 @@ TRAIN_ROWS = 20_000
 
 #: The rates that rules compare with thresholds, as SQL over the counts. Without words every rate is zero.
 RATES = {
-    "symbols_per_word": "n_symbols / n_words",
-    "repeat_share": "n_repeat_words / n_words",
-    "same_share": "n_same_words / n_words",
-    "dup_line_share": "n_dup_lines / n_lines",
-    "upper_share": "n_upper / word_chars",
-    "digit_share": "n_digits / word_chars",
-    "word_length": "word_chars / n_words",
+    "symbols_per_word": "try_divide(n_symbols, n_words)",
+    "repeat_share": "try_divide(n_repeat_words, n_words)",
+    "same_share": "try_divide(n_same_words, n_words)",
+    "dup_line_share": "try_divide(n_dup_lines, n_lines)",
+    "upper_share": "try_divide(n_upper, word_chars)",
+    "digit_share": "try_divide(n_digits, word_chars)",
+    "word_length": "try_divide(word_chars, n_words)",
 }
 
 

@@ -119,8 +119,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     "op4_vector_file",
     """
 with whole as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+  where embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
 ), scores as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
   from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
