@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from inboxlake import plans
 from inboxlake.sources.derived import BASE_TABLES, DERIVATIONS, Inbox, ctes
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = plans.QUERIES, plans.ORACLES
 
 
 @pytest.fixture(scope="module")
