@@ -18,6 +18,7 @@ REASON_SOURCES = ("perguntado", "espontaneo", "sem_resposta")
 
 BRAND_LANGS = {"brand_en": "en", "brand_it": "it", "brand_de": "de"}
 DEFAULT_LANG = "es"
+REPLY_LANGS = {"brand_en": "en", "brand_it": "it"}  # of suggested replies, where a request names none
 BRAND_NAMES = {
     "brand_es": "Brand ES",
     "brand_en": "Brand EN",

@@ -72,19 +72,31 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.col("error").isNull()).drop("error"), checked.filter(F.col("error").isNotNull())
 
 
+def merged(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of ``table`` with the columns of its key's row of ``batch`` (one a key), and the rows of new keys.
+
+    A full outer join could not broadcast a small batch; a left join and an anti join of the keys found can.
+    """
+    known = table.join(batch.select(*keys), keys, "left_semi").select(*keys).distinct()
+    new = batch.join(known, keys, "left_anti")
+    return table.join(batch, keys, "left").unionByName(new, allowMissingColumns=True)
+
+
 def upsert_replies(reply_queue: DataFrame, accepted: DataFrame, as_of, first_id: int) -> DataFrame:
     """One row per (channel, ref): the last accepted reply replaces the text and clears the sending."""
-    last = newest(accepted, ["channel", "ref"], "seq", []).select(
+    folded = accepted.groupBy("channel", "ref").agg(
+        F.max_by(F.struct("brand", "text", "by_whom"), "seq").alias("last"), F.min("seq").alias("first_seq")
+    )
+    batch = folded.select(
         "channel",
         "ref",
-        "seq",
-        F.col("brand").alias("new_brand"),
-        F.col("text").alias("new_text"),
-        filled(RECORDS["origin"], by=F.col("by_whom")).alias("new_origin"),
+        "first_seq",
+        F.col("last.brand").alias("new_brand"),
+        F.col("last.text").alias("new_text"),
+        filled(RECORDS["origin"], by=F.col("last.by_whom")).alias("new_origin"),
     )
-    first = accepted.groupBy("channel", "ref").agg(F.min("seq").alias("first_seq"))
-    joined = reply_queue.join(last.join(first, ["channel", "ref"]), ["channel", "ref"], "full")
-    changed = F.col("seq").isNotNull()
+    joined = merged(reply_queue, batch, ["channel", "ref"])
+    changed = F.col("first_seq").isNotNull()
 
     def take(name: str, new: Column) -> Column:
         return F.when(changed, new).otherwise(F.col(name)).alias(name)
@@ -162,9 +174,8 @@ def set_pauses(pauses: DataFrame, actions: DataFrame, as_of) -> DataFrame:
         F.max(F.when(ends, F.col("seq"))).alias("ended_seq"),
         F.max_by(F.when(named, F.struct("seq", "author")), F.when(named, F.col("seq"))).alias("named"),
     )
-    joined = pauses.withColumnRenamed("brand", "old_brand").withColumnRenamed("author", "old_author").join(
-        folded, "conversation_id", "full"
-    )
+    old = pauses.withColumnRenamed("brand", "old_brand").withColumnRenamed("author", "old_author")
+    joined = merged(old, folded, ["conversation_id"])
     changed = F.col("last").isNotNull()
     until = instant(as_of) + F.make_dt_interval(F.lit(0), F.least(F.col("last.hours"), F.lit(PAUSE_MAX_HOURS)))
     fresh = F.col("named").isNotNull() & (
@@ -260,6 +271,7 @@ def moderate_comments(
     showing a deleted comment is a conflict.
     """
     key = ["message_id", "brand"]
+    actions = actions.withColumns({c: blank_to_null(F.col(c)) for c in (*key, "channel", "author_id")})
     inbound = messages.filter((F.col("direction") == INBOUND) & F.col("message_id").isNotNull())
     inbound = inbound.join(actions.select(*key).distinct(), key, "left_semi")
     targets = inbound.groupBy(*key).agg(F.min_by(F.struct("id", "deleted_at", "text"), "id").alias("_target"))
@@ -271,7 +283,8 @@ def moderate_comments(
         .agg(F.min("seq").alias("_deleted_seq"))
     )
     known = targets.join(deletes, key, "left")
-    named = skew_join(actions, author_names(messages), ["author_id"], "left", spread=["seq"])
+    of_actions = messages.join(actions.select("author_id").distinct(), "author_id", "left_semi")
+    named = skew_join(actions, author_names(of_actions), ["author_id"], "left", spread=["seq"])
     found = skew_join(named, known, key, "left", spread=["seq"], counted=actions)
     gone = F.col("_target.deleted_at").isNotNull() | (F.col("_deleted_seq") < F.col("seq"))
     missing = F.col("message_id").isNull() | F.col("brand").isNull() | F.col("channel").isNull()
@@ -399,11 +412,19 @@ def upsert_summaries(summaries: DataFrame, produced: DataFrame) -> DataFrame:
 
 
 def write_translations(messages: DataFrame, requested: DataFrame, translated: DataFrame) -> DataFrame:
-    """Set ``text_pt`` of the requested ids from non-blank translations; the last one by ``seq`` wins."""
+    """Set ``text_pt`` of messages from the translations of their parts, in order and without a break between them.
+
+    ``requested`` has the (id, part) that were sent out, ``translated`` seq, id, part and pt. Of each part the last non-blank translation
+    by ``seq`` counts; a message is written only when all of its parts came back.
+    """
     good = translated.withColumn("pt", trim_all(F.col("pt"))).filter(F.col("pt") != "")
-    wanted = good.join(requested.select("id").distinct(), "id", "left_semi")
-    last = newest(wanted, ["id"], "seq", []).select("id", F.col("pt").alias("_pt"))
-    return messages.join(last, "id", "left").withColumn("text_pt", F.coalesce("_pt", "text_pt")).drop("_pt")
+    best = good.groupBy("id", "part").agg(F.max_by("pt", "seq").alias("pt"))
+    asked = requested.select("id", "part").distinct().join(best, ["id", "part"], "left")
+    whole = asked.groupBy("id").agg(
+        F.count(F.when(F.col("pt").isNull(), 1)).alias("_missing"), F.sort_array(F.collect_list(F.struct("part", "pt"))).alias("_parts")
+    )
+    whole = whole.filter("_missing = 0").select("id", F.array_join("_parts.pt", "").alias("_pt"))
+    return messages.join(whole, "id", "left").withColumn("text_pt", F.coalesce("_pt", "text_pt")).drop("_pt")
 
 
 def log_suggestions(produced: DataFrame, as_of) -> DataFrame:

@@ -19,17 +19,18 @@ from inboxlake.constants import (
     INBOUND,
     LINES,
     PRIVATE_TEXT,
+    REPLY_LANGS,
     TRANSCRIPT_LONG,
     TRANSCRIPT_SHORT,
     TRANSLATION_BATCH,
     TRANSLATION_CHARS,
     WORDS,
 )
+from inboxlake.functions.language import brand_language
 from inboxlake.functions.text import blank_to_null, by_value, filled, is_blank, json_object_in, mask_email, stamp, trim_all
-from inboxlake.operators.skew import newest, skew_join
+from inboxlake.operators.skew import newest
 
 DAY = "yyyy-MM-dd"
-HOT_PAGES = 1_000
 
 
 def _opt(prefix: str, c: Column) -> Column:
@@ -41,6 +42,11 @@ def _shown(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
+def target_language(lang: Column, brand: Column) -> Column:
+    """The language asked for, else the one in which the brand replies."""
+    return F.coalesce(blank_to_null(lang), brand_language(brand, REPLY_LANGS))
+
+
 # --- transcripts ------------------------------------------------------------
 
 
@@ -53,8 +59,8 @@ def reply_line(m) -> Column:
     inbound = m["direction"] == INBOUND
     return filled(
         LINES["reply_message"],
-        at=stamp(m["created_at"], "yyyy-MM-dd HH:mm"),
-        channel=m["channel"],
+        at=_shown(stamp(m["created_at"], "yyyy-MM-dd HH:mm")),
+        channel=_shown(m["channel"]),
         category=_opt(" · ", m["category"]),
         who=F.when(inbound, WORDS["customer"]).otherwise(WORDS["us"]),
         text=F.coalesce(_said(m), F.when(inbound, WORDS["media_unknown"]).otherwise(WORDS["empty"])),
@@ -66,8 +72,8 @@ def summary_line(m) -> Column:
     note = F.startswith(F.coalesce(m["text"], F.lit("")), F.lit("["))
     return filled(
         LINES["summary_message"],
-        at=stamp(m["created_at"], "MM-dd HH:mm"),
-        channel=m["channel"],
+        at=_shown(stamp(m["created_at"], "MM-dd HH:mm")),
+        channel=_shown(m["channel"]),
         category=_opt(" ", m["category"]),
         who=F.when(m["direction"] == INBOUND, WORDS["customer"]).when(note, WORDS["internal"]).otherwise(WORDS["us"]),
         text=F.coalesce(_said(m), F.lit(WORDS["media"])),
@@ -197,7 +203,7 @@ def ranked_corrections(
     """Add ``corrections`` to each request: of the newest ``read`` those of its language or channel
     first, newest first within both parts, ``kept`` in all.
 
-    The newest ones are one scalar subquery of at most ``read`` entries, so
+    A request without a language has that of its brand. The newest ones are one scalar subquery of at most ``read`` entries, so
     requests are neither joined nor shuffled.
     """
     order = [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
@@ -211,7 +217,7 @@ def ranked_corrections(
     newest_ones = top.agg(F.transform(sorted_list, lambda x: x["e"]).alias("_top")).scalar()
 
     def matches(c):
-        return F.coalesce((c["lang"] == F.col("lang")) | (c["channel"] == F.col("channel")), F.lit(False))
+        return F.coalesce((c["lang"] == target_language(F.col("lang"), F.col("brand"))) | (c["channel"] == F.col("channel")), F.lit(False))
 
     listed = requests.withColumn("_top", newest_ones)
     ranked = F.concat(F.filter("_top", matches), F.filter("_top", lambda c: ~matches(c)))
@@ -253,16 +259,15 @@ def case_context(
 
     ``requests`` has author_id, brand, channel, lang, mode, draft, instruction,
     categories, urgency_reason, window and target_comment; ``file`` is the
-    customer file (written as a table: it is read twice). A file of several pages
-    gives as many texts; ``totals`` are of the whole file, the conversation is in the first.
+    customer file, one row per request; a missing language is that of the brand.
     """
     key = ["author_id", "brand"]
     asked = requests.select(
         *key, "channel", "lang", "mode", "draft", "instruction", "categories", "urgency_reason", "window", "target_comment"
     )
     heads = asked.join(totals, key).join(transcripts, "author_id", "left")
-    # pages are long rows, so the pages of one customer are split early
-    rows = skew_join(file.drop("as_of", "n_logins", "n_downloads"), heads, key, spread=["page"], hot_rows=HOT_PAGES)
+    rows = file.drop("as_of", "n_logins", "n_downloads").join(heads, key)
+    rows = rows.withColumn("lang", target_language(F.col("lang"), F.col("brand")))
 
     def block(name: str, build, none: str, joiner: str = "\n") -> Column:
         text = F.array_join(F.transform(name, build), joiner)
@@ -306,8 +311,7 @@ def case_context(
         instruction=F.coalesce("instruction", F.lit("")),
     )
     task = F.when(F.col("mode") == "melhorar", improve).otherwise(CASE_WRITE)
-    context = F.when(F.col("page") == 0, F.concat(body, talk, task)).otherwise(body)
-    return rows.select("author_id", "brand", "channel", "lang", "mode", "page", context.alias("context"))
+    return rows.select("author_id", "brand", "channel", "lang", "mode", F.concat(body, talk, task).alias("context"))
 
 
 # --- backlogs ---------------------------------------------------------------
@@ -339,15 +343,21 @@ def translation_backlog(
 
 
 def summary_backlog(requests: DataFrame, messages: DataFrame, summaries: DataFrame, k: int = TRANSCRIPT_LONG) -> DataFrame:
-    """Requests (author_id, brand, force) that have messages, with ``stale``: none cached, forced, or newer messages."""
+    """Requests (author_id, brand, force) with ``outcome``: ``no_messages``, ``cached`` or ``stale`` (none cached, forced, or newer messages).
+
+    A request whose author never wrote stays, with no messages and nothing to make a summary of.
+    """
     spoken = messages.groupBy("author_id").agg(
         F.max("created_at").alias("newest_at"), F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n_msgs")
     )
-    rows = skew_join(requests, spoken, ["author_id"], spread=["author_id", "brand"])
+    asked = requests.select("author_id").distinct()
+    rows = requests.join(spoken.join(asked, "author_id", "left_semi"), "author_id", "left").withColumn("n_msgs", F.coalesce("n_msgs", F.lit(0)))
     cached = summaries.select("author_id", "brand", "covers_until")
     rows = rows.join(cached, ["author_id", "brand"], "left")
     fresh = (F.col("covers_until") >= F.col("newest_at")) & ~F.coalesce("force", F.lit(False))
-    return rows.withColumn("stale", ~F.coalesce(fresh, F.lit(False)))
+    stale = (F.col("n_msgs") > 0) & ~F.coalesce(fresh, F.lit(False))
+    outcome = F.when(F.col("n_msgs") == 0, "no_messages").when(stale, "stale").otherwise("cached")
+    return rows.withColumn("stale", stale).withColumn("outcome", outcome)
 
 
 # --- model output -----------------------------------------------------------

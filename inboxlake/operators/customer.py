@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 
 from inboxlake.constants import EMAIL_IN_TEXT, INBOUND, PAID_STATUSES, TOP_ACCESSES, TOP_QUEUE
 from inboxlake.functions.text import instant
-from inboxlake.operators.skew import newest, skew_join, with_position
+from inboxlake.operators.skew import newest, skew_join
 
 ITEM = ["brand", "title", "bucket", "file", "product_id", "position"]
-FILE_ROWS = 1_000  # entries of one section in one row of the file
 
 
 def customer_requests(requests: DataFrame) -> DataFrame:
-    """Distinct requests with a key of their own: the author, then the brand if one is asked.
+    """Distinct requests with a key of their own: the author, then the brand if one is asked. A missing author is empty in it."""
+    return requests.select("author_id", "brand").distinct().withColumn("request_key", request_key())
 
-    Author ids hold no ``|``, so the key also tells its author and brand.
-    """
-    return requests.select("author_id", "brand").distinct().withColumn("request_key", F.concat_ws("|", "author_id", "brand"))
+
+def request_key() -> Column:
+    return F.concat_ws("|", F.coalesce("author_id", F.lit("")), "brand")
 
 
 def _by_author(keyed: DataFrame, author: str = "author_id") -> DataFrame:
@@ -188,7 +188,9 @@ def _descending(time: Column) -> Column:
 
 
 def sort_number(c: Column) -> Column:
-    return F.lpad(F.coalesce(c, F.lit(0)).cast("string"), 19, "0")
+    """A string that sorts as the whole number does, negative ones too; missing ones last."""
+    shifted = c.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
+    return F.coalesce(F.lpad(shifted.cast("string"), 20, "0"), F.lit("~"))
 
 
 def sort_text(*parts: Column) -> Column:
@@ -246,18 +248,14 @@ def sections(
     }
 
 
-def customer_file(
-    keyed: DataFrame, parts: dict[str, DataFrame], as_of, file_rows: int = FILE_ROWS, folder: str | None = None
-) -> DataFrame:
+def customer_file(keyed: DataFrame, parts: dict[str, DataFrame], as_of) -> DataFrame:
     """One nested row per request, with an array per section, empty when there is nothing.
 
-    A section longer than ``file_rows`` goes on in further rows (``page`` 1, 2, ...),
-    so a customer with very many entries is neither cut nor held by one task;
-    state, pause and access counts are in page 0. The sections are stacked,
-    numbered and grouped once instead of joined one by one, and nothing is joined
-    to the grouped rows, which would bring a long file together again.
+    The sections are stacked and grouped once instead of joined one by one. A file is one row however long it is; whoever
+    has customers too large for a row works on the flat rows of ``sections``, which are the same entries.
     """
     at, tie = F.col, [sort_number(F.col("id"))]
+    last = lambda c: F.coalesce(c, F.lit("~"))
     stacked = [
         _section(parts["state"], "state", [F.lit("")]),
         _section(parts["pause"], "pause", [F.lit("")]),
@@ -266,38 +264,29 @@ def customer_file(
         _section(
             parts["purchases"],
             "purchases",
-            [_order(at("approved_at"), False), _order(at("registered_at")), at("transaction")],
+            [_order(at("approved_at"), False), _order(at("registered_at")), last(at("transaction"))],
         ),
-        _section(parts["items"], "items", [at("brand"), sort_number(at("position")), sort_number(at("item_id"))]),
+        _section(parts["items"], "items", [last(at("brand")), sort_number(at("position")), sort_number(at("item_id"))]),
         _section(parts["accesses"], "accesses", [sort_number(at("rank"))]),
         _section(parts["refunds"], "refunds", [_order(at("created_at")), *tie]),
-        _section(parts["checks"], "checks", [_order(at("created_at")), at("email_checked")]),
+        _section(parts["checks"], "checks", [_order(at("created_at")), last(at("email_checked"))]),
         _section(parts["queue"], "queue", [_order(at("created_at")), *tie]),
-        _section(parts["pending"], "pending", [_order(at("created_at")), at("ref"), at("text")]),
+        _section(parts["pending"], "pending", [_order(at("created_at")), last(at("ref")), last(at("text"))]),
         _section(parts["deliveries"], "deliveries", [_order(at("created_at")), *tie]),
     ]
-    # a request without any entry still has its first page
-    rows = keyed.select("request_key", F.lit("").alias("section"), F.lit("").alias("order"))
+    # the request itself, so that one without any entry has a row too
+    rows = keyed.select("request_key", "author_id", "brand", F.lit("").alias("section"), F.lit("").alias("order"))
     for frame in stacked:
         rows = rows.unionByName(frame, allowMissingColumns=True)
-    rows = with_position(rows, ["request_key", "section"], "order", folder=folder)
-    rows = rows.withColumn("page", F.floor((F.col("position") - 1) / file_rows))
     listed = ["emails", "purchases", "items", "accesses", "refunds", "checks", "queue", "pending", "deliveries"]
-    pages = rows.groupBy("request_key", "page").agg(
-        F.first("state", ignorenulls=True).alias("state"),
-        F.first("pause", ignorenulls=True).alias("pause"),
-        F.first("counts", ignorenulls=True).alias("counts"),
-        *[
-            F.array_sort(F.collect_list(F.when(F.col(n).isNotNull(), F.struct("position", n)))).alias(n)
-            for n in listed
-        ],
+    files = rows.groupBy("request_key").agg(
+        *[F.first(n, ignorenulls=True).alias(n) for n in ("author_id", "brand", "state", "pause", "counts")],
+        *[F.sort_array(F.collect_list(F.when(F.col(n).isNotNull(), F.struct("order", n)))).alias(n) for n in listed],
     )
-    key = F.split("request_key", r"\|", 2)
-    return pages.select(
+    return files.select(
         instant(as_of).alias("as_of"),
-        F.get(key, F.lit(0)).alias("author_id"),
-        F.get(key, F.lit(1)).alias("brand"),
-        "page",
+        "author_id",
+        "brand",
         "state",
         "pause",
         F.col("emails.emails.email").alias("emails"),

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from inboxlake.constants import BRAND_LANGS, BRAND_NAMES, EMAIL_SHAPE, MAIL_TEXTS
 from inboxlake.functions.language import brand_language
 from inboxlake.functions.text import by_value, escape_html, first_name, public_url, trim_all
-from inboxlake.operators.customer import sort_number, sort_text
-from inboxlake.operators.skew import with_position
+from inboxlake.operators.skew import with_place
 
-MAIL_LINKS = 1_000  # links in one message
 ITEM = ["brand", "title", "bucket", "file", "position"]
 
 
@@ -65,13 +63,8 @@ def deliverable_items(
     by_right = by_right.withColumn("key_id", F.lit(None).cast("long"))
     manual = decisions.filter(F.col("base") == "confirmacao_manual").select("request_key", "brand")
 
-    def in_order(rows: DataFrame, key: str, folder: str | None) -> DataFrame:
-        order = sort_text(F.col("brand"), sort_number(F.col("position")), sort_number(F.col("item_id")))
-        placed = with_position(rows.withColumn("_order", order), [key], "_order", folder=folder)
-        return placed.withColumn("place", F.col("position") - 1).drop("_order", "position")
-
-    by_hand = manual.join(in_order(manual_items(items), "brand", None), "brand")
-    placed = in_order(by_list.unionByName(by_right), "request_key", folder)
+    by_hand = manual.join(with_place(manual_items(items), ["brand"], ["position"], "item_id").drop("position"), "brand")
+    placed = with_place(by_list.unionByName(by_right), ["request_key"], ["brand", "position"], "item_id", folder=folder).drop("position")
     return placed.unionByName(by_hand.withColumn("key_id", F.col("item_id")))
 
 
@@ -101,14 +94,17 @@ def message_language(asked: Column, brand: Column, brand_langs=BRAND_LANGS) -> C
 
 
 def addressee(requests: DataFrame, purchases: DataFrame) -> DataFrame:
-    """First name: the one given with the request, else that of the newest paid purchase."""
+    """First name: the one given with the request, else that of the newest paid purchase.
+
+    A request with a product list, even an unusable one, is answered without looking at purchases, so it has only its own.
+    """
     paid = purchases.filter(F.col("paid"))
     order = F.struct(
         F.coalesce(F.unix_micros("approved_at"), F.lit(-(2**62))), F.unix_micros("registered_at"), "transaction"
     )
     named = paid.groupBy("request_key").agg(F.max_by("name", order).alias("_buyer"))
     joined = requests.join(named, "request_key", "left")
-    return joined.withColumn("first_name", first_name(F.coalesce("name", "_buyer"))).drop("_buyer")
+    return joined.withColumn("first_name", first_name(F.coalesce("name", F.when(F.coalesce(F.size("products"), F.lit(0)) <= 0, F.col("_buyer"))))).drop("_buyer")
 
 
 def mail_text(lang: Column, part: str) -> Column:
@@ -116,15 +112,15 @@ def mail_text(lang: Column, part: str) -> Column:
     return by_value(lang, values, F.lit(None).cast("string"))
 
 
-def rendered(requests: DataFrame, linked: DataFrame, brand_names=BRAND_NAMES, links: int = MAIL_LINKS) -> DataFrame:
+def rendered(requests: DataFrame, linked: DataFrame, brand_names=BRAND_NAMES) -> DataFrame:
     """Subject, plain text and HTML of the message of each request with links.
 
     ``requests`` has brand, lang (see ``message_language``), first_name and
-    message. More than ``links`` links go in further messages (``part``).
+    message. All links of a request are in its one message.
     """
-    usable = linked.filter(F.col("url").isNotNull()).withColumn("part", F.floor(F.col("place") / links))
+    usable = linked.filter(F.col("url").isNotNull())
     entry = F.struct("place", "title", "url")
-    grouped = usable.groupBy("request_key", "part").agg(F.array_sort(F.collect_list(entry)).alias("_links"))
+    grouped = usable.groupBy("request_key").agg(F.array_sort(F.collect_list(entry)).alias("_links"))
     rows = requests.join(grouped, "request_key")
     lang, name = F.col("lang"), F.col("first_name")
     brand = F.coalesce(by_value(F.col("brand"), brand_names, F.col("brand")), F.lit(""))
@@ -162,7 +158,7 @@ def rendered(requests: DataFrame, linked: DataFrame, brand_names=BRAND_NAMES, li
         F.lit("</body></html>"),
     )
     return rows.select(
-        "request_key", "author_id", "brand", "lang", "part", subject.alias("subject"), plain.alias("plain"),
+        "request_key", "author_id", "brand", "lang", subject.alias("subject"), plain.alias("plain"),
         html.alias("html"), F.col("_links.title").alias("files"),
     )
 

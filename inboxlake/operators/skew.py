@@ -70,27 +70,31 @@ def skew_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def with_position(
-    df: DataFrame, keys: Sequence[str], order: str, prefix: int = 9, folder: str | None = None
-) -> DataFrame:
-    """Position from 1 of each row within its key, by the ascending string column ``order``.
+BUCKET_IDS = 4_096  # neighbouring ids that are numbered in one task
+
+
+def with_place(df: DataFrame, keys: Sequence[str], order: Sequence[str], tie: str, ids: int = BUCKET_IDS, folder: str | None = None) -> DataFrame:
+    """``place`` from 0 of each row within its key, by the columns ``order`` and then the whole number ``tie``; missing values last.
 
-    Rows with the same first ``prefix`` characters of ``order`` are a bucket. They
-    are numbered inside (key, bucket) and moved by the rows of the buckets before,
-    so that no task sorts a whole key. The rows are needed twice: with a
-    ``folder`` they are written there first instead of worked out twice.
+    Rows that agree in ``order`` and whose ties lie in one range of ``ids`` numbers are a bucket. They are numbered inside (key, bucket) and
+    moved by the rows of the buckets before, so that a key is not sorted by one task. The rows are needed
+    twice: with a ``folder`` they are written there first instead of worked out twice.
     """
-    keys = list(keys)
+    keys, order = list(keys), list(order)
     if folder is not None:
-        df = settled(df, folder, f"unnumbered-{order}")
-    bucketed = df.withColumn("_bucket", F.left(order, F.lit(prefix)))
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(order))
-    numbered = bucketed.withColumn("_inside", inside).join(offsets, [*keys, "_bucket"])
-    kept = [c for c in df.columns if c != "position"]
-    return numbered.select(*kept, (F.col("_inside") + F.col("_before")).alias("position"))
+        df = settled(df, folder, "unnumbered")
+    bucketed = df.withColumn("_range", F.floor(F.col(tie) / ids))
+    bucket = [*order, "_range"]
+    up = [F.col(c).asc_nulls_last() for c in bucket]
+    sizes = bucketed.groupBy(*keys, *bucket).agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*keys).orderBy(*up).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, *bucket, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, *bucket).orderBy(F.col(tie).asc_nulls_last()))
+    left, right = bucketed.withColumn("_inside", inside).alias("l"), offsets.alias("r")
+    same = F.lit(True)
+    for c in [*keys, *bucket]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return left.join(right, same).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_inside") + F.col("_before") - 1).alias("place"))
 
 
 def newest(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], k: int = 1) -> DataFrame:

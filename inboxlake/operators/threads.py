@@ -110,7 +110,8 @@ def language_sample(messages: DataFrame, sample: int = LANGUAGE_SAMPLE) -> DataF
 
 def with_thread_language(threads: DataFrame, messages: DataFrame) -> DataFrame:
     """Language of the author, with the default of the thread's brand."""
-    joined = threads.join(language_sample(messages), "author_id", "left")
+    of_threads = messages.join(threads.select("author_id").distinct(), "author_id", "left_semi")
+    joined = threads.join(language_sample(of_threads), "author_id", "left")
     return joined.withColumn("lang", detect_language(F.col("sample"), F.col("brand"))).drop("sample")
 
 

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from inboxlake.constants import COMMENT_CHANNELS, MODERATION_BRANDS, RECORDS
 from inboxlake.operators import actions as op
-from inboxlake.operators.context import parsed_output, translation_backlog
+from inboxlake.operators.context import parsed_output, summary_transcript, translation_backlog
+from inboxlake.operators.customer import request_key
 from inboxlake.operators.delivery import decide
+from inboxlake.plans.customer import BOUGHT, Parts
+from inboxlake.plans.delivery import DECIDED, Sends
 from inboxlake.plans.registry import NOW, query
 from inboxlake.sources.derived import AS_OF
 
@@ -302,27 +305,38 @@ def _(t):
 # --- records ----------------------------------------------------------------
 
 
+def _approval_sql(rows: str, email: str, reason: str) -> str:
+    return f"""
+select brand, author_id as conversation_id, cast(null as string) as author, coalesce({email}, '{RECORDS["no_email"]}') as email_checked, 'tela' as origin,
+  'confianca_manual' as result, 0 as n_found, replace('{RECORDS[reason]}', '{{reason}}', trim(justification)) as action_taken, by_whom as decided_by,
+  true as approved, {NOW} as created_at
+from {rows} where base = 'confirmacao_manual'"""
+
+
+@query("E12_manual_approval", DECIDED + _approval_sql("decided", "lower(trim(to_address))", "mail"))
+def _(t):
+    decided = Sends(t).decided.withColumn("email", F.lower(F.trim("to_address")))
+    return op.manual_approvals(decided, AS_OF, "mail")
+
+
 @query(
-    "E12_manual_approval",
-    f"""
-, paid as (
-  select distinct o.author_id from send_requests o
-  join purchases p on p.status in ('APPROVED', 'COMPLETE', 'COMPLETED') and lower(p.email) = lower(trim(o.to_address, ' '))
-)
-select brand, author_id as conversation_id, cast(null as string) as author, lower(trim(to_address, ' ')) as email_checked, 'tela' as origin,
-  'confianca_manual' as result, 0 as n_found,
-  'e-mail com arquivos enviado por confirmação manual: ' || trim(justification, ' ') as action_taken, by_whom as decided_by, true as approved,
-  {NOW} as created_at
-from send_requests where confirm and trim(coalesce(justification, ''), ' ') <> ''
-  and len(list_filter(coalesce(products, []), lambda x: x > 0)) = 0
-  and (coalesce(len(products), 0) > 0 or author_id not in (select author_id from paid))""",
+    "E12_manual_approval_links",
+    BOUGHT + """
+, known as (select request_key, min(email) as email from emails group by all)
+, payers as (select distinct request_key from bought where paid)
+, judged as (
+  select r.*, 'agent' as by_whom, n.email,
+    case when p.request_key is null and r.confirm and length(trim(coalesce(r.justification, ''))) > 0 then 'confirmacao_manual' end as base
+  from requests r join keyed k on k.author_id is not distinct from r.author_id and k.brand is not distinct from r.brand
+  left join known n using (request_key) left join payers p using (request_key)
+)""" + _approval_sql("judged", "email", "links"),
 )
 def _(t):
-    requests = t.send_requests.withColumn("request_key", F.col("author_id")).withColumn("email", F.lower(F.trim("to_address")))
-    keyed = requests.select("request_key", F.col("email").alias("email_key"))
-    bought = t.purchases.withColumn("email_key", F.lower("email")).join(keyed, "email_key")
-    bought = bought.withColumn("paid", F.col("status").isin("APPROVED", "COMPLETE", "COMPLETED"))
-    return op.manual_approvals(decide(requests, bought), AS_OF, "mail")
+    p = Parts(t)
+    first = p.emails.groupBy("request_key").agg(F.min("email").alias("email"))
+    requests = t.requests.withColumn("request_key", request_key()).withColumn("products", F.lit(None).cast("array<bigint>"))
+    requests = requests.withColumn("by_whom", F.lit("agent")).join(first, "request_key", "left")
+    return op.manual_approvals(decide(requests, p.bought), AS_OF, "links")
 
 
 OUTPUT = """
@@ -346,17 +360,20 @@ def _suggestions(t):
   select author_id, brand, {field_sql('resumo', 'raw')} as summary, {field_sql('quer')} as wants, {field_sql('proximo_passo')} as next_step
   from (select *, row_number() over (partition by author_id, brand order by seq desc) as n from parsed) where n = 1
 )
-select author_id, brand, summary, wants, next_step, {NOW} as covers_until, 1 as n_msgs from made
+, spoken as (select author_id, max(created_at) as covers_until, cast(least(count(*), 80) as int) as n_msgs from messages group by all)
+select m.author_id, m.brand, m.summary, m.wants, m.next_step, s.covers_until, coalesce(s.n_msgs, 0) as n_msgs from made m left join spoken s using (author_id)
 union all
 select author_id, brand, summary, wants, next_step, covers_until, n_msgs from summaries s
 where not exists (select 1 from made m where m.author_id = s.author_id and m.brand = s.brand)""",
 )
 def _(t):
     parsed = parsed_output(t.model_outputs, "raw", ["resumo", "quer", "proximo_passo"])
-    now = F.to_timestamp(F.lit(AS_OF))
-    produced = parsed.select(
+    asked = t.messages.join(parsed.select("author_id").distinct(), "author_id", "left_semi")
+    talk = summary_transcript(asked).select("author_id", F.col("newest_at").alias("covers_until"), "n_msgs")
+    produced = parsed.join(talk, "author_id", "left").select(
         "seq", "author_id", "brand", F.col("resumo").alias("summary"), F.col("quer").alias("wants"),
-        F.col("proximo_passo").alias("next_step"), now.alias("covers_until"), F.lit(1).alias("n_msgs"), now.alias("updated_at"),
+        F.col("proximo_passo").alias("next_step"), "covers_until", F.coalesce("n_msgs", F.lit(0)).alias("n_msgs"),
+        F.to_timestamp(F.lit(AS_OF)).alias("updated_at"),
     )
     return op.upsert_summaries(t.summaries, produced).drop("updated_at")
 
@@ -364,11 +381,15 @@ def _(t):
 @query(
     "E14_translation_write_back",
     r"""
-, pending as (select id from messages where coalesce(text_pt, '') = '' and regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> '')
-, good as (
-  select seq, id, regexp_replace(pt, '^\s+|\s+$', '', 'g') as pt from translated where regexp_replace(pt, '^\s+|\s+$', '', 'g') <> '' and id in (from pending))
-, last as (select id, arg_max(pt, seq) as pt from good group by all)
-select m.id, coalesce(l.pt, m.text_pt) as text_pt from messages m left join last l using (id)""",
+, pending as (
+  select id, length(text) as n from messages
+  where id > 0 and coalesce(text_pt, '') = '' and regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> '')
+, good as (select *, regexp_replace(pt, '^\s+|\s+$', '', 'g') as said from translated)
+, last as (select id, part, said from good where said <> '' qualify row_number() over (partition by id, part order by seq desc) = 1)
+, whole as (
+  select p.id, string_agg(l.said, '' order by l.part) as pt from pending p join last l on l.id = p.id and l.part <= (p.n - 1) // 2000
+  group by p.id, p.n having count(*) = (p.n + 1999) // 2000)
+select m.id, coalesce(w.pt, m.text_pt) as text_pt from messages m left join whole w using (id)""",
 )
 def _(t):
     pending = translation_backlog(t.messages).filter("not done")

@@ -30,9 +30,9 @@ DECIDED = (
     _for_sends(ENTITLED)
     + f"""
 , decided as (
-  select concat_ws('|', s.author_id, s.brand) as request_key, s.*, {USABLE} as listed,
+  select concat_ws('|', coalesce(s.author_id, ''), s.brand) as request_key, s.*, {USABLE} as listed,
     case when {USABLE} then 'compra'
-      when coalesce(len(s.products), 0) = 0 and concat_ws('|', s.author_id, s.brand) in (select request_key from paid_products) then 'compra'
+      when coalesce(len(s.products), 0) = 0 and concat_ws('|', coalesce(s.author_id, ''), s.brand) in (select request_key from paid_products) then 'compra'
       when coalesce(s.confirm, false) and {TRIMMED.format('s.justification')} <> '' then 'confirmacao_manual' end as base
   from send_requests s
 )"""
@@ -79,7 +79,7 @@ class Sends(Parts):
 
     def __init__(self, t, settle=False):
         super().__init__(t, t.send_requests, workspace(t.spark) if settle else None)
-        self.requests = t.send_requests.withColumn("request_key", F.concat_ws("|", "author_id", "brand"))
+        self.requests = t.send_requests.withColumn("request_key", customer.request_key())
         self.decided = op.decide(self.requests, self.bought)
 
     def placed(self):
@@ -158,7 +158,7 @@ NAMED = """
   qualify row_number() over (partition by request_key order by approved_at desc nulls last, registered_at desc, transaction desc) = 1
 )
 , named as (
-  select d.request_key, split_part(trim(coalesce(d.name, b.name, '')), ' ', 1) as first_name from decided d left join buyers b using (request_key)
+  select d.request_key, split_part(trim(coalesce(d.name, case when coalesce(len(d.products), 0) = 0 then b.name end, '')), ' ', 1) as first_name from decided d left join buyers b using (request_key)
 )"""
 
 
@@ -192,7 +192,7 @@ def _escaped(expr: str) -> str:
   select *, {_text('subject')} as subject_t, {_text('hello')} as hello, {_text('intro')} as intro, {_text('note')} as note, {_text('end')} as ending,
     {_text('button')} as button, case when first_name <> '' then ' ' || first_name else '' end as greeting from mails
 )
-select request_key, lang, cast(0 as bigint) as part, replace(subject_t, '{{marca}}', brand_name) as subject, files,
+select request_key, lang, replace(subject_t, '{{marca}}', brand_name) as subject, files,
   hello || greeting || chr(10) || chr(10) || intro || chr(10) || case when extra <> '' then chr(10) || extra || chr(10) else '' end || chr(10) || links
     || chr(10) || chr(10) || note || chr(10) || ending as plain,
   '<!doctype html><html><body><h2>' || {_escaped('brand_name')} || '</h2><h1>' || {_escaped('hello')} || {_escaped('greeting')} || '</h1><p>'
@@ -204,7 +204,7 @@ from worded""",
 def rendered(t):
     s = Sends(t, settle=True)
     mails = op.rendered(s.addressed(), s.linked())
-    return mails.select("request_key", "lang", "part", "subject", F.array_join("files", ", ").alias("files"), "plain", "html")
+    return mails.select("request_key", "lang", "subject", F.array_join("files", ", ").alias("files"), "plain", "html")
 
 
 @query(

@@ -91,7 +91,7 @@ from customer where c_mktsegment = 'MACHINERY'""",
     "pauses": f"""
 select {_author('c_custkey')} as conversation_id, {_brand('c_custkey')} as brand, c_name as author, 'human' as reason,
   {NOW} + (c_custkey % 72 - 36) * interval '1' hour as paused_until
-from customer where c_mktsegment = 'AUTOMOBILE'""",
+from customer""",
     "purchases": """
 select 'HP' || cast(10000000 + o_orderkey as string) as transaction,
   'Cust' || cast(o_custkey as string) || '@mail.example.com' as email,
@@ -114,7 +114,8 @@ select cast(p_partkey as bigint) as id, {_brand('p_partkey')} as brand, p_name a
   cast(p_partkey as bigint) as product_id,
   array(cast(p_partkey as bigint), cast((p_partkey + 7) % (select count(*) from part) as bigint)) as unlocked_by,
   p_partkey % 9 <> 0 as active,
-  case when p_type in ('PROMO', 'ECONOMY') then 'principal' else 'complemento' end as section, p_size as position
+  case when p_type in ('PROMO', 'ECONOMY') then 'principal' else 'complemento' end as section,
+  case when p_partkey % 11 = 0 then null when p_partkey % 13 = 0 then -p_size else p_size end as position
 from part""",
     "accesses": """
 select case when l.l_returnflag = 'N' then 'login' else 'download' end as event,
@@ -135,17 +136,17 @@ select cast(o_orderkey as bigint) as id, {_brand('o_custkey')} as brand, 'dm' as
   case cast(o_orderkey % 3 as int) when 0 then 'sem_resposta' when 1 then 'perguntado' else 'espontaneo' end as reason_source,
   cast(o_orderdate as timestamp) as requested_at, case when o_orderkey % 4 = 0 then cast(o_orderdate as timestamp) else null end as guided_at,
   cast(null as string) as note, cast(o_orderdate as timestamp) as created_at
-from orders where o_orderpriority = '1-URGENT'""",
+from orders""",
     "purchase_checks": f"""
 select {_brand('o_custkey')} as brand, {_author('o_custkey')} as conversation_id, cast(null as string) as author,
   'Cust' || cast(o_custkey as string) || '@mail.example.com' as email_checked, 'bot' as origin,
   case when o_orderstatus = 'P' then 'nao_encontrada' else 'encontrada' end as result, cast(o_orderkey % 3 as int) as n_found,
   'none' as action_taken, 'bot' as decided_by, o_orderstatus <> 'P' as approved, '{{"raw":1}}' as api_response,
   cast(o_orderdate as timestamp) + o_orderkey * interval '1' second as created_at
-from orders where o_orderpriority = '5-LOW'""",
+from orders""",
     "pending_replies": """
 select case when channel = 'dm' then author_id else message_id end as ref, 'draft ' || message_id as text, created_at
-from messages where category = 'REEMBOLSO'""",
+from messages where direction = 'entrada'""",
     "corrections": f"""
 select l.doc_id as id, {_brand('l.doc_id')} as brand,
   case when l.doc_id % 3 = 0 then 'comentario_publico' else 'dm' end as channel, d.lang as lang, cast(null as string) as category,
@@ -164,11 +165,11 @@ select cast(o_orderkey as bigint) as id, case when o_orderkey % 9 = 0 then null
   case when o_orderkey % 7 = 0 then 'confirmacao_manual' else 'compra' end as base,
   case when o_orderkey % 11 = 0 then 'resend 500: x' when o_orderkey % 13 = 0 then null else 'ok' end as result,
   case when o_orderkey % 2 = 0 then 'bot' else 'agent' end as by_whom, cast(o_orderdate as timestamp) as created_at
-from orders where o_orderstatus = 'F'""",
+from orders""",
     "summaries": f"""
 select author_id, brand, 'sum ' || author_id as summary, 'files' as wants, 'none' as next_step,
   max(case when category is null then created_at end) as covers_until, cast(count(*) as int) as n_msgs, {NOW} as updated_at
-from messages where channel <> 'comentario_fb' group by author_id, brand
+from messages group by author_id, brand
 having max(case when category is null then created_at end) is not null""",
     "actions_reply": """
 select id as seq, case when id % 23 = 0 then 'brand_xx' when brand = 'brand_de' then 'brand_es' else brand end as brand,
@@ -212,7 +213,7 @@ from (select *, (select count(*) from part) as n from customer) c""",
     "suggest_requests": f"""
 select {_author('c_custkey')} as author_id, {_brand('c_custkey')} as brand,
   case cast(c_custkey % 3 as int) when 0 then 'dm' when 1 then 'comentario_publico' else 'comentario_privado' end as channel,
-  case when c_custkey % 7 = 0 then 'fr' when c_custkey % 4 = 1 then 'en' when c_custkey % 4 = 2 then 'it' else 'es' end as lang,
+  case when c_custkey % 7 = 0 then 'fr' when c_custkey % 11 = 0 then null when c_custkey % 4 = 1 then 'en' when c_custkey % 4 = 2 then 'it' else 'es' end as lang,
   case when c_custkey % 2 = 0 then 'melhorar' else 'sugerir' end as mode,
   case when c_custkey % 6 = 0 then 'draft ' || c_name else null end as draft,
   case when c_custkey % 2 = 0 then 'shorter, please' else null end as instruction,
@@ -235,9 +236,12 @@ select conv_id * 1000 + turn as seq, {_author('conv_id')} as author_id, {_brand(
   'agent' as by_whom
 from conversations""",
     "translated": """
-select id as seq, case when id % 19 = 0 then id + 5000000000000 else id end as id,
-  case when id % 7 = 0 then '  ' else ' pt ' || cast(id as string) || chr(10) end as pt
-from messages""",
+select id * 1000 + part as seq, case when id % 19 = 0 then id + 5000000000000 else id end as id, part,
+  case when id % 7 = 0 and part = 0 then '  ' else ' pt ' || cast(id as string) || '.' || cast(part as string) || chr(10) end as pt
+from (select id, cast(place as int) as part from (
+  select id, explode(sequence(cast(0 as bigint), cast(floor((greatest(length(coalesce(text, '')), 1) - 1) / 2000) as bigint))) as place from messages))
+union all
+select id * 1000 + 999 as seq, id, 0 as part, ' again ' || cast(id as string) as pt from messages where id % 5 = 0""",
     "actions_facts": """
 select l.doc_id as seq, case when l.toxic = 1 then 'delete' else 'save' end as kind,
   case when l.doc_id % 3 = 0 then null else l.doc_id % (select count(*) from benchmark) end as target_id,
@@ -258,7 +262,7 @@ NEEDS = dict.fromkeys(
 
 def checking_sql(name: str) -> str:
     """A derivation in the checking engine's dialect."""
-    return DERIVATIONS[name].replace("array(", "list_value(")
+    return DERIVATIONS[name].replace("explode(sequence(", "unnest(generate_series(").replace("array(", "list_value(")
 
 
 def ctes(*names: str) -> str:

@@ -93,13 +93,14 @@ def test_corrections_against_a_plain_ranking(spark, table):
              is_rule=False, created_at=None if i == 7 else at("2024-01-01") + datetime.timedelta(hours=rnd.randrange(50)))
         for i in range(70)
     ]
-    asked = [("1", "es", "dm"), ("2", "fr", "comentario_publico"), ("3", None, "dm"), ("4", "fr", "fax")]
-    requests = spark.createDataFrame(asked, "author_id string, lang string, channel string")
+    asked = [("1", "es", "dm", "brand_en"), ("2", "fr", "comentario_publico", None), ("3", None, "dm", "brand_en"), ("4", "fr", "fax", "x"), ("5", "", "fax", "brand_de")]
+    requests = spark.createDataFrame(asked, "author_id string, lang string, channel string, brand string")
     far = at("2100-01-01")
     top = sorted(data, key=lambda c: (c["created_at"] or far, c["id"]), reverse=True)[:40]
     found = {r["author_id"]: [c["id"] for c in r["corrections"]] for r in op.ranked_corrections(requests, table("corrections", *data)).collect()}
-    for author, lang, channel in asked:
-        match = [c for c in top if (lang and c["lang"] == lang) or c["channel"] == channel]
+    for author, lang, channel, brand in asked:
+        lang = lang or {"brand_en": "en"}.get(brand, "es")
+        match = [c for c in top if c["lang"] == lang or c["channel"] == channel]
         rest = [c for c in top if c not in match]
         assert found[author] == [c["id"] for c in (match + rest)[:25]], author
     plan = op.ranked_corrections(requests, table("corrections", *data))._jdf.queryExecution().executedPlan().toString()
@@ -136,6 +137,7 @@ def test_summary_backlog(spark, table, rows):
         [("a", "x", False), ("a", "y", None), ("a", "z", False), ("b", "x", False), ("none", "x", True), ("a", "x2", True)], "author_id string, brand string, force boolean"
     )
     found = op.summary_backlog(requests, messages, summaries)
-    assert rows(found, "author_id", "brand", "n_msgs", "stale") == [("a", "x", 80, False), ("a", "x2", 80, True), ("a", "y", 80, True), ("a", "z", 80, True), ("b", "x", 1, True)]
+    assert rows(found, "author_id", "brand", "n_msgs", "stale") == [("a", "x", 80, False), ("a", "x2", 80, True), ("a", "y", 80, True), ("a", "z", 80, True), ("b", "x", 1, True), ("none", "x", 0, False)]
+    assert rows(found.filter("outcome = 'no_messages'"), "author_id") == [("none",)]
     forced = requests.withColumn("force", F.lit(True))
-    assert op.summary_backlog(forced, messages, summaries).filter("not stale").count() == 0
+    assert op.summary_backlog(forced, messages, summaries).filter("not stale").count() == 1

@@ -77,7 +77,7 @@ def inbox(table):
     }
 
 
-def build(spark, inbox, requests, file_rows=1000):
+def build(spark, inbox, requests):
     keyed = op.customer_requests(spark.createDataFrame(requests, "author_id string, brand string"))
     states = op.newest_state(keyed, inbox["case_state"])
     emails = op.known_emails(keyed, states, inbox["refunds"], inbox["messages"])
@@ -85,7 +85,7 @@ def build(spark, inbox, requests, file_rows=1000):
     refs = op.reply_refs(keyed, inbox["messages"])
     names = ["reply_queue", "pauses", "items", "accesses", "refunds", "purchase_checks", "pending_replies", "deliveries"]
     parts = op.sections(keyed, states, emails, bought, refs, *[inbox[n] for n in names])
-    return op.customer_file(keyed, parts, AS_OF, file_rows)
+    return op.customer_file(keyed, parts, AS_OF)
 
 
 @pytest.fixture(scope="module")
@@ -155,14 +155,17 @@ def test_one_customer_alone_is_the_same(spark, inbox, files):
     assert [r.asDict(True) for r in alone] == [files["1", None].asDict(True)]
 
 
-def test_long_sections_go_on_in_further_rows(spark, inbox, files):
-    pages = sorted(build(spark, inbox, [("1", None)], file_rows=4).collect(), key=lambda r: r["page"])
-    assert [r["page"] for r in pages] == [0, 1, 2, 3]
-    whole = files["1", None]
-    for name in ("emails", "purchases", "items", "accesses", "refunds", "queue"):
-        assert sum((r[name] for r in pages), []) == whole[name]
-    assert max(len(r[n]) for r in pages for n in ("accesses", "queue")) == 4
-    assert [r["state"] is not None for r in pages] == [True, False, False, False]
+def test_a_long_file_is_one_row(spark, inbox, table):
+    many = [dict(id=k, author_id="9", to_address="x@y.co", files=[str(k)], created_at=None) for k in range(3_000)]
+    file = build(spark, inbox | {"deliveries": table("deliveries", *many)}, [("9", None)]).collect()
+    assert len(file) == 1 and [d["id"] for d in file[0]["deliveries"]] == list(range(3_000))
+
+
+def test_missing_author_and_negative_positions(spark, inbox):
+    rows = build(spark, inbox, [(None, "brand_es"), ("brand_es", None)]).collect()
+    assert {(r["author_id"], r["brand"]) for r in rows} == {(None, "brand_es"), ("brand_es", None)}
+    numbers = spark.createDataFrame([(-12,), (-3,), (0,), (7,), (None,), (2**62,)], "n long")
+    assert [r[0] for r in numbers.orderBy(op.sort_number(F.col("n"))).collect()] == [-12, -3, 0, 7, 2**62, None]
 
 
 def test_no_nested_loops(spark, inbox):

@@ -92,8 +92,8 @@ def test_address_language_name(spark, requests, bought):
     langs = spark.createDataFrame([("pt", "brand_en"), ("fr", "brand_de"), (None, "brand_it"), ("", "x")], "l string, b string")
     assert [r[0] for r in langs.select(op.message_language(F.col("l"), F.col("b"))).collect()] == ["pt", "de", "it", "es"]
     names = {r["request_key"]: r["first_name"] for r in op.addressee(requests, bought).collect()}
-    # a blank name is a name; without one the newest paid purchase tells
-    assert (names["paid"], names["unpaid"], names["empty list"]) == ("", "", "Di")
+    # a blank name is a name; without one the newest paid purchase tells, unless a list took its place
+    assert (names["paid"], names["unpaid"], names["empty list"]) == ("", "", "")
     assert {r["request_key"]: r["first_name"] for r in op.addressee(requests.withColumn("name", F.lit(None)), bought).collect()}["paid"] == "Ana"
 
 
@@ -104,8 +104,7 @@ def test_message(linked, requests):
     assert r["subject"] == "Your Brand EN files" and r["files"] == ["Two", "One <1>"]
     assert r["plain"].startswith(f"Hi Ann\n\nHere are your files, as direct downloads. No platform, no password needed.\n\na<b\nc\n\nTwo: {two}\nOne <1>: {one}\n\nThese links")
     assert "<p>a&lt;b<br>c</p>" in r["html"] and f'<li>One &lt;1&gt; <a href="{one}">Download</a></li>' in r["html"]
-    parts = op.rendered(asked, linked, links=1).filter("request_key = 'manual'").collect()
-    assert sorted((p["part"], p["files"]) for p in parts) == [(0, ["Two"]), (1, ["One <1>"])]
+    assert op.rendered(asked, linked).filter("request_key = 'manual'").count() == 1
 
 
 def test_send_result(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from inboxlake.operators.skew import hot_keys, newest, skew_join, with_position
+from inboxlake.operators.skew import hot_keys, newest, skew_join, with_place
 
 
 @pytest.fixture(scope="module")
@@ -37,14 +37,22 @@ def test_hot_keys_are_bounded(facts):
     assert hot_keys(facts, ["k"], 1, most=3).count() == 3
 
 
-def test_position_is_row_number(spark, rows):
+def test_place_is_row_number(spark, rows):
     rnd = random.Random(2)
-    data = [(rnd.choice("ab"), f"{rnd.randrange(40):02d}-{i:04d}") for i in range(1000)]
-    df = spark.createDataFrame(data, "k string, o string")
-    expected = df.withColumn("position", F.row_number().over(W.partitionBy("k").orderBy("o")))
-    assert rows(with_position(df, ["k"], "o", prefix=2), "k", "o", "position") == rows(
-        expected.select("k", "o", F.col("position").cast("long"))
-    )
+    data = [(rnd.choice("ab"), rnd.choice([None, -5, -1, 0, 3, 12]), i * 37) for i in range(1000)]
+    df = spark.createDataFrame(data, "k string, o int, id long")
+    order = W.partitionBy("k").orderBy(F.col("o").asc_nulls_last(), "id")
+    expected = df.withColumn("place", F.row_number().over(order) - 1)
+    placed = with_place(df, ["k"], ["o"], "id", ids=500)
+    assert rows(placed, "k", "o", "id", "place") == rows(expected.select("k", "o", "id", F.col("place").cast("long")))
+
+
+def test_place_splits_one_key(spark):
+    df = spark.range(100_000).selectExpr("'one' as k", "cast(null as int) as o", "id")
+    placed = with_place(df, ["k"], ["o"], "id")
+    assert placed.agg(F.count_if(F.col("place") == F.col("id"))).first()[0] == 100_000
+    sizes = placed.groupBy(F.floor(F.col("id") / 4_096)).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 4_096 and sizes[1] == 25
 
 
 def test_newest_puts_null_times_first(spark, rows):
