@@ -13,38 +13,45 @@ from inboxlake.streaming import live
 FILES = 4
 
 
-def as_stream(rows, folder: str, order: str, schema: str):
-    """A table written as files in ranges of ``order`` and read back as a stream, a file per micro-batch."""
+def as_files(rows, folder: str, order: str) -> None:
+    """A table written as files in ranges of ``order``."""
     rows.repartitionByRange(FILES, order).write.parquet(folder)
-    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def as_stream(spark, folder: str, schema: str):
+    """Files as a stream, one for each micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @query("S01_live_threads", WAITING + f" select {KEYS}, author, last_in, last_out, waiting_since, n_unanswered, n_media, categories, last_message_id from waiting")
 def _(t):
     folder = workspace(t.spark)
-    messages = as_stream(t.messages, f"{folder}/in/messages", "created_at", SCHEMAS["messages"])
-    sends = as_stream(t.reply_queue, f"{folder}/in/queue", "created_at", SCHEMAS["reply_queue"])
-    store = live.Store(t.spark, f"{folder}/store")
-    events = live.thread_events(messages, sends)
-    live.start_threads(events, store, f"{folder}/progress", AS_OF, 7, availableNow=True).awaitTermination()
-    return live.current_threads(store).select(
+    streams = [
+        lambda: as_stream(t.spark, f"{folder}/in/messages", SCHEMAS["messages"]),
+        lambda: as_stream(t.spark, f"{folder}/in/queue", SCHEMAS["reply_queue"]),
+    ]
+    as_files(t.messages, f"{folder}/in/messages", "created_at")
+    as_files(t.reply_queue, f"{folder}/in/queue", "created_at")
+    live.start_lookup(*[s() for s in streams], folder, availableNow=True).awaitTermination()
+    live.start_threads(*[s() for s in streams], folder, availableNow=True).awaitTermination()
+    return live.current_threads(t.spark, folder, AS_OF).select(
         *THREAD, "author", "last_in", "last_out", "waiting_since", "n_unanswered", "n_media", "categories", "last_message_id"
     )
 
 
+def _outbox(t) -> str:
+    folder = workspace(t.spark)
+    as_files(t.actions_reply, f"{folder}/in/replies", "seq")
+    replies = as_stream(t.spark, f"{folder}/in/replies", live.ACCEPTED)
+    live.start_outbox(replies, lambda: t.messages, folder, availableNow=True).awaitTermination()
+    return folder
+
+
 @query("S02_outbox", ORACLES["E02_reply_upsert"])
 def _(t):
-    folder = workspace(t.spark)
-    replies = as_stream(t.actions_reply, f"{folder}/in/replies", "seq", live.ACCEPTED)
-    store = live.Store(t.spark, f"{folder}/store")
-    live.start_outbox(replies, t.messages, store, f"{folder}/progress", availableNow=True).awaitTermination()
-    return live.current_outbox(store, t.reply_queue, AS_OF, FIRST_ID)
+    return live.current_outbox(t.spark, _outbox(t), t.reply_queue, AS_OF, FIRST_ID)
 
 
 @query("S02_outbox_rejected", CHECKED + " select seq, error from checked where error is not null")
 def _(t):
-    folder = workspace(t.spark)
-    replies = as_stream(t.actions_reply, f"{folder}/in/replies", "seq", live.ACCEPTED)
-    store = live.Store(t.spark, f"{folder}/store")
-    live.start_outbox(replies, t.messages, store, f"{folder}/progress", availableNow=True).awaitTermination()
-    return live.outbox_actions(store)[1].select("seq", "error")
+    return live.outbox_actions(t.spark, _outbox(t))[1].select("seq", "error")

@@ -1,150 +1,231 @@
-"""Micro-batch forms of the thread queue and of the reply outbox.
+"""Streaming forms of the thread queue and of the reply outbox, on Spark's own keyed state.
 
-State is kept as plain tables in a store folder. Every micro-batch writes only
-its own ``batch=<id>`` folders, so a repeated batch replaces what it wrote before.
+Two queries keep the queue. ``start_lookup`` keeps the author of each comment and the sends that wait for it, and
+appends sends with their author. ``start_threads`` keeps what is unanswered in each thread and hands on a new version of every
+thread that changed. Both state stores are bounded by event-time timers, and no batch reads earlier input again. The clock is
+given when the queue is read, so the window moves without a restart.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window as W
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from inboxlake.operators import actions, threads
-from inboxlake.operators.skew import skew_join
-from inboxlake.operators.threads import THREAD
-from inboxlake.sources.tables import SCHEMAS
+from inboxlake.constants import INBOUND, OUTBOUND
+from inboxlake.functions.text import blank_to_null, instant, is_blank
+from inboxlake.operators import actions
+from inboxlake.operators.threads import THREAD, never
 
-BUCKETS = 16
-SEND = "brand string, channel string, ref string, sent_at timestamp"
+DAYS = 7
 RESOLVED = "author_id string, brand string, channel string, sent_at timestamp"
-OPEN_THREAD = (
-    "author_id string, brand string, channel string, author string, last_in timestamp, last_out timestamp, "
-    "waiting_since timestamp, n_unanswered bigint, n_media bigint, categories string, last_text string, "
-    "last_message_id string"
+VERSION = "author_id string, brand string, channel string, state string"
+#: What a version holds: newest outbound message and send, inbound after them, names with the time they were last seen, the newest inbound.
+HELD = (
+    "out bigint, sent bigint, names array<struct<at: bigint, name: string>>, last struct<at: bigint, id: bigint, text: string, message_id: string>, "
+    "open array<struct<at: bigint, id: bigint, media: boolean, category: string>>"
 )
-
-
-class Store:
-    """Tables of a store folder, each partitioned by micro-batch and by a hash of its lookup key."""
-
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
-
-    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
-
-    def write(self, df: DataFrame, name: str, batch: int, key: str) -> None:
-        # adaptive execution splits a bucket that holds a hot key over several files
-        rows = self.bucketed(df, key).hint("rebalance", "bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch}")
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(f"{schema}, batch bigint, bucket int").parquet(f"{self.folder}/{name}")
-
-
-def thread_events(messages: DataFrame, reply_queue: DataFrame) -> DataFrame:
-    """Messages and sent replies as one stream, so that one query sees both."""
-    spoken = messages.select(F.struct(*messages.columns).alias("message"))
-    sent = reply_queue.filter(F.col("sent_at").isNotNull())
-    sends = sent.select(F.struct("brand", "channel", "ref", "sent_at").alias("send"))
-    return spoken.unionByName(sends, allowMissingColumns=True)
-
-
-def update_threads(store: Store, events: DataFrame, batch: int, as_of, days: int) -> None:
-    """One micro-batch: keep its rows, then work out the touched threads again and write their new version.
-
-    A comment reply names a message; it is resolved to the author whichever of
-    the two arrives first. Lookups join on the hash bucket as well, so only the
-    touched folders are read.
+DAY = 86_400_000_000
+
+
+def _timer(state: GroupState, micros: int) -> None:
+    state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+# --- the author of a comment --------------------------------------------------
+
+
+def lookup_events(messages: DataFrame, reply_queue: DataFrame, late: str) -> DataFrame:
+    """Comments that have an id and sent replies to comments, by message id. ``late`` is how long after newer events one may arrive."""
+    known = messages.filter(F.col("message_id").isNotNull() & F.col("author_id").isNotNull() & F.col("created_at").isNotNull())
+    known = known.select("message_id", F.col("created_at").alias("at"), "author_id", F.lit(None).cast("string").alias("brand"), F.lit(False).alias("is_send"))
+    sent = reply_queue.filter(F.col("sent_at").isNotNull() & (F.col("channel") != "dm") & F.col("ref").isNotNull())
+    sent = sent.select(F.col("ref").alias("message_id"), F.col("sent_at").alias("at"), F.lit(None).cast("string").alias("author_id"), "brand", F.lit(True).alias("is_send"))
+    return known.withWatermark("at", late).unionByName(sent.withWatermark("at", late)).withColumn("micros", F.unix_micros("at"))
+
+
+def _look_up(keep_days: int):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else {"authors": [], "sends": [], "at": 0}
+        authors, sends = {*held["authors"]}, {tuple(x) for x in held["sends"]}
+        found = set()
+        for frame in frames:
+            for is_send, author, brand, micros in zip(frame["is_send"], frame["author_id"], frame["brand"], frame["micros"]):
+                held["at"] = max(held["at"], int(micros))
+                if is_send:
+                    sends.add((brand if isinstance(brand, str) else None, int(micros)))
+                    found |= {(a, brand if isinstance(brand, str) else None, int(micros)) for a in authors}
+                elif author not in authors:
+                    authors.add(author)
+                    found |= {(author, b, m) for b, m in sends}
+        # a send is looked up in what is known, so only the newest of a brand can still matter
+        newest: dict = {}
+        for brand, micros in sends:
+            newest[brand] = max(micros, newest.get(brand, micros))
+        state.update((json.dumps({"authors": sorted(authors), "sends": [list(x) for x in newest.items()], "at": held["at"]}),))
+        _timer(state, held["at"] + keep_days * DAY)
+        if found:
+            rows = sorted(found, key=repr)
+            yield pd.DataFrame({"author_id": [a for a, _, _ in rows], "brand": [b for _, b, _ in rows], "micros": [m for _, _, m in rows]})
+
+    return run
+
+
+def start_lookup(messages: DataFrame, reply_queue: DataFrame, folder: str, late: str = "30 days", keep_days: int = 400, **trigger) -> StreamingQuery:
+    """Append the sends to comments with their author to ``folder/resolved``, whichever of the two arrives first.
+
+    An author is remembered for ``keep_days`` of event time after the last event of its comment.
     """
-    messages = events.filter(F.col("message").isNotNull()).select("message.*")
-    sends = events.filter(F.col("send").isNotNull()).select("send.*")
-    store.write(messages, "messages", batch, "author_id")
-    store.write(
-        messages.filter(F.col("message_id").isNotNull()).select("message_id", "author_id"), "refs", batch, "message_id"
+    found = (
+        lookup_events(messages, reply_queue, late)
+        .groupBy("message_id")
+        .applyInPandasWithState(_look_up(keep_days), "author_id string, brand string, micros bigint", "held string", "append", GroupStateTimeout.EventTimeTimeout)
     )
-    store.write(sends, "sends", batch, "ref")
-
-    everyone = store.read("messages", SCHEMAS["messages"])
-    new_messages = everyone.filter(F.col("batch") == batch)
-    all_sends = store.read("sends", SEND)
-    new_sends = all_sends.filter(F.col("batch") == batch)
-    refs = store.read("refs", "message_id string, author_id string")
-
-    direct = new_sends.filter(F.col("channel") == "dm").select(F.col("ref").alias("author_id"), "brand", "channel", "sent_at")
-    found = []
-    for some_sends, some_refs in (
-        (new_sends, refs.filter(F.col("batch") <= batch)),
-        (all_sends.filter(F.col("batch") < batch), refs.filter(F.col("batch") == batch)),
-    ):
-        comments = some_sends.filter(F.col("channel") != "dm").select(
-            "bucket", F.col("ref").alias("message_id"), "brand", "sent_at"
-        )
-        joined = comments.join(some_refs.select("bucket", "message_id", "author_id"), ["bucket", "message_id"])
-        found.append(joined.select("author_id", "brand", F.lit("comentario").alias("channel"), "sent_at"))
-    store.write(direct.unionByName(found[0]).unionByName(found[1]), "resolved", batch, "author_id")
-
-    resolved = store.read("resolved", RESOLVED)
-    touched = (
-        new_messages.select("bucket", *THREAD)
-        .unionByName(resolved.filter(F.col("batch") == batch).select("bucket", *THREAD))
-        .distinct()
+    rows = found.select("author_id", "brand", F.lit("comentario").alias("channel"), F.timestamp_micros("micros").alias("sent_at"))
+    sink = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/resolved")
+    return sink.option("checkpointLocation", f"{folder}/lookup-progress").trigger(**trigger).start()
+
+
+# --- threads ------------------------------------------------------------------
+
+
+def thread_events(messages: DataFrame, reply_queue: DataFrame, resolved: DataFrame, late: str) -> DataFrame:
+    """Messages with an author, sent direct replies and resolved sends, by thread."""
+    inbound = F.col("direction") == INBOUND
+    spoken = messages.filter(~is_blank(F.col("author_id")) & F.col("created_at").isNotNull()).select(
+        *THREAD, F.col("created_at").alias("at"), "id", blank_to_null(F.col("author")).alias("name"), F.when(inbound, F.col("text")).alias("text"),
+        F.when(inbound, "in").when(F.col("direction") == OUTBOUND, "out").otherwise("other").alias("kind"), is_blank(F.col("text")).alias("media"),
+        "category", "message_id",
+    )
+    direct = reply_queue.filter(F.col("sent_at").isNotNull() & (F.col("channel") == "dm"))
+    direct = direct.select(F.col("ref").alias("author_id"), "brand", "channel", F.col("sent_at").alias("at"), F.lit("send").alias("kind"))
+    others = resolved.select(*THREAD, F.col("sent_at").alias("at"), F.lit("send").alias("kind"))
+    events = spoken.withWatermark("at", late)
+    for sends in (direct, others):
+        events = events.unionByName(sends.withWatermark("at", late), allowMissingColumns=True)
+    return events.withColumn("micros", F.unix_micros("at"))
+
+
+def _text(x) -> str | None:
+    return x if isinstance(x, str) else None
+
+
+def _follow(days: int):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"out": None, "sent": None, "open": [], "names": [], "last": None}
+        names = {x["name"]: x["at"] for x in held["names"]}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for x in frame.to_dict("records"):
+                    at = int(x["micros"])
+                    if x["kind"] == "send":
+                        held["sent"] = max(at, held["sent"] or at)
+                        continue
+                    if x["kind"] == "out":
+                        held["out"] = max(at, held["out"] or at)
+                    if name := _text(x["name"]):
+                        names[name] = max(at, names.get(name, at))
+                    if x["kind"] == "in":
+                        held["open"].append({"at": at, "id": int(x["id"]), "media": bool(x["media"]), "category": _text(x["category"])})
+                        if not held["last"] or (at, int(x["id"])) > (held["last"]["at"], held["last"]["id"]):
+                            held["last"] = {"at": at, "id": int(x["id"]), "text": _text(x["text"]), "message_id": _text(x["message_id"])}
+        start = state.getCurrentWatermarkMs() * 1000 - days * DAY
+        answered = max(held["out"] or 0, held["sent"] or 0)
+        held["open"] = [x for x in held["open"] if x["at"] >= start and x["at"] > answered]
+        held["names"] = [{"at": at, "name": name} for name, at in sorted(names.items()) if at >= start]
+        newest = max([*(x["at"] for x in held["open"]), *(x["at"] for x in held["names"]), answered])
+        text = json.dumps(held)
+        if state.hasTimedOut and newest < start:
+            state.remove()
+        else:
+            state.update((text,))
+            _timer(state, newest + days * DAY)
+        yield pd.DataFrame({"author_id": [key[0]], "brand": [key[1]], "channel": [key[2]], "state": [text]}).astype(object)
+
+    return run
+
+
+def start_threads(messages: DataFrame, reply_queue: DataFrame, folder: str, days: int = DAYS, late: str = "30 days", **trigger) -> StreamingQuery:
+    """Write a version of every thread that changed to ``folder/threads``, a folder for each batch, which a repeated batch replaces.
+
+    ``folder/resolved`` is what ``start_lookup`` appends. A thread's state holds the inbound messages after its last
+    answer that are within ``days`` of the watermark; when nothing of it is left in the window, a timer ends it.
+    """
+    spark = messages.sparkSession
+    resolved = spark.readStream.schema(RESOLVED).parquet(f"{folder}/resolved")
+    events = thread_events(messages, reply_queue, resolved, late)
+    versions = events.groupBy(*THREAD).applyInPandasWithState(_follow(days), VERSION, "held string", "update", GroupStateTimeout.EventTimeTimeout)
+
+    def run(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/threads/batch={batch}")
+
+    sink = versions.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{folder}/threads-progress")
+    return sink.trigger(**trigger).start()
+
+
+def current_threads(spark: SparkSession, folder: str, as_of, days: int = DAYS) -> DataFrame:
+    """The threads that wait at ``as_of``, from the newest version of each."""
+    versions = spark.read.schema(f"{VERSION}, batch bigint").parquet(f"{folder}/threads")
+    newest = versions.groupBy(*THREAD).agg(F.max_by("state", "batch").alias("state"))
+    start = F.unix_micros(instant(as_of)) - max(days, 1) * DAY
+    held = newest.select(*THREAD, F.from_json("state", HELD).alias("s"))
+    inside = held.select(
+        *THREAD,
+        F.filter("s.open", lambda x: x["at"] >= start).alias("open"),
+        F.array_max(F.transform(F.filter("s.names", lambda x: x["at"] >= start), lambda x: x["name"])).alias("author"),
+        F.col("s.last").alias("last"),
+        F.greatest(
+            F.when(F.col("s.out") >= start, F.timestamp_micros("s.out")), F.timestamp_micros("s.sent"), never()
+        ).alias("last_out"),
+    ).filter(F.size("open") > 0)
+    matched = F.col("brand").isNotNull() & F.col("channel").isNotNull()
+    none = F.lit(0).cast("long")
+    categories = F.array_sort(F.array_distinct(F.filter(F.transform("open", lambda x: x["category"]), lambda c: c.isNotNull())))
+    return inside.select(
+        *THREAD,
+        "author",
+        F.timestamp_micros("last.at").alias("last_in"),
+        "last_out",
+        F.when(matched, F.timestamp_micros(F.array_min(F.transform("open", lambda x: x["at"])))).alias("waiting_since"),
+        F.when(matched, F.size("open").cast("long")).otherwise(none).alias("n_unanswered"),
+        F.when(matched, F.size(F.filter("open", lambda x: x["media"])).cast("long")).otherwise(none).alias("n_media"),
+        F.when(matched, blank_to_null(F.array_join(categories, ", "))).alias("categories"),
+        F.when(matched, F.col("last.text")).alias("last_text"),
+        F.when(matched, F.col("last.message_id")).alias("last_message_id"),
     )
-    known = everyone.filter(F.col("batch") <= batch)
-    known = skew_join(known, touched, ["bucket", *THREAD], "left_semi", spread=["id"])
-    window = threads.recent(known, as_of, days)
-    sent = resolved.filter(F.col("batch") <= batch).join(touched, ["bucket", *THREAD], "left_semi")
-    open_threads = threads.unanswered(threads.last_outbound(threads.thread_rollup(window), sent.select(*THREAD, "sent_at")))
-    waiting = threads.waiting(window, open_threads)
-    # a touched thread without a row here has been answered: last_in stays NULL
-    store.write(touched.select(*THREAD).join(waiting, THREAD, "left"), "threads", batch, "author_id")
-
-
-def current_threads(store: Store) -> DataFrame:
-    """The newest version of every thread that still waits."""
-    versions = store.read("threads", OPEN_THREAD)
-    latest = F.row_number().over(W.partitionBy("bucket", *THREAD).orderBy(F.col("batch").desc()))
-    rows = versions.withColumn("_version", latest).filter("_version = 1 and last_in is not null")
-    return rows.drop("_version", "batch", "bucket")
-
 
-def start_threads(
-    events: DataFrame, store: Store, checkpoint: str, as_of, days: int = 7, **trigger
-) -> StreamingQuery:
-    """Keep the store's threads up to date; ``trigger`` as in ``DataStreamWriter.trigger``."""
 
-    def run(batch_rows: DataFrame, batch: int) -> None:
-        update_threads(store, batch_rows, batch, as_of, days)
-
-    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-# --- outbox -----------------------------------------------------------------
+# --- outbox -------------------------------------------------------------------
 
 ACCEPTED = "seq bigint, brand string, channel string, ref string, text string, by_whom string"
 
 
-def start_outbox(
-    replies: DataFrame, messages: DataFrame, store: Store, checkpoint: str, **trigger
-) -> StreamingQuery:
-    """Check each micro-batch of reply actions against ``messages``; keep the good ones and the rejected ones."""
+def start_outbox(replies: DataFrame, messages: Callable[[], DataFrame], folder: str, **trigger) -> StreamingQuery:
+    """Check each micro-batch of reply actions and write it, with its errors, to ``folder/checked``.
+
+    ``messages`` is called for every batch, so that comments that came meanwhile are known. A repeated batch replaces its own folder.
+    """
 
-    def run(batch_rows: DataFrame, batch: int) -> None:
-        store.write(batch_rows, "arrived", batch, "ref")
-        arrived = store.read("arrived", ACCEPTED).filter(F.col("batch") == batch).drop("batch", "bucket")
-        store.write(actions.validate_replies(arrived, messages), "checked", batch, "ref")
+    def run(rows: DataFrame, batch: int) -> None:
+        actions.validate_replies(rows, messages()).write.mode("overwrite").parquet(f"{folder}/checked/batch={batch}")
 
-    return replies.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return replies.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/outbox-progress").trigger(**trigger).start()
 
 
-def outbox_actions(store: Store) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) actions of the store so far."""
-    checked = store.read("checked", f"{ACCEPTED}, error string").drop("batch", "bucket")
+def outbox_actions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) actions so far."""
+    checked = spark.read.schema(f"{ACCEPTED}, error string, batch bigint").parquet(f"{folder}/checked").drop("batch")
     return actions.split_valid(checked)
 
 
-def current_outbox(store: Store, reply_queue: DataFrame, as_of, first_id: int) -> DataFrame:
-    """The reply queue with every accepted action so far: one row per (channel, ref)."""
-    return actions.upsert_replies(reply_queue, outbox_actions(store)[0], as_of, first_id)
+def current_outbox(spark: SparkSession, folder: str, reply_queue: DataFrame, as_of, first_id: int) -> DataFrame:
+    """The reply queue with every accepted action so far: one row per (channel, ref), whatever batch it came in."""
+    return actions.upsert_replies(reply_queue, outbox_actions(spark, folder)[0], as_of, first_id)

@@ -40,26 +40,41 @@ def test_threads_in_any_order(spark, table, rows):
     # sends arrive with the first files, before most of the messages they answer
     messages.repartition(3).write.parquet(f"{folder}/in/messages")
     sends.coalesce(1).write.parquet(f"{folder}/in/queue")
+    run_threads(spark, folder)
+    found = rows(live.current_threads(spark, folder, AS_OF, 7), *COLUMNS)
+    assert found == rows(expected, *COLUMNS) and found
 
+
+COLUMNS = [*THREAD, "last_in", "last_out", "waiting_since", "n_unanswered", "n_media", "categories", "last_text", "last_message_id"]
+
+
+def run_threads(spark, folder):
     def stream(name, schema):
         return spark.readStream.schema(SCHEMAS[schema]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/{name}")
 
-    store = live.Store(spark, f"{folder}/store", buckets=3)
-    events = live.thread_events(stream("messages", "messages"), stream("queue", "reply_queue"))
-    live.start_threads(events, store, f"{folder}/progress", AS_OF, 7, availableNow=True).awaitTermination()
-    columns = [*THREAD, "last_in", "last_out", "waiting_since", "n_unanswered", "n_media", "categories", "last_text", "last_message_id"]
-    found = rows(live.current_threads(store), *columns)
-    assert found == rows(expected, *columns) and found
+    both = lambda: (stream("messages", "messages"), stream("queue", "reply_queue"))
+    live.start_lookup(*both(), folder, availableNow=True).awaitTermination()
+    query = live.start_threads(*both(), folder, availableNow=True)
+    query.awaitTermination()
+    return query
 
 
-def test_a_repeated_batch_changes_nothing(spark, table, rows):
+def test_late_sends_a_moving_clock_and_no_reread(spark, table, rows):
+    """Input comes in three runs; the last has answers to earlier messages, and the clock of the view moves on."""
     folder = workspace(spark)
-    store = live.Store(spark, folder, buckets=2)
-    events = live.thread_events(table("messages", *_messages(30, 6)), table("reply_queue"))
-    live.update_threads(store, events, 0, AS_OF, 7)
-    first = rows(live.current_threads(store))
-    live.update_threads(store, events, 0, AS_OF, 7)
-    assert rows(live.current_threads(store)) == first and first
+    every, queue = [], []
+    for k in range(3):
+        some = [m | {"id": 1000 * k + m["id"], "message_id": f"m{1000 * k + m['id']}"} for m in _messages(60, 20 + k)]
+        sends = [dict(id=100 * k + i, brand="brand_es", channel="comentario_publico", ref=f"m{1000 * (k - 1) + i}", sent_at=NOW - datetime.timedelta(hours=30 * i)) for i in range(5)]
+        every, queue = every + some, queue + sends
+        table("messages", *some).coalesce(1).write.mode("append").parquet(f"{folder}/in/messages")
+        table("reply_queue", *sends).coalesce(1).write.mode("append").parquet(f"{folder}/in/queue")
+        query = run_threads(spark, folder)
+        read = sum(p["numInputRows"] for p in query.recentProgress)
+        assert read <= len(some) + 2 * len(sends) + 5
+        for as_of in (AS_OF, "2024-02-03 00:00:00"):
+            expected = threads.waiting_threads(table("messages", *every), table("reply_queue", *queue), as_of, 7)
+            assert rows(live.current_threads(spark, folder, as_of, 7), *COLUMNS) == rows(expected, *COLUMNS)
 
 
 def test_outbox(spark, table, rows):
@@ -70,9 +85,8 @@ def test_outbox(spark, table, rows):
     folder = workspace(spark)
     replies.repartition(3).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(live.ACCEPTED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    store = live.Store(spark, f"{folder}/store", buckets=2)
-    live.start_outbox(stream, messages, store, f"{folder}/progress", availableNow=True).awaitTermination()
+    live.start_outbox(stream, lambda: messages, folder, availableNow=True).awaitTermination()
     accepted, rejected = actions.split_valid(actions.validate_replies(replies, messages))
     expected = actions.upsert_replies(queue, accepted, AS_OF, 100)
-    assert rows(live.current_outbox(store, queue, AS_OF, 100)) == rows(expected)
-    assert rows(live.outbox_actions(store)[1], "seq", "error") == rows(rejected, "seq", "error") == [(20, "brand")]
+    assert rows(live.current_outbox(spark, folder, queue, AS_OF, 100)) == rows(expected)
+    assert rows(live.outbox_actions(spark, folder)[1], "seq", "error") == rows(rejected, "seq", "error") == [(20, "brand")]
