@@ -70,7 +70,7 @@ select cast(2000000000000 + c_custkey as bigint) as id, {_brand('c_custkey')} as
 from customer
 union all
 select id, brand, case when id % 2 = 0 then 'comentario_publico' else 'comentario_privado' end, message_id,
-  'reply ' || message_id, null, created_at,
+  coalesce(text, 'reply ' || message_id), null, created_at,
   case when id % 3 = 0 then null else created_at + interval '1' hour end, case when id % 3 = 0 then null else 'ok' end
 from messages where channel = 'comentario' and category is null""",
     "case_state": f"""
@@ -176,7 +176,7 @@ select id as seq, case when id % 23 = 0 then 'brand_xx' when brand = 'brand_de'
   case when id % 29 = 0 then 'fax' when channel = 'dm' then 'dm' when id % 2 = 0 then 'comentario_publico' else 'comentario_privado' end as channel,
   case when id % 31 = 0 then 'abc' when channel = 'dm' then author_id when id % 37 = 0 then '99999999999999999' else message_id end as ref,
   case when id % 41 = 0 then 'see banned-domain.example now' when id % 43 = 0 then 'buy at shop.com now' when id % 47 = 0 then '   '
-       when id % 53 = 0 then repeat('x', 1001) when id % 3 = 0 then ' ok' || chr(10) || 'two' || chr(10) || 'three ' when id % 3 = 1 then 'thanks ' || message_id
+       when id % 53 = 0 then repeat('x', 1001) when id % 17 = 0 then ' ok' || chr(10) || 'two' || chr(10) || 'three ' when id % 13 = 1 then 'thanks ' || message_id
        else coalesce(text, 'ok') end as text, 'agent' as by_whom
 from messages where direction = 'entrada'""",
     "actions_ops": f"""
