@@ -26,14 +26,14 @@ WINDOW, END = 2048, 1
 OPEN = 4096
 
 #: Words whose ids a Python worker remembers, and the longest that it does.
-MEMORY, LONGEST = 400_000, 64
+MEMORY, LONGEST = 800_000, 64
 
 
 class Tokens:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes; ids of words are remembered.
 
-    Byte-level pre-tokenisation starts a token at every space that has a non-space on either side, so a text can be cut there
-    and its parts encoded on their own. A text with another space is encoded as a whole.
+    Byte-level pre-tokenisation starts a token at every space and line feed between characters that are not white, so a text can be
+    cut there and its parts, each with the space or line feed before it, encoded on their own. A text with other spaces is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -42,38 +42,55 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their names in a text are ordinary text
+        names = self.model.get_vocab()
+        #: of a space and a line feed: the ids that begin with it, which byte-level vocabularies write as these letters
+        self.first = {}
+        for space, letter in ((" ", "\u0120"), ("\n", "\u010a")):
+            self.first[space] = np.zeros(max(names.values()) + 1, dtype=bool)
+            self.first[space][[i for x, i in names.items() if x.startswith(letter)]] = True
         self.known: dict[str, bytes | None] = {}
 
-    def raw(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+    def raw(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def words(self, space: str, parts: list[str]) -> list[bytes]:
+        """Ids of parts without ``space``, each after one: all in one call, cut where an id begins with it."""
+        if not parts:
+            return []
+        ids = self.raw(space + space.join(parts))
+        starts = np.flatnonzero(self.first[space][ids])
+        if len(starts) != len(parts):
+            return [self.raw(space + x).tobytes() for x in parts]
+        flat, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+        return [flat[a:b] for a, b in zip((4 * starts).tolist(), ends)]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        split = [x.split(" ") for x in texts]
-        new = list({x for parts in split for x in parts[1:]}.difference(self.known))
-        here = dict.fromkeys((x for x in new if not x or x[0].isspace()), None)
+        split = [x.replace("\n", " \n").split(" ") for x in texts]
+        # a text's first part is looked up with a mark that no other part has
+        for parts in split:
+            parts[0] = " " + parts[0]
+        here = set()
+        for parts in split:
+            here.update(parts)
+        new = here.difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.known = {x: self.known[x] for x in here.difference(new)}
+        self.known.update(dict.fromkeys(new, None))
         plain = [x for x in new if x and not x[0].isspace()]
-        here.update(zip(plain, self.raw([" " + x for x in plain])))
-        self.known.update(x for x in here.items() if len(x[0]) <= LONGEST)
-        here = _Either(here, self.known)
-        for text, parts, first in zip(texts, split, self.raw([x[0] for x in split])):
+        self.known.update(zip(plain, self.words(" ", plain)))
+        lines = [x[1:] for x in new if x[:1] == "\n" and x[1:] and not x[1].isspace()]
+        self.known.update(zip(["\n" + x for x in lines], self.words("\n", lines)))
+        for x in new:
+            if x[:1] == " ":
+                self.known[x] = self.raw(x[1:]).tobytes()
+        for text, parts in zip(texts, split):
             try:
-                yield first + b"".join(map(here.__getitem__, parts[1:]))
+                yield b"".join(map(self.known.__getitem__, parts))
             except TypeError:  # a part that can't be encoded on its own
-                yield self.raw([text])[0]
-
-
-class _Either(dict):
-    """``known`` first, then words of this block."""
-
-    def __init__(self, here: dict, known: dict):
-        super().__init__(known if len(known) < len(here) else {})
-        self.update(here)
-        self.rest = known
-
-    def __missing__(self, x: str):
-        return self.rest[x]
+                yield self.raw(text).tobytes()
+        for x in new:
+            if len(x) > LONGEST:
+                del self.known[x]
 
 
 class Packer:
