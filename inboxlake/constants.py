@@ -158,6 +158,21 @@ LINES = {
     "fact": "- [{topic}] {text}",
 }
 
+# fixed values: the text that a summary is made from, its lines, and what stands for nothing
+SUMMARY_CASE = (
+    "MARCA: {brand}\nCOMPRAS: {purchases}\nE-MAILS COM ARQUIVOS: {deliveries}\nESTADO NO FLUXO: {state}\n\n"
+    "CONVERSA (cronológica, {n} mensagens):\n{transcript}"
+)
+SUMMARY_LINES = {
+    "purchase": "{status} {product} {day} {transaction}",
+    "delivery": "{at} para {to} ({n} arq, {result})",
+    "state_email": " · e-mail {email}",
+    "no_purchases": "nenhuma compra encontrada",
+    "no_deliveries": "nenhum e-mail com arquivos enviado por nós",
+    "no_state": "nunca entrou no fluxo de acesso",
+}
+NO_FACTS, NO_CORRECTIONS = "(vazio)", "(nenhuma ainda)"
+
 # fixed values: the case text
 CHANNEL_TEXTS = {
     "dm": "DM (mensagem direta)",

@@ -18,8 +18,12 @@ from inboxlake.constants import (
     CORRECTIONS_READ,
     INBOUND,
     LINES,
+    NO_CORRECTIONS,
+    NO_FACTS,
     PRIVATE_TEXT,
     REPLY_LANGS,
+    SUMMARY_CASE,
+    SUMMARY_LINES,
     TRANSCRIPT_LONG,
     TRANSCRIPT_SHORT,
     TRANSLATION_BATCH,
@@ -241,6 +245,23 @@ def active_facts(facts: DataFrame) -> DataFrame:
     return facts.filter("active").select("id", "topic", line).orderBy("topic", "id")
 
 
+def reply_background(requests: DataFrame, corrections: DataFrame, facts: DataFrame) -> DataFrame:
+    """Add ``knowledge`` (every active fact) and ``preferences`` (the ranked corrections) to each request, as texts.
+
+    Both are scalar subqueries, as all requests share the facts: requests are neither joined nor shuffled.
+    """
+    entry = F.struct("topic", "id", filled(LINES["fact"], topic=_shown(F.col("topic")), text=_shown(F.col("text"))).alias("line"))
+    lines = facts.filter("active").agg(F.array_join(F.sort_array(F.collect_list(entry))["line"], "\n").alias("text")).scalar()
+    ranked = ranked_corrections(requests, corrections)
+    preferences = F.array_join(F.transform("corrections", correction_line), "\n")
+    return ranked.withColumns(
+        {
+            "knowledge": F.coalesce(blank_to_null(lines), F.lit(NO_FACTS)),
+            "preferences": F.coalesce(blank_to_null(preferences), F.lit(NO_CORRECTIONS)),
+        }
+    ).drop("corrections")
+
+
 # --- the case ---------------------------------------------------------------
 
 def file_totals(keyed: DataFrame, bought: DataFrame, deliveries: DataFrame, counts: DataFrame) -> DataFrame:
@@ -314,6 +335,40 @@ def case_context(
     return rows.select("author_id", "brand", "channel", "lang", "mode", F.concat(body, talk, task).alias("context"))
 
 
+def summary_case(file: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The text that a summary is made from, for each file whose author has messages: purchases, deliveries, state, conversation.
+
+    ``file`` is the customer file, ``transcripts`` are those of ``summary_transcript``.
+    """
+    words = SUMMARY_LINES
+
+    def purchase(p):
+        status = F.when(p["paid"], WORDS["paid"]).otherwise(_shown(p["status"]))
+        day = _shown(stamp(F.coalesce(p["approved_at"], p["registered_at"]), DAY))
+        return filled(words["purchase"], status=status, product=_shown(p["product_name"]), day=day, transaction=_shown(p["transaction"]))
+
+    def delivery(d):
+        n = F.greatest(F.coalesce(F.size(d["files"]), F.lit(0)), F.lit(0))
+        at = _shown(stamp(d["created_at"], "yyyy-MM-dd HH:mm"))
+        return filled(words["delivery"], at=at, to=_shown(d["to_address"]), n=n.cast("string"), result=_shown(d["result"]))
+
+    def listed(name: str, line, none: str) -> Column:
+        return F.coalesce(blank_to_null(F.array_join(F.transform(name, line), "; ")), F.lit(none))
+
+    email = F.coalesce(filled(words["state_email"], email=blank_to_null(F.col("state.given_email"))), F.lit(""))
+    state = F.when(F.col("state").isNull(), words["no_state"]).otherwise(F.concat(_shown(F.col("state.state")), email))
+    text = filled(
+        SUMMARY_CASE,
+        brand=_shown(F.col("brand")),
+        purchases=listed("purchases", purchase, words["no_purchases"]),
+        deliveries=listed("deliveries", delivery, words["no_deliveries"]),
+        state=state,
+        n=F.col("n_msgs").cast("string"),
+        transcript=F.col("transcript"),
+    )
+    return file.join(transcripts, "author_id").select("author_id", "brand", "n_msgs", "newest_at", text.alias("context"))
+
+
 # --- backlogs ---------------------------------------------------------------
 
 

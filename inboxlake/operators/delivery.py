@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inboxlake.constants import BRAND_LANGS, BRAND_NAMES, EMAIL_SHAPE, MAIL_TEXTS
 from inboxlake.functions.language import brand_language
-from inboxlake.functions.text import by_value, escape_html, first_name, public_url, trim_all
+from inboxlake.functions.text import by_value, escape_html, first_name, instant, public_url, trim_all
 from inboxlake.operators.skew import with_place
 
 ITEM = ["brand", "title", "bucket", "file", "position"]
@@ -163,6 +163,17 @@ def rendered(requests: DataFrame, linked: DataFrame, brand_names=BRAND_NAMES) ->
     )
 
 
+def delivery_records(mails: DataFrame, requests: DataFrame, as_of) -> DataFrame:
+    """The rows that sent messages add to the deliveries, without the id that the table gives them.
+
+    ``mails`` of ``rendered``; ``requests`` has request_key, to_address, base, by_whom and the service's ok, status and body.
+    """
+    sent = requests.select("request_key", "to_address", "base", "by_whom", send_result(F.col("ok"), F.col("status"), F.col("body")).alias("result"))
+    return mails.join(sent, "request_key").select(
+        "author_id", "brand", "lang", "to_address", "subject", "files", "base", "result", "by_whom", instant(as_of).alias("created_at")
+    )
+
+
 def send_result(ok: Column, status: Column, body: Column) -> Column:
     """``ok``, or the service's status and the start of its answer."""
     return F.when(F.coalesce(ok, F.lit(False)), F.lit("ok")).otherwise(

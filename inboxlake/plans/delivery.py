@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from inboxlake.constants import BRAND_LANGS, BRAND_NAMES, DEFAULT_LANG, MAIL_TEXTS
 from inboxlake.operators import customer, delivery as op
 from inboxlake.plans.customer import ENTITLED, Parts
-from inboxlake.plans.registry import query
+from inboxlake.plans.registry import NOW, query
+from inboxlake.sources.derived import AS_OF
 from inboxlake.sources.tables import workspace
 
 BASE_URL = "https://files.example//"
@@ -207,6 +208,25 @@ def rendered(t):
     return mails.select("request_key", "lang", "subject", F.array_join("files", ", ").alias("files"), "plain", "html")
 
 
+
+ANSWER = "case when {0}.status < 300 then 'ok' else concat('resend ', {0}.status, ': ', '{{}}') end"
+
+
+@query(
+    "F26_delivery_records",
+    LINKED + f"""
+, files as (select request_key, string_agg(title, ', ' order by place) as files from linked where url is not null group by all)
+select d.author_id, d.brand, {LANG_SQL.replace('lang', 'd.lang').replace('case brand', 'case d.brand')} as lang, lower({TRIMMED.format('d.to_address')}) as to_address,
+  f.files, d.base, {ANSWER.format('d')} as result, d.by_whom, {NOW} as created_at
+from decided d join files f using (request_key)""",
+)
+def _(t):
+    s = Sends(t, settle=True)
+    answers = op.with_address(s.decided).withColumns({"ok": F.col("status") < 300, "body": F.lit(None).cast("string")})
+    records = op.delivery_records(op.rendered(s.addressed(), s.linked()), answers, AS_OF)
+    return records.withColumn("files", F.array_join("files", ", ")).drop("subject")
+
+
 @query(
     "F23_send_result",
     """select page_id, case when page_id % 5 <> 0 then 'ok' else 'resend ' || cast(400 + page_id % 100 as string) || ': ' || left(html, 300) end as result
