@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,7 +17,15 @@ from inboxlake.sources.tables import settled
 SPACES = b" \t\n\x0b\x0c\r"
 
 #: Bytes of text that a Python task holds in one block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+
+#: Bytes of an Arrow batch between Spark and a Python task.
+BATCH_BYTES = "8m"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Small Arrow batches for this session, so that a Python task holds a few of ``BATCH_BYTES`` whatever the rows' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

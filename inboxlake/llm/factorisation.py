@@ -26,7 +26,7 @@ TRAIN_ROWS = 8_000
 SLOTS, RANK = 1 << 14, 8
 
 #: Distinct words whose slots a Python worker remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 
 
 class Features:

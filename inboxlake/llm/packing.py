@@ -25,8 +25,8 @@ WINDOW, END = 2048, 1
 #: Partially filled windows that a task holds before it cuts them anew.
 OPEN = 4096
 
-#: Words whose ids a Python worker remembers, and the longest that it does.
-MEMORY, LONGEST = 800_000, 64
+#: Words whose ids a Python worker remembers, and the longest that it does; words that are encoded in one call.
+MEMORY, LONGEST, TOGETHER = 400_000, 64, 10_000
 
 
 class Tokens:
@@ -55,6 +55,8 @@ class Tokens:
 
     def words(self, space: str, parts: list[str]) -> list[bytes]:
         """Ids of parts without ``space``, each after one: all in one call, cut where an id begins with it."""
+        if len(parts) > TOGETHER:
+            return [x for lo in range(0, len(parts), TOGETHER) for x in self.words(space, parts[lo : lo + TOGETHER])]
         if not parts:
             return []
         ids = self.raw(space + space.join(parts))

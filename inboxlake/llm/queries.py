@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inboxlake.llm import factorisation, packing, pieces, quality_rules, sharding, simhash, suffix_dedup, tool_links, url_filter, vafile
+from inboxlake.llm.common import bounded
 from inboxlake.sources.tables import workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

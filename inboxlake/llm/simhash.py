@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inboxlake.llm.common import blocks, components, extended, packed, quoted, texts
+from inboxlake.llm.common import blocks, components, extended, packed, quoted, row_key, texts
 from inboxlake.llm.gray_index import GrayIndex
 from inboxlake.sources.tables import settled
 
@@ -188,14 +188,13 @@ def keep_one(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "tex
     """The document with the smallest key of each group of near-duplicates (``WIDE``), with all its columns as they came.
 
     Texts A and B of equal size with a Jaccard similarity J of their shingles have SimHash bits that differ with the
-    chance acos(2J / (1 + J)) / pi: 39 of 256 at J = 0.8, 128 for unrelated ones. Rows of one key are kept by the smallest hash of
-    their text, and of rows that agree in both, one is kept.
+    chance acos(2J / (1 + J)) / pi: 39 of 256 at J = 0.8, 128 for unrelated ones. A null key is the smallest; of several rows with one key
+    that with the smallest hash of key and text stays, and one of rows that agree in both.
     """
-    own = F.struct(F.col(quoted(key)).alias("key"), F.xxhash64(F.col(quoted(text))).alias("hash"))
+    own = F.struct(F.col(quoted(key)).alias("key"), row_key(key, text).alias("hash"))
     keyed = docs.select(own.alias("own"), F.col(quoted(text)).alias("text"))
     groups = near_duplicates(keyed, folder, "own", "text", **WIDE)
-    chosen = settled(groups.select(F.col("component").alias("own")).distinct(), folder, "chosen")
-    rows = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("row"), own.alias("own"))
-    # a null key is a key here, as the whole struct is compared
-    kept = rows.join(chosen, rows["own"].eqNullSafe(chosen["own"]), "left_semi")
-    return kept.dropDuplicates(["own"]).select("row.*")
+    chosen = settled(groups.select(F.col("component.hash").alias("hash")).distinct(), folder, "chosen")
+    rows = docs.select(row_key(key, text).alias("hash"), F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("row"))
+    # the join leaves rows dealt and sorted by the hash, as the removal of repeats needs them
+    return rows.join(chosen, "hash", "left_semi").dropDuplicates(["hash"]).select("row.*")

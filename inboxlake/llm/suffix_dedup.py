@@ -25,7 +25,7 @@ from inboxlake.sources.tables import settled
 SIZE, GRAM = 200, 32
 
 #: Bytes of strings in a shard, and bytes of text that a task scans at once.
-SHARD_BYTES, SCAN_BYTES = 1 << 20, 1 << 20
+SHARD_BYTES, SCAN_BYTES = 1 << 19, 1 << 19
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_B), -1, 1 << 64))
