@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inboxlake.llm import factorisation, packing, quality_rules, simhash, suffix_dedup
+from inboxlake.llm.common import bounded
 from inboxlake.llm.queries import table, tokenizer
 from inboxlake.sources.tables import settled, workspace
 
@@ -25,16 +26,19 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    bounded(spark)
     return simhash.keep_one(docs, workspace(spark))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes that start anywhere else too are cut out of the texts."""
+    bounded(spark)
     return suffix_dedup.without_repeats(docs, workspace(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2,048 tokens, with their ids."""
+    bounded(spark)
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
