@@ -44,7 +44,8 @@ def validate_replies(
 ) -> DataFrame:
     """Add ``error``: the first broken rule of a reply, NULL when it is good. The text comes out trimmed."""
     comments = messages.filter((F.col("channel") == "comentario") & F.col("message_id").isNotNull())
-    known = comments.select(F.col("message_id").alias("ref")).distinct().withColumn("_known", F.lit(True))
+    refs = actions.filter(F.col("channel") != "dm").select("ref").distinct()
+    known = comments.select(F.col("message_id").alias("ref")).join(refs, "ref", "left_semi").distinct().withColumn("_known", F.lit(True))
     checked = skew_join(actions, known, ["ref"], "left", spread=["seq"])
     checked = checked.withColumn("text", _text("text"))
     text, ref = F.col("text"), F.col("ref")

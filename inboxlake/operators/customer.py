@@ -53,7 +53,8 @@ def emails_in_text(messages: DataFrame) -> DataFrame:
 
 def known_emails(keyed: DataFrame, states: DataFrame, refunds: DataFrame, messages: DataFrame) -> DataFrame:
     """(request, author, e-mail): from the newest state, from refunds and from inbound texts; lower case, not blank."""
-    written = emails_in_text(messages).select("author_id", F.lower("email").alias("email"))
+    asked = messages.join(keyed.select("author_id").distinct(), "author_id", "left_semi")
+    written = emails_in_text(asked).select("author_id", F.lower("email").alias("email"))
     refunded = refunds.filter(F.col("author_id").isNotNull()).select("author_id", F.lower("email").alias("email"))
     of_author = written.unionByName(refunded).distinct()
     of_request = of_author.join(_by_author(keyed), "author_id").select("request_key", "author_id", "email")
