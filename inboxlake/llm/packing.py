@@ -25,8 +25,11 @@ WINDOW, END = 2048, 1
 #: Partially filled windows that a task holds before it cuts them anew.
 OPEN = 4096
 
+#: Marks that end words.
+MARKS = ".,;:!?|#*$%&"
+
 #: Words whose ids a Python worker remembers, and the longest that it does; words that are encoded in one call.
-MEMORY, LONGEST, TOGETHER = 400_000, 64, 10_000
+MEMORY, LONGEST, TOGETHER = 800_000, 64, 10_000
 
 
 class Tokens:
@@ -49,6 +52,7 @@ class Tokens:
             self.first[space] = np.zeros(max(names.values()) + 1, dtype=bool)
             self.first[space][[i for x, i in names.items() if x.startswith(letter)]] = True
         self.known: dict[str, bytes | None] = {}
+        self.marks = {x: self.raw(x).tobytes() for x in MARKS}
 
     def raw(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -79,7 +83,13 @@ class Tokens:
             self.known = {x: self.known[x] for x in here.difference(new)}
         self.known.update(dict.fromkeys(new, None))
         plain = [x for x in new if x and not x[0].isspace()]
-        self.known.update(zip(plain, self.words(" ", plain)))
+        # a mark after a letter or digit is an id of its own, so the word before it is encoded once for all marks
+        marked = [x for x in plain if x[-1] in MARKS and x[-2:-1].isalnum()]
+        bare = {x[:-1] for x in marked}.difference(self.known)
+        plain = [*bare.union(plain).difference(marked)]
+        found = dict(zip(plain, self.words(" ", plain)))
+        self.known.update((x, found[x]) for x in new.intersection(found))
+        self.known.update((x, (found[x[:-1]] if x[:-1] in found else self.known[x[:-1]]) + self.marks[x[-1]]) for x in marked)
         lines = [x[1:] for x in new if x[:1] == "\n" and x[1:] and not x[1].isspace()]
         self.known.update(zip(["\n" + x for x in lines], self.words("\n", lines)))
         for x in new:
@@ -113,13 +123,15 @@ class Packer:
 
     def choose(self, size: int) -> int:
         """The fill to place a piece of ``size`` on: the least sum of squares, then the fullest; 0 is a new window."""
-        fill = np.arange(self.window - size + 1)
-        n, to = self.level[: len(fill)], self.level[size:]
-        change = 2 * to + 1 - 2 * n + 1
-        change[-1] = 1 - 2 * n[-1]  # a window that becomes full is counted no more
-        change[0] = 2 * to[0] + 1 if size < self.window else 0
-        change[(n == 0) & (fill > 0)] = np.iinfo(np.int64).max
-        return int(len(change) - 1 - np.argmin(change[::-1]))
+        fill = np.flatnonzero(self.level[: self.window - size + 1])
+        if not len(fill):
+            return 0
+        n = self.level[fill]
+        change = 2 * (self.level[fill + size] - n) + 2
+        if fill[-1] + size == self.window:
+            change[-1] = 1 - 2 * n[-1]  # a window that becomes full is counted no more
+        best = len(change) - 1 - int(np.argmin(change[::-1]))
+        return int(fill[best]) if change[best] <= 2 * self.level[size] + 1 else 0
 
     def place(self, document, ids: bytes) -> Iterator[tuple]:
         total, at = len(ids) // 4, 0
