@@ -122,3 +122,39 @@ def test_one_of_each_group_stays(spark, awkward, folder):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
     left = simhash.keep_one(awkward, folder).collect()
     assert [r.doc_id for r in left].count(4) <= 1 and {r.doc_id for r in left} >= {3, 5, 7}
+
+
+def pair(draw, jaccard, n):
+    """Two texts of about ``n`` different words whose sets of five-word shingles have nearly the similarity given, and that."""
+    words = ["".join(draw.choices("abcdefghij", k=8)) for _ in range(n)]
+    other = [*words[: round((n - 4) * 2 * jaccard / (1 + jaccard)) + 4]]
+    other += ["".join(draw.choices("klmnopqrst", k=8)) for _ in range(n - len(other))]
+    a, b = ({tuple(x[k : k + 5]) for k in range(n - 4)} for x in (words, other))
+    return " ".join(words), " ".join(other), len(a & b) / len(a | b)
+
+
+def test_similar_pairs_link_and_others_do_not(spark, folder):
+    """Pairs at 0.8 to 0.85 lie around the old radius, those at 0.75 to 0.79 too; repeats don't count."""
+    draw = random.Random(31)
+    pairs = [pair(draw, j, n) for j in (0.7, 0.75, 0.78, 0.805, 0.82, 0.85, 0.9) for n in [150, 400, 900] for _ in range(20)]
+    line = " ".join(draw.choices("uvwxyz", k=12))
+    pairs += [(a, f"{a} {' '.join([line] * 200)}", 400 / 416) for a in (pair(draw, 0.5, 404)[0] for _ in range(5))]
+    pairs += [(f"{a} {' '.join([line + str(i)] * 300)}", f"{b} {' '.join([line + str(i)] * 300)}", 0.3) for i, (a, b, _) in enumerate(pair(draw, 0.2, 60) for _ in range(5))]
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one(docs, folder).collect()}
+    assert kept == {2 * i for i in range(len(pairs))} | {2 * i + 1 for i, p in enumerate(pairs) if p[2] < 0.8}
+
+
+def test_a_link_left_out_stands_on_compared_ones(spark, folder, monkeypatch):
+    """A chain of steps at 0.9 is one group; its ends are not alike; a neighbour at 0.78 of every member stays apart, in pieces too."""
+    draw = random.Random(32)
+    words = ["".join(draw.choices("abcdefghij", k=8)) for _ in range(1000)]
+    chain = [" ".join(words[20 * k : 20 * k + 400]) for k in range(20)]
+    apart = " ".join(words[:352] + ["".join(draw.choices("klmnopqrst", k=8)) for _ in range(48)])
+    docs = spark.createDataFrame([*enumerate(chain), (50, apart)], "doc_id long, text string")
+    want = {**{k: 0 for k in range(20)}, 50: 50}
+    assert {r.rest.doc_id: r.component for r in simhash.near_duplicates(docs, folder, **simhash.WIDE).collect()} == want
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    monkeypatch.setattr(simhash, "GROUP_SHINGLES", 900)
+    assert {r.rest.doc_id: r.component for r in simhash.near_duplicates(docs, folder, **simhash.WIDE).collect()} == want
