@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -63,3 +64,44 @@ def test_near_copies_are_alike(spark, folder):
         sets = {i: shingles(i) for i in members}
         for i in members if len(members) > 1 else ():
             assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in members if j != i) >= 0.6
+
+
+def test_groups_against_all_pairs(spark, folder):
+    """The documents that stay are the smallest ids of the groups by exact Jaccard of five-word shingles, all pairs compared, planted ones too."""
+    draw = random.Random(50)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    first, planted = max(i for i, _ in rows) + 1, []
+    for jaccard in (0.75, 0.82, 0.85, 0.9) * 10:
+        words = ["".join(draw.choices("abcdefghij", k=8)) for _ in range(draw.randint(200, 600))]
+        same = round((len(words) - 4) * 2 * jaccard / (1 + jaccard)) + 4
+        other = words[:same] + ["".join(draw.choices("klmnopqrst", k=8)) for _ in range(len(words) - same)]
+        planted.append((first, first + 1, jaccard))
+        rows += [(first, " ".join(words)), (first + 1, " ".join(other))]
+        first += 2
+
+    sets, holders = {}, {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        shared = {}
+        for x in sets[i]:
+            for j in holders[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if n / (len(sets[i]) + len(sets[j]) - n) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert all((top(a) == top(b)) == (jaccard > 0.8) for a, b, jaccard in planted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.keep_one(docs, folder).select("doc_id").collect()} == {top(i) for i in sets}
