@@ -1,4 +1,3 @@
-import datetime
 import sys
 from pathlib import Path
 
@@ -26,10 +25,6 @@ def spark():
     session.stop()
 
 
-def at(text: str) -> datetime.datetime:
-    return datetime.datetime.fromisoformat(text).replace(tzinfo=datetime.timezone.utc)
-
-
 @pytest.fixture(scope="session")
 def table(spark):
     """``table(name, row, row, ...)``: rows as dicts, missing columns NULL, in the declared schema."""

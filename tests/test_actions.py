@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from conftest import at
+from moments import at
 from pyspark.sql import functions as F
 
 from inboxlake.constants import COMMENT_CHANNELS, MODERATION_BRANDS

@@ -2,7 +2,7 @@ import datetime
 import random
 
 import pytest
-from conftest import at
+from moments import at
 from pyspark.sql import functions as F
 
 from inboxlake.functions import text

@@ -3,7 +3,7 @@
 import datetime
 import random
 
-from conftest import at
+from moments import at
 
 from inboxlake.operators import actions, threads
 from inboxlake.operators.threads import THREAD
