@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inboxlake.llm import factorisation, packing, pieces, quality_rules, sharding, simhash, suffix_dedup, tool_links, url_filter, vafile
+from inboxlake.llm import factorisation, packing, pieces, quality_rules, resampling, sharding, simhash, suffix_dedup, tool_links, url_filter, vafile
 from inboxlake.llm.common import bounded
 from inboxlake.sources.tables import workspace
 
@@ -190,3 +190,59 @@ RULES = (
 @query("op10_url_filter")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"), RULES)
+
+
+@query(
+    "op13_importance_resampling",
+    """
+with recursive bits as (
+  select cast(range as bigint) as b, cast(range as bigint) as v, 0 as k from range(256)
+  union all
+  select b, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bits where k < 8
+), step as (
+  select b, v from bits where k = 8
+), words as (
+  select 'd' as kind, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+  union all
+  select 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') from benchmark
+), features as (
+  select kind, id, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as f from words, (select unnest([1, 2, 3]) as k)
+), kinds as (
+  select f, hex(encode(f)) as x, strlen(f) as n from (select distinct f from features)
+), positions as (
+  select 1 as d, b, v from step
+  union all
+  select p.d + 1, p.b, xor(p.v // 256, s.v) from positions p join step s on s.b = p.v % 256 where p.d < (select max(n) from kinds)
+), lengths as (
+  select 0 as n, 4294967295 as v
+  union all
+  select l.n + 1, xor(l.v // 256, s.v) from lengths l join step s on s.b = l.v % 256 where l.n < (select max(n) from kinds)
+), bytes as (
+  select f, n, n - i as d, cast('0x' || x[2 * i + 1:2 * i + 2] as bigint) as b from (select f, x, n, unnest(range(n)) as i from kinds)
+), hashed as (
+  select f, xor(bit_xor(p.v), any_value(xor(l.v, 4294967295))) % 10000 as bucket
+  from bytes y join positions p on p.d = y.d and p.b = y.b join lengths l on l.n = y.n group by f
+), counted as (
+  select bucket, count(*) filter (where kind = 'd') as s, count(*) filter (where kind = 'b') as t from features join hashed using (f) group by bucket
+), totals as (
+  select cast(coalesce(sum(s), 0) as double) as all_s, cast(coalesce(sum(t), 0) as double) as all_t from counted
+), gains as (
+  select bucket, cast(floor(1000 * ln((cast(t as double) + 1) * (all_s + 10000) / ((cast(s as double) + 1) * (all_t + 10000)))) as bigint) as gain from counted, totals
+), weights as (
+  select id, count(*) as n_features, cast(sum(gain) as bigint) as weight from features join hashed using (f) join gains using (bucket) where kind = 'd' group by id
+), scored as (
+  select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, len(w.w) >= 20 as fit, coalesce(weight, 0)
+    + cast(floor(-1000 * ln(-ln((cast(cast('0x' || left(sha256('42:' || doc_id), 8) as bigint) as double) + 0.5) / 4294967296))) as bigint) as score
+  from documents d join words w on w.kind = 'd' and w.id = d.doc_id left join weights x on x.id = d.doc_id
+), placed as (
+  select *, row_number() over (partition by fit order by score desc, doc_id) as place from scored
+)
+select doc_id, n_features, weight, score, case when fit and place <= 5 * (select count(*) from scored where fit) // 100 then place end as rank from placed
+""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = resampling.ranked(docs, table(spark, folder, "benchmark"), workspace(spark))
+    return rows.select(F.col("rest.doc_id").alias("doc_id"), "n_features", "weight", "score", "rank")

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "conversations", "labels"):
+    for table in ("documents", "embeddings", "pages", "conversations", "labels", "benchmark"):
         connection.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     cursor = connection.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
