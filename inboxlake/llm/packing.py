@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inboxlake.llm.common import blocks, quoted
+from inboxlake.llm.memo import Memo
 
 #: Tokens of a window, and the id that ends a document.
 WINDOW, END = 2048, 1
@@ -32,8 +35,18 @@ MARKS = ".,;:!?|#*$%&"
 MEMORY, LONGEST, TOGETHER = 800_000, 64, 10_000
 
 
+#: Letters of byte-level vocabularies: these code points stand for themselves, the other bytes for 256, 257, ... in order (fixed values).
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    other = [b for b in range(256) if b not in set(_PLAIN)]
+    return {chr(b): b for b in _PLAIN} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
 class Tokens:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes; ids of words are remembered.
+    """Ids of whole texts, as little-endian unsigned 32-bit numbers; ids of words are remembered.
 
     Byte-level pre-tokenisation starts a token at every space and line feed between characters that are not white, so a text can be
     cut there and its parts, each with the space or line feed before it, encoded on their own. A text with other spaces is encoded as a whole.
@@ -51,8 +64,25 @@ class Tokens:
         for space, letter in ((" ", "\u0120"), ("\n", "\u010a")):
             self.first[space] = np.zeros(max(names.values()) + 1, dtype=bool)
             self.first[space][[i for x, i in names.items() if x.startswith(letter)]] = True
-        self.known: dict[str, bytes | None] = {}
-        self.marks = {x: self.raw(x).tobytes() for x in MARKS}
+        self.marks = {x: self.raw(x).tolist() for x in MARKS}
+        self.single = self._single(names)
+        self.memo = Memo(["<u4"], apart=True, memory=MEMORY, longest=LONGEST)
+
+    def _single(self, names: dict[str, int]):
+        """A faster encoder of one pre-token, from the ranks of this vocabulary; None if its ids do not ascend with its merges."""
+        import json
+
+        import tiktoken
+
+        letter = byte_letters()
+        merges = json.loads(self.model.to_str())["model"]["merges"]
+        made = [names.get("".join(x if isinstance(x, list) else x.split(" ")), -1) for x in merges]
+        ranks = {bytes(letter[c] for c in x): i for x, i in names.items() if all(c in letter for c in x)}
+        if any(a >= b for a, b in zip(made, made[1:])) or not made or made[0] < 0 or any(bytes([b]) not in ranks or ranks[bytes([b])] > made[0] for b in range(256)):
+            return None
+        kept = set(made)
+        own = {x: i for x, i in ranks.items() if len(x) == 1 or i in kept}
+        return tiktoken.Encoding("words", pat_str=".", mergeable_ranks=own, special_tokens={})._core_bpe.encode_single_piece
 
     def raw(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -70,39 +100,68 @@ class Tokens:
         flat, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
         return [flat[a:b] for a, b in zip((4 * starts).tolist(), ends)]
 
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        split = [x.replace("\n", " \n").split(" ") for x in texts]
-        # a text's first part is looked up with a mark that no other part has
-        for parts in split:
-            parts[0] = " " + parts[0]
-        here = set()
-        for parts in split:
-            here.update(parts)
-        new = here.difference(self.known)
-        if len(self.known) + len(new) > MEMORY:
-            self.known = {x: self.known[x] for x in here.difference(new)}
-        self.known.update(dict.fromkeys(new, None))
-        plain = [x for x in new if x and not x[0].isspace()]
-        # a mark after a letter or digit is an id of its own, so the word before it is encoded once for all marks
-        marked = [x for x in plain if x[-1] in MARKS and x[-2:-1].isalnum()]
-        bare = {x[:-1] for x in marked}.difference(self.known)
-        plain = [*bare.union(plain).difference(marked)]
-        found = dict(zip(plain, self.words(" ", plain)))
-        self.known.update((x, found[x]) for x in new.intersection(found))
-        self.known.update((x, (found[x[:-1]] if x[:-1] in found else self.known[x[:-1]]) + self.marks[x[-1]]) for x in marked)
-        lines = [x[1:] for x in new if x[:1] == "\n" and x[1:] and not x[1].isspace()]
-        self.known.update(zip(["\n" + x for x in lines], self.words("\n", lines)))
-        for x in new:
-            if x[:1] == " ":
-                self.known[x] = self.raw(x[1:]).tobytes()
-        for text, parts in zip(texts, split):
-            try:
-                yield b"".join(map(self.known.__getitem__, parts))
-            except TypeError:  # a part that can't be encoded on its own
-                yield self.raw(text).tobytes()
-        for x in new:
-            if len(x) > LONGEST:
-                del self.known[x]
+    def parts(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of parts of texts, each after a space or beginning with its line feed: all ids in a row, how many each has, and which can't be encoded on their own.
+
+        A part that begins with a space is encoded without it.
+        """
+        found, odd, marks, single = [], [], self.marks, self.single
+        for i, x in enumerate(new):
+            if single and x.isalpha():
+                found.append(single(b" " + x.encode()))
+            # a mark after letters is an id of its own
+            elif single and x[-1:] in marks and x[:-1].isalpha():
+                found.append([*single(b" " + x[:-1].encode()), *marks[x[-1]]])
+            else:
+                found.append(())
+                odd.append(i)
+        bad = np.zeros(len(new), dtype=bool)
+        lines = [i for i in odd if new[i][:1] == "\n"]
+        plain = [i for i in odd if not new[i][:1].isspace()]
+        for space, some, own in (("\n", lines, [new[i][1:] for i in lines]), (" ", plain, [new[i] for i in plain])):
+            # other white space can't be cut off
+            some = [(i, x) for i, x in zip(some, own) if x and not x[0].isspace()]
+            for (i, _), ids in zip(some, self.words(space, [x for _, x in some])):
+                found[i] = np.frombuffer(ids, dtype="<u4").tolist()
+        for i in odd:
+            if new[i][:1] == " ":
+                found[i] = self.raw(new[i][1:]).tolist()
+            elif not found[i]:
+                bad[i] = True
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(sizes.sum())), sizes, bad
+
+    def _made(self, new: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        ids, sizes, bad = self.parts(new)
+        return [(ids, sizes)], bad
+
+    def of(self, texts: pa.Array | list[str], end: int | None = None) -> list[memoryview]:
+        """The ids of each text as bytes, with the id ``end`` after them if one is given; a null text counts as empty."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return []
+        number, ends, bad = self.memo.numbered(texts, self._made)
+        size, mark = self.memo.sizes(0, number), int(end is not None)
+        many = np.add.reduceat(size, np.concatenate([[0], ends[:-1]])) + mark
+        if mark:
+            ids = np.full(int(many.sum()), end, dtype="<u4")
+            own = np.ones(len(ids), dtype=bool)
+            own[np.cumsum(many) - 1] = False
+            ids[own] = self.memo.results(0, number)
+        else:
+            ids = self.memo.results(0, number)
+        flat, to = memoryview(ids.tobytes()), 4 * np.cumsum(many)
+        out = [flat[a:b] for a, b in zip((to - 4 * many).tolist(), to.tolist())]
+        for i in np.flatnonzero(bad).tolist():
+            whole = self.raw(texts[i].as_py())
+            out[i] = memoryview((np.append(whole, np.uint32(end)) if mark else whole).astype("<u4").tobytes())
+        return out
+
+
+@lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    """The tokens of a vocabulary file, kept by a Python worker from task to task."""
+    return Tokens(path)
 
 
 class Packer:
@@ -195,9 +254,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        known = tokens(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
-        mark = np.array([end], dtype="<u4").tobytes()
         id_type = None
 
         def batch_of(pieces: list[tuple]) -> pa.RecordBatch:
@@ -215,12 +273,10 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-        for block in blocks(batches):
+        for block in blocks(batches, limit=1 << 21):
             id_type = block.schema.field("id").type
-            body = [x or "" for x in block.column("text").to_pylist()]
             pieces = []
-            for document, ids in zip(block.column("id").to_pylist(), tokens.of(body)):
-                ids += mark
+            for document, ids in zip(block.column("id").to_pylist(), known.of(block.column("text"), end)):
                 pieces += packer.place((document, len(ids) // 4), ids)
             if pieces:
                 yield batch_of(pieces)
