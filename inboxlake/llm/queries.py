@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inboxlake.llm import factorisation, packing, pieces, quality_rules, resampling, sharding, simhash, suffix_dedup, tool_links, url_filter, vafile
+from inboxlake.llm import alignment, factorisation, packing, pieces, quality_rules, resampling, sharding, simhash, suffix_dedup, tool_links, url_filter, vafile
 from inboxlake.llm.common import bounded
 from inboxlake.sources.tables import workspace
 
@@ -192,6 +192,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"), RULES)
 
 
+@query("op12_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows, _ = alignment.aligned(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), workspace(spark), digest=True)
+    return rows.select(F.col("rest.doc_id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 @query(
     "op13_importance_resampling",
     """
