@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inboxlake.llm import alignment, factorisation, packing, pieces, quality_rules, resampling, sharding, simhash, suffix_dedup, tool_links, url_filter, vafile
+from inboxlake.llm import alignment, factorisation, minhash, packing, pieces, quality_rules, resampling, sharding, simhash, suffix_dedup, tool_links, url_filter, vafile
 from inboxlake.llm.common import bounded
 from inboxlake.sources.tables import workspace
 
@@ -192,6 +192,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"), RULES)
 
 
+@query("op11_minhash")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), workspace(spark))
+    key = F.col("rest.doc_id")
+    return rows.select(key.alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), key.eqNullSafe(F.col("component")).alias("kept"))
+
+
 @query("op12_alignment")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
