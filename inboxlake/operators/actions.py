@@ -413,16 +413,17 @@ def upsert_summaries(summaries: DataFrame, produced: DataFrame) -> DataFrame:
 
 
 def write_translations(messages: DataFrame, requested: DataFrame, translated: DataFrame) -> DataFrame:
-    """Set ``text_pt`` of messages from the translations of their parts, in order and without a break between them.
+    """Set ``text_pt`` of messages from the translations of their parts, in order, each after the white space that stood before its part.
 
-    ``requested`` has the (id, part) that were sent out, ``translated`` seq, id, part and pt. Of each part the last non-blank translation
+    ``requested`` has the (id, part, lead) that were sent out, ``translated`` seq, id, part and pt. Of each part the last non-blank translation
     by ``seq`` counts; a message is written only when all of its parts came back.
     """
     good = translated.withColumn("pt", trim_all(F.col("pt"))).filter(F.col("pt") != "")
     best = good.groupBy("id", "part").agg(F.max_by("pt", "seq").alias("pt"))
-    asked = requested.select("id", "part").distinct().join(best, ["id", "part"], "left")
+    asked = requested.select("id", "part", "lead").distinct().join(best, ["id", "part"], "left")
     whole = asked.groupBy("id").agg(
-        F.count(F.when(F.col("pt").isNull(), 1)).alias("_missing"), F.sort_array(F.collect_list(F.struct("part", "pt"))).alias("_parts")
+        F.count(F.when(F.col("pt").isNull(), 1)).alias("_missing"),
+        F.sort_array(F.collect_list(F.struct("part", F.concat("lead", "pt").alias("pt")))).alias("_parts"),
     )
     whole = whole.filter("_missing = 0").select("id", F.array_join("_parts.pt", "").alias("_pt"))
     return messages.join(whole, "id", "left").withColumn("text_pt", F.coalesce("_pt", "text_pt")).drop("_pt")

@@ -372,27 +372,37 @@ def summary_case(file: DataFrame, transcripts: DataFrame) -> DataFrame:
 # --- backlogs ---------------------------------------------------------------
 
 
+def translation_parts(text: Column, chars: int = TRANSLATION_CHARS) -> Column:
+    """Parts of at most ``chars`` characters that spell a trimmed text, each with the white space before it (which does not count).
+
+    A part ends where white space follows, as late as it can, and in the middle of a word only if that is longer than a part.
+    """
+    white = r"[\s\uFEFF]"
+    return F.regexp_extract_all(text, F.lit(rf"(?sU){white}*+.{{0,{chars - 1}}}[^\s\uFEFF](?={white}|\z)|{white}*+.{{1,{chars}}}"), F.lit(0))
+
+
 def translation_backlog(
     messages: DataFrame, requested: DataFrame | None = None, batch: int = TRANSLATION_BATCH, chars: int = TRANSLATION_CHARS
 ) -> DataFrame:
     """Requested messages (all by default): translated ones with their text, others in parts to be translated.
 
     A batch holds the ids of one range of ``batch`` ids, so it needs no ranking.
-    A text longer than ``chars`` goes in several parts; nothing of it is lost.
+    A text longer than ``chars`` goes in several parts, cut at white space. ``lead`` is the white space that stood before a part: with it in front of
+    each the parts are the trimmed text again, so nothing is lost or glued.
     """
     rows = messages.select("id", "text", "text_pt").filter(F.col("id") > 0)
     if requested is not None:
         rows = rows.join(requested.select("id").distinct(), "id", "left_semi")
     done = rows.filter(~is_blank(F.col("text_pt"))).select(
-        "id", F.lit(True).alias("done"), F.lit(None).cast("long").alias("batch"), F.lit(0).alias("part"),
+        "id", F.lit(True).alias("done"), F.lit(None).cast("long").alias("batch"), F.lit(0).alias("part"), F.lit("").alias("lead"),
         F.col("text_pt").alias("text"),
     )
-    pending = rows.filter(is_blank(F.col("text_pt")) & (trim_all(F.coalesce("text", F.lit(""))) != ""))
-    last = F.floor((F.length("text") - 1) / chars).cast("int")
-    parts = pending.select("id", "text", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    pending = rows.filter(is_blank(F.col("text_pt"))).select("id", trim_all(F.coalesce("text", F.lit(""))).alias("text"))
+    parts = pending.filter("text <> ''").select("id", F.posexplode(translation_parts(F.col("text"), chars)).alias("part", "piece"))
+    lead = F.regexp_extract("piece", r"(?U)^[\s\uFEFF]*", 0)
     todo = parts.select(
-        "id", F.lit(False).alias("done"), F.floor(F.col("id") / batch).alias("batch"), "part",
-        F.substring(F.col("text"), F.col("part") * chars + 1, F.lit(chars)).alias("text"),
+        "id", F.lit(False).alias("done"), F.floor(F.col("id") / batch).alias("batch"), "part", lead.alias("lead"),
+        F.substring(F.col("piece"), F.length(lead) + 1, F.length("piece")).alias("text"),
     )
     return done.unionByName(todo)
 

@@ -10,7 +10,7 @@ from inboxlake.operators.context import parsed_output, summary_transcript, trans
 from inboxlake.operators.customer import request_key
 from inboxlake.operators.delivery import decide
 from inboxlake.plans.customer import BOUGHT, Parts
-from inboxlake.plans.delivery import DECIDED, Sends
+from inboxlake.plans.delivery import DECIDED, PARTS, TRIMMED, Sends
 from inboxlake.plans.registry import NOW, query
 from inboxlake.sources.derived import AS_OF
 
@@ -380,15 +380,12 @@ def _(t):
 
 @query(
     "E14_translation_write_back",
-    r"""
-, pending as (
-  select id, length(text) as n from messages
-  where id > 0 and coalesce(text_pt, '') = '' and regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> '')
+    PARTS + r"""
 , good as (select *, regexp_replace(pt, '^\s+|\s+$', '', 'g') as said from translated)
 , last as (select id, part, said from good where said <> '' qualify row_number() over (partition by id, part order by seq desc) = 1)
 , whole as (
-  select p.id, string_agg(l.said, '' order by l.part) as pt from pending p join last l on l.id = p.id and l.part <= (p.n - 1) // 2000
-  group by p.id, p.n having count(*) = (p.n + 1999) // 2000)
+  select p.id, string_agg(p.lead || l.said, '' order by p.part) as pt from parts p left join last l on l.id = p.id and l.part = p.part
+  group by p.id having count(l.said) = count(*))
 select m.id, coalesce(w.pt, m.text_pt) as text_pt from messages m left join whole w using (id)""",
 )
 def _(t):
@@ -396,6 +393,18 @@ def _(t):
     return op.write_translations(t.messages, pending, t.translated).select("id", "text_pt")
 
 
+@query(
+    "E14_identity_translation",
+    rf"""
+select id, case when coalesce(text_pt, '') <> '' then text_pt when id > 0 and {TRIMMED.format('text')} <> '' then {TRIMMED.format('text')} else text_pt end as text_pt from messages""",
+)
+def _(t):
+    """A translation that gives every part back as it is: texts must come back whole."""
+    pending = translation_backlog(t.messages).filter("not done")
+    made = pending.select(F.lit(1).cast("long").alias("seq"), "id", "part", F.col("text").alias("pt"))
+    return op.write_translations(t.messages, pending, made).select("id", "text_pt")
+
+
 @query(
     "E15_suggestion_log",
     OUTPUT + f"""

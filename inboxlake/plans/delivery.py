@@ -15,6 +15,18 @@ BASE_URL = "https://files.example//"
 PUBLIC = ["public files"]
 TRIMMED = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
 
+# Parts of a trimmed text: as many characters as end before white space within 2,000, else 2,000; the white space before a part is its lead.
+PARTS = rf"""
+, recursive cuts as (
+  select id, -1 as part, '' as lead, '' as text, {TRIMMED.format('text')} as rest from messages
+  where coalesce(text_pt, '') = '' and {TRIMMED.format('text')} <> '' and id > 0
+  union all
+  select id, part + 1, lead, body[:size], body[size + 1:] from (
+    select id, part, lead, body, case when length(body) <= 2000 then length(body)
+      else coalesce(nullif(length(regexp_extract(body[:2001], '^([\s\S]*\S)\s', 1)), 0), 2000) end as size
+    from (select id, part, regexp_extract(rest, '^\s*') as lead, regexp_replace(rest, '^\s+', '') as body from cuts where rest <> ''))
+), parts as (select id, part, lead, text from cuts where part >= 0)"""
+
 
 def _for_sends(sql: str) -> str:
     return sql.replace("from requests)", "from send_requests)")

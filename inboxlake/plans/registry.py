@@ -33,9 +33,11 @@ def with_tables(sql: str) -> str:
     body = sql.strip()
     if body.startswith("with "):
         return body
+    start = "with recursive" if ", recursive " in body else "with"
+    body = body.replace(", recursive ", ", ")
     if not used:
-        return ("with " + body[1:]) if body.startswith(",") else body
-    return f"with {ctes(*used)}\n{body}"
+        return (start + " " + body[1:]) if body.startswith(",") else body
+    return f"{start} {ctes(*used)}\n{body}"
 
 
 def query(name: str, sql: str | None = None):

@@ -239,7 +239,7 @@ from conversations""",
 select id * 1000 + part as seq, case when id % 19 = 0 then id + 5000000000000 else id end as id, part,
   case when id % 7 = 0 and part = 0 then '  ' else ' pt ' || cast(id as string) || '.' || cast(part as string) || chr(10) end as pt
 from (select id, cast(place as int) as part from (
-  select id, explode(sequence(cast(0 as bigint), cast(floor((greatest(length(coalesce(text, '')), 1) - 1) / 2000) as bigint))) as place from messages))
+  select id, explode(sequence(cast(0 as bigint), cast(floor((greatest(length(coalesce(text, '')), 1) - 1) / 1000) as bigint))) as place from messages))
 union all
 select id * 1000 + 999 as seq, id, 0 as part, ' again ' || cast(id as string) as pt from messages where id % 5 = 0""",
     "actions_facts": """

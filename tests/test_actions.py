@@ -176,10 +176,10 @@ def test_summaries_translations_suggestions(spark, table, messages, rows):
     old = spark.createDataFrame([("a", "b", "old"), ("z", "b", "kept")], "author_id string, brand string, summary string")
     new = spark.createDataFrame([(1, "a", "b", "first"), (2, "a", "b", "last"), (3, "n", "b", "new")], "seq long, author_id string, brand string, summary string")
     assert rows(op.upsert_summaries(old, new)) == [("a", "b", "last"), ("n", "b", "new"), ("z", "b", "kept")]
-    wanted = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0)], "id long, part int")
+    wanted = spark.createDataFrame([(1, 0, ""), (1, 1, " "), (1, 2, ""), (2, 0, ""), (2, 1, " "), (3, 0, "")], "id long, part int, lead string")
     parts = [(1, 1, 1, "dois "), (2, 1, 0, "old"), (5, 1, 0, " um\n"), (3, 1, 2, "três"), (4, 2, 0, "half"), (6, 3, 0, "  "), (7, 4, 0, "no")]
     made = spark.createDataFrame(parts, "seq long, id long, part int, pt string")
-    assert rows(op.write_translations(messages, wanted, made), "id", "text_pt") == [(1, "umdoistrês"), (2, None), (3, None), (4, None)]
+    assert rows(op.write_translations(messages, wanted, made), "id", "text_pt") == [(1, "um doistrês"), (2, None), (3, None), (4, None)]
     produced = spark.sql(
         "select 1L seq, 'a' author_id, 'b' brand, 'dm' channel, 'en' lang, 'melhorar' mode, 'i' instruction, null draft, 's' suggestion, '' suggestion_pt, "
         "'m' model, 5L input_tokens, null cache_read, 2L cache_creation, null output_tokens, 'op' by_whom, 'C' categories"

@@ -6,6 +6,7 @@ from moments import at
 from pyspark.sql import functions as F
 
 from inboxlake.functions import text
+from inboxlake.operators import actions
 from inboxlake.operators import context as op
 
 
@@ -130,6 +131,17 @@ def test_translation_backlog(spark, table, rows):
     assert rows(found.filter("done"), "id", "text") == [(42, "done")]
 
 
+def test_parts_keep_words_and_white_space(spark, table, rows):
+    texts = ["x" * 1999 + " " + "y" * 10, "x" * 2000 + " y", "x" * 2001 + " y", "a \n\u00a0 " * 900, " lead " + "word " * 1000 + "\t", "é" * 5000, "one", ("w" * 30 + "\n\n") * 300, "a" + " " * 3000 + "b"]
+    messages = table("messages", *[dict(id=i + 1, text=x) for i, x in enumerate(texts)])
+    parts = op.translation_backlog(messages)
+    assert rows(parts.filter("id = 1"), "part", "lead", F.length("text")) == [(0, "", 1999), (1, " ", 10)]
+    for r in parts.collect():
+        assert 0 < len(r.text) <= 2000 and r.text == r.text.strip() and not r.lead.strip()
+    made = parts.select(F.lit(1).cast("long").alias("seq"), "id", "part", F.col("text").alias("pt"))
+    assert rows(actions.write_translations(messages, parts, made), "id", "text_pt") == [(i + 1, x.strip()) for i, x in enumerate(texts)]
+
+
 def test_summary_backlog(spark, table, rows):
     messages = table("messages", *[dict(id=i, author_id="a", created_at=at("2024-01-02")) for i in range(100)], dict(id=200, author_id="b", created_at=at("2024-01-02")))
     summaries = table("summaries", dict(author_id="a", brand="x", covers_until=at("2024-01-02")), dict(author_id="a", brand="y", covers_until=at("2024-01-01")))
