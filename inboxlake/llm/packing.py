@@ -32,7 +32,7 @@ OPEN = 4096
 MARKS = ".,;:!?|#*$%&"
 
 #: Words whose ids a Python worker remembers, and the longest that it does; words that are encoded in one call.
-MEMORY, LONGEST, TOGETHER = 800_000, 64, 10_000
+MEMORY, LONGEST, TOGETHER = 400_000, 64, 10_000
 
 
 #: Letters of byte-level vocabularies: these code points stand for themselves, the other bytes for 256, 257, ... in order (fixed values).
@@ -201,7 +201,7 @@ class Packer:
         if not size:
             return
         h = self.choose(size)
-        pieces = [(document, at, ids[4 * at :])]
+        pieces = [(document, at, bytes(ids[4 * at :]))]  # a copy, as the ids of a whole block stand behind ``ids``
         if h:
             pieces = self.open[h].pop() + pieces
             self.level[h] -= 1

@@ -47,7 +47,12 @@ def validate_replies(
     refs = actions.filter(F.col("channel") != "dm").select("ref").distinct()
     known = comments.select(F.col("message_id").alias("ref")).join(refs, "ref", "left_semi").distinct().withColumn("_known", F.lit(True))
     checked = skew_join(actions, known, ["ref"], "left", spread=["seq"])
-    checked = checked.withColumn("text", _text("text"))
+    return with_error(checked, F.col("_known"), brands, banned_domain).drop("_known")
+
+
+def with_error(actions: DataFrame, known: Column, brands=REPLY_BRANDS, banned_domain: str = BANNED_DOMAIN) -> DataFrame:
+    """``validate_replies`` for actions that carry whether their comment is ``known`` (null or false: no)."""
+    checked = actions.withColumn("text", _text("text"))
     text, ref = F.col("text"), F.col("ref")
     direct, public = F.col("channel") == "dm", F.col("channel") == "comentario_publico"
     rules = (
@@ -58,14 +63,14 @@ def validate_replies(
         (F.contains(F.lower(text), F.lit(banned_domain.lower())), "banned_domain"),
         (direct & ~ref.rlike(DM_REF), "dm_ref"),
         (~direct & ~ref.rlike(COMMENT_REF), "comment_ref"),
-        (~direct & F.col("_known").isNull(), "comment_missing"),
+        (~direct & ~F.coalesce(known, F.lit(False)), "comment_missing"),
         (public & (F.size(F.split(text, "\n", -1)) > PUBLIC_MAX_LINES), "too_many_lines"),
         (public & text.rlike(PUBLIC_LINK), "public_link"),
     )
     error = F
     for broken, name in rules:
         error = error.when(broken, name)
-    return checked.withColumn("error", error).drop("_known")
+    return checked.withColumn("error", error)
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -42,8 +42,9 @@ def _(t):
 def _outbox(t) -> str:
     folder = workspace(t.spark)
     as_files(t.actions_reply, f"{folder}/in/replies", "seq")
-    replies = as_stream(t.spark, f"{folder}/in/replies", live.ACCEPTED)
-    live.start_outbox(replies, lambda: t.messages, folder, availableNow=True).awaitTermination()
+    as_files(t.messages, f"{folder}/in/messages", "id")
+    streams = as_stream(t.spark, f"{folder}/in/replies", live.ACCEPTED), as_stream(t.spark, f"{folder}/in/messages", SCHEMAS["messages"])
+    live.start_outbox(*streams, folder, availableNow=True).awaitTermination()
     return folder
 
 

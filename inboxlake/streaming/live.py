@@ -1,40 +1,58 @@
 """Streaming forms of the thread queue and of the reply outbox, on Spark's own keyed state.
 
-Two queries keep the queue. ``start_lookup`` keeps the author of each comment and the sends that wait for it, and
-appends sends with their author. ``start_threads`` keeps what is unanswered in each thread and hands on a new version of every
-thread that changed. Both state stores are bounded by event-time timers, and no batch reads earlier input again. The clock is
-given when the queue is read, so the window moves without a restart.
+``start_lookup`` keeps the author of each comment and the sends that wait for it, and appends sends with their author. ``start_threads``
+keeps what a thread said on each day, split over a few salts so that a hot thread is many small states, and hands on a new version of every part
+that changed; parts are merged when the queue is read, with the clock given then. ``start_outbox`` checks replies; which comments exist
+is state, so no batch reads earlier input again. State is typed, and timers on event time end it.
+
+The state store must be one with named states: the functions here set RocksDB for the session.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from inboxlake.constants import INBOUND, OUTBOUND
 from inboxlake.functions.text import blank_to_null, instant, is_blank
 from inboxlake.operators import actions
 from inboxlake.operators.threads import THREAD, never
+from inboxlake.sources import snapshots
 
 DAYS = 7
 RESOLVED = "author_id string, brand string, channel string, sent_at timestamp"
-VERSION = "author_id string, brand string, channel string, state string"
-#: What a version holds: newest outbound message and send, inbound after them, names with the time they were last seen, the newest inbound.
-HELD = (
-    "out bigint, sent bigint, names array<struct<at: bigint, name: string>>, last struct<at: bigint, id: bigint, text: string, message_id: string>, "
-    "open array<struct<at: bigint, id: bigint, media: boolean, category: string>>"
+#: Parts that one thread's day is split into.
+SALTS = 8
+PART = [*THREAD, "day", "salt"]
+#: A part of a thread: newest outbound message and send, names with the time they were last seen, the newest inbound, and all inbound
+#: messages that the part does not know to be answered.
+PARTS = (
+    "author_id string, brand string, channel string, day bigint, salt int, out bigint, sent bigint, names array<struct<at: bigint, name: string>>, "
+    "last struct<at: bigint, id: bigint, text: string, message_id: string>, open array<struct<at: bigint, id: bigint, media: boolean, category: string>>"
 )
-DAY = 86_400_000_000
+#: A reply window that has closed: after so many hours nothing newer had come in.
+CLOCKS = "author_id string, brand string, channel string, last_in timestamp, hours int"
+DAY, HOUR = 86_400_000_000, 3_600_000_000
+HOURS = (24, 168)
+
+
+def _stateful(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _plain(x):
+    """A cell as Python has it; missing ones are None."""
+    return None if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)) else x
 
 
-def _timer(state: GroupState, micros: int) -> None:
-    state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + 1)
+def _get(state) -> tuple:
+    return tuple(state.get()) if state.exists() else ()
 
 
 # --- the author of a comment --------------------------------------------------
@@ -46,48 +64,70 @@ def lookup_events(messages: DataFrame, reply_queue: DataFrame, late: str) -> Dat
     known = known.select("message_id", F.col("created_at").alias("at"), "author_id", F.lit(None).cast("string").alias("brand"), F.lit(False).alias("is_send"))
     sent = reply_queue.filter(F.col("sent_at").isNotNull() & (F.col("channel") != "dm") & F.col("ref").isNotNull())
     sent = sent.select(F.col("ref").alias("message_id"), F.col("sent_at").alias("at"), F.lit(None).cast("string").alias("author_id"), "brand", F.lit(True).alias("is_send"))
-    return known.withWatermark("at", late).unionByName(sent.withWatermark("at", late)).withColumn("micros", F.unix_micros("at"))
-
-
-def _look_up(keep_days: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else {"authors": [], "sends": [], "at": 0}
-        authors, sends = {*held["authors"]}, {tuple(x) for x in held["sends"]}
-        found = set()
-        for frame in frames:
-            for is_send, author, brand, micros in zip(frame["is_send"], frame["author_id"], frame["brand"], frame["micros"]):
-                held["at"] = max(held["at"], int(micros))
-                if is_send:
-                    sends.add((brand if isinstance(brand, str) else None, int(micros)))
-                    found |= {(a, brand if isinstance(brand, str) else None, int(micros)) for a in authors}
-                elif author not in authors:
-                    authors.add(author)
-                    found |= {(author, b, m) for b, m in sends}
-        # a send is looked up in what is known, so only the newest of a brand can still matter
-        newest: dict = {}
-        for brand, micros in sends:
-            newest[brand] = max(micros, newest.get(brand, micros))
-        state.update((json.dumps({"authors": sorted(authors), "sends": [list(x) for x in newest.items()], "at": held["at"]}),))
-        _timer(state, held["at"] + keep_days * DAY)
+    # one watermark over both, which goes on when one of them is silent
+    return known.unionByName(sent).withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
+
+
+class Lookup(StatefulProcessor):
+    """Authors and sends of one comment; hands on each pair once, and of the sends of a brand the newest only."""
+
+    def __init__(self, keep_days: int | None):
+        self.keep_days = keep_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.authors = handle.getMapState("authors", "author_id string", "at bigint")
+        self.sends = handle.getMapState("sends", "known boolean, brand string", "at bigint")
+        self.until = handle.getValueState("until", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        authors = {k[0]: v[0] for k, v in self.authors.iterator()}
+        sends = {k[1] if k[0] else None: v[0] for k, v in self.sends.iterator()}
+        before = set(authors), dict(sends)
+        newest = 0
+        for frame in rows:
+            newest = max(newest, int(frame["micros"].max()))
+            said = frame[~frame["is_send"].astype(bool)]
+            authors |= said.groupby("author_id")["micros"].max().to_dict()
+            sent = frame[frame["is_send"].astype(bool)]
+            for brand, at in sent.groupby("brand", dropna=False)["micros"].max().items():
+                brand = _plain(brand)
+                sends[brand] = max(int(at), sends.get(brand, int(at)))
+        for name in set(authors) - before[0]:
+            self.authors.updateValue((name,), (int(authors[name]),))
+        for brand, at in sends.items():
+            if before[1].get(brand) != at:
+                self.sends.updateValue((brand is not None, brand or ""), (at,))
+        if self.keep_days is not None:
+            ms = newest // 1000 + self.keep_days * DAY // 1000 + 1
+            if ms > max(timerValues.getCurrentWatermarkInMs(), *_get(self.until), 0):
+                self.until.update((ms,))
+                self.handle.registerTimer(ms)
+        found = [(a, b, at) for a in authors for b, at in sends.items() if a not in before[0] or before[1].get(b) != at]
         if found:
-            rows = sorted(found, key=repr)
-            yield pd.DataFrame({"author_id": [a for a, _, _ in rows], "brand": [b for _, b, _ in rows], "micros": [m for _, _, m in rows]})
+            yield pd.DataFrame(found, columns=["author_id", "brand", "micros"])
 
-    return run
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if _get(self.until) == (expiredTimerInfo.getExpiryTimeInMs(),):
+            for state in (self.authors, self.sends, self.until):
+                state.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-def start_lookup(messages: DataFrame, reply_queue: DataFrame, folder: str, late: str = "30 days", keep_days: int = 400, **trigger) -> StreamingQuery:
+
+def start_lookup(messages: DataFrame, reply_queue: DataFrame, folder: str, late: str = "30 days", keep_days: int | None = None, **trigger) -> StreamingQuery:
     """Append the sends to comments with their author to ``folder/resolved``, whichever of the two arrives first.
 
-    An author is remembered for ``keep_days`` of event time after the last event of its comment.
+    Authors are kept for good, on disk; with ``keep_days`` a comment is forgotten so many days of event time after its last event, and a send that comes later
+    finds no author, which the batch queue would.
     """
+    _stateful(messages.sparkSession)
     found = (
         lookup_events(messages, reply_queue, late)
         .groupBy("message_id")
-        .applyInPandasWithState(_look_up(keep_days), "author_id string, brand string, micros bigint", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(Lookup(keep_days), "author_id string, brand string, micros bigint", "Append", "EventTime" if keep_days is not None else "None")
     )
     rows = found.select("author_id", "brand", F.lit("comentario").alias("channel"), F.timestamp_micros("micros").alias("sent_at"))
     sink = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/resolved")
@@ -97,8 +137,8 @@ def start_lookup(messages: DataFrame, reply_queue: DataFrame, folder: str, late:
 # --- threads ------------------------------------------------------------------
 
 
-def thread_events(messages: DataFrame, reply_queue: DataFrame, resolved: DataFrame, late: str) -> DataFrame:
-    """Messages with an author, sent direct replies and resolved sends, by thread."""
+def thread_events(messages: DataFrame, reply_queue: DataFrame, resolved: DataFrame, late: str, salts: int) -> DataFrame:
+    """Messages with an author, sent direct replies and resolved sends, by thread, day and salt."""
     inbound = F.col("direction") == INBOUND
     spoken = messages.filter(~is_blank(F.col("author_id")) & F.col("created_at").isNotNull()).select(
         *THREAD, F.col("created_at").alias("at"), "id", blank_to_null(F.col("author")).alias("name"), F.when(inbound, F.col("text")).alias("text"),
@@ -108,122 +148,258 @@ def thread_events(messages: DataFrame, reply_queue: DataFrame, resolved: DataFra
     direct = reply_queue.filter(F.col("sent_at").isNotNull() & (F.col("channel") == "dm"))
     direct = direct.select(F.col("ref").alias("author_id"), "brand", "channel", F.col("sent_at").alias("at"), F.lit("send").alias("kind"))
     others = resolved.select(*THREAD, F.col("sent_at").alias("at"), F.lit("send").alias("kind"))
-    events = spoken.withWatermark("at", late)
+    events = spoken
     for sends in (direct, others):
-        events = events.unionByName(sends.withWatermark("at", late), allowMissingColumns=True)
-    return events.withColumn("micros", F.unix_micros("at"))
-
-
-def _text(x) -> str | None:
-    return x if isinstance(x, str) else None
-
-
-def _follow(days: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"out": None, "sent": None, "open": [], "names": [], "last": None}
-        names = {x["name"]: x["at"] for x in held["names"]}
-        if not state.hasTimedOut:
-            for frame in frames:
-                for x in frame.to_dict("records"):
-                    at = int(x["micros"])
-                    if x["kind"] == "send":
-                        held["sent"] = max(at, held["sent"] or at)
-                        continue
-                    if x["kind"] == "out":
-                        held["out"] = max(at, held["out"] or at)
-                    if name := _text(x["name"]):
-                        names[name] = max(at, names.get(name, at))
-                    if x["kind"] == "in":
-                        held["open"].append({"at": at, "id": int(x["id"]), "media": bool(x["media"]), "category": _text(x["category"])})
-                        if not held["last"] or (at, int(x["id"])) > (held["last"]["at"], held["last"]["id"]):
-                            held["last"] = {"at": at, "id": int(x["id"]), "text": _text(x["text"]), "message_id": _text(x["message_id"])}
-        start = state.getCurrentWatermarkMs() * 1000 - days * DAY
-        answered = max(held["out"] or 0, held["sent"] or 0)
-        held["open"] = [x for x in held["open"] if x["at"] >= start and x["at"] > answered]
-        held["names"] = [{"at": at, "name": name} for name, at in sorted(names.items()) if at >= start]
-        newest = max([*(x["at"] for x in held["open"]), *(x["at"] for x in held["names"]), answered])
-        text = json.dumps(held)
-        if state.hasTimedOut and newest < start:
-            state.remove()
-        else:
-            state.update((text,))
-            _timer(state, newest + days * DAY)
-        yield pd.DataFrame({"author_id": [key[0]], "brand": [key[1]], "channel": [key[2]], "state": [text]}).astype(object)
-
-    return run
-
-
-def start_threads(messages: DataFrame, reply_queue: DataFrame, folder: str, days: int = DAYS, late: str = "30 days", **trigger) -> StreamingQuery:
-    """Write a version of every thread that changed to ``folder/threads``, a folder for each batch, which a repeated batch replaces.
-
-    ``folder/resolved`` is what ``start_lookup`` appends. A thread's state holds the inbound messages after its last
-    answer that are within ``days`` of the watermark; when nothing of it is left in the window, a timer ends it.
+        events = events.unionByName(sends, allowMissingColumns=True)
+    events = events.withWatermark("at", late)  # one over all, which goes on when one of them is silent
+    micros = F.unix_micros("at")
+    return events.select("*", micros.alias("micros"), F.floor(micros / DAY).alias("day"), F.pmod(F.xxhash64("id", micros), F.lit(salts)).cast("int").alias("salt"))
+
+
+class Follow(StatefulProcessor):
+    """What one part of a thread (its messages of a day that share a salt) holds. A changed part is handed on whole; it is as large as a day's share."""
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.said = handle.getValueState("said", "out bigint, sent bigint")
+        self.last = handle.getValueState("last", "at bigint, id bigint, text string, message_id string")
+        self.names = handle.getMapState("names", "name string", "at bigint")
+        self.open = handle.getListState("open", "at bigint, id bigint, media boolean, category string")
+        self.ends = handle.getValueState("ends", "ms bigint")
+
+    def _version(self, key, open_: list, kind: str = "part", at: int | None = None, hours: int | None = None) -> pd.DataFrame:
+        out, sent = _get(self.said) or (None, None)
+        last = _get(self.last)
+        row = dict(zip(PART, key)) | {
+            "kind": kind, "out": out, "sent": sent, "names": [{"at": v[0], "name": k[0]} for k, v in self.names.iterator()],
+            "last": dict(zip(("at", "id", "text", "message_id"), last)) if last else None,
+            "open": [dict(zip(("at", "id", "media", "category"), x)) for x in open_], "at": at, "hours": hours,
+        }
+        return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in row.items()})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        frame = pd.concat(list(rows), ignore_index=True)
+        newest = frame.groupby("kind")["micros"].max().to_dict()
+        out, sent = _get(self.said) or (None, None)
+        out, sent = (max((int(t) for t in (newest.get(k), x) if t is not None), default=None) for k, x in (("out", out), ("send", sent)))
+        self.said.update((out, sent))
+        for name, at in frame[frame["name"].notna()].groupby("name")["micros"].max().items():
+            known = self.names.getValue((name,)) if self.names.containsKey((name,)) else (0,)
+            if at > known[0]:
+                self.names.updateValue((name,), (int(at),))
+        inbound = frame[frame["kind"] == "in"].sort_values(["micros", "id"])
+        open_ = [tuple(x) for x in self.open.get()]
+        open_ += [(int(a), int(i), bool(m), _plain(c)) for a, i, m, c in zip(inbound["micros"], inbound["id"], inbound["media"], inbound["category"])]
+        answered = max(out or 0, sent or 0)
+        open_ = [x for x in open_ if x[0] > answered]
+        self.open.put(open_) if open_ else self.open.clear()
+        if len(inbound):
+            x = inbound.iloc[-1]
+            last = int(x["micros"]), int(x["id"]), _plain(x["text"]), _plain(x["message_id"])
+            if last[:2] > (_get(self.last) or (0, 0))[:2]:
+                self.last.update(last)
+                for hours in HOURS:  # a window's end that has passed already is told at once
+                    end = self._end(last[0], hours)
+                    if end > watermark:
+                        self.handle.registerTimer(end)
+                    else:
+                        yield self._version(key, [], "clock", last[0], hours)
+        if not self.ends.exists():
+            ms = (int(key[3]) + 1 + self.days) * DAY // 1000 + 1
+            self.ends.update((max(ms, watermark + 1),))
+            self.handle.registerTimer(max(ms, watermark + 1))
+        yield self._version(key, open_)
+
+    @staticmethod
+    def _end(at: int, hours: int) -> int:
+        return (at + hours * HOUR) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, last = expiredTimerInfo.getExpiryTimeInMs(), _get(self.last)
+        for hours in HOURS:
+            if last and self._end(last[0], hours) == now:
+                yield self._version(key, [], "clock", last[0], hours)
+        if _get(self.ends) == (now,):
+            # nothing of this day is in the window any more; the newest send counts for good and stays in the table
+            for state in (self.open, self.names, self.last):
+                state.clear()
+            yield self._version(key, [])
+            self.said.clear()
+            self.ends.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def start_threads(messages: DataFrame, reply_queue: DataFrame, folder: str, days: int = DAYS, late: str = "30 days", salts: int = SALTS, **trigger) -> StreamingQuery:
+    """Keep ``folder/threads``, a table of the parts of all threads of which each batch rewrites only the buckets it touches, and ``folder/clocks``.
+
+    ``folder/resolved`` is what ``start_lookup`` appends. A part is dropped ``days`` after its day ended by the watermark, by a timer; newest sends stay. Timers
+    also tell when the reply windows of 24 and 168 hours close (``closed_windows``). A repeated batch writes the same rows again.
     """
     spark = messages.sparkSession
+    _stateful(spark)
     resolved = spark.readStream.schema(RESOLVED).parquet(f"{folder}/resolved")
-    events = thread_events(messages, reply_queue, resolved, late)
-    versions = events.groupBy(*THREAD).applyInPandasWithState(_follow(days), VERSION, "held string", "update", GroupStateTimeout.EventTimeTimeout)
+    events = thread_events(messages, reply_queue, resolved, late, salts)
+    versions = events.groupBy(*PART).transformWithStateInPandas(Follow(days), f"{PARTS}, kind string, at bigint, hours int", "Update", "EventTime")
+    path, schema = f"{folder}/threads", f"{PARTS}, days int"
+    names = spark.createDataFrame([], schema).columns
 
     def run(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/threads/batch={batch}")
-
+        rows.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+        new = spark.read.schema(rows.schema).parquet(f"{folder}/changes/batch={batch}")
+        clocks = new.where("kind = 'clock'").select(*THREAD, F.timestamp_micros("at").alias("last_in"), "hours")
+        clocks.write.mode("overwrite").parquet(f"{folder}/clocks/batch={batch}")
+        changed = new.where("kind = 'part'").withColumn("days", F.lit(days)).select(*names)
+        # a part may change and end in one batch: the ended one is what is left
+        changed = changed.groupBy(*PART).agg(F.min_by(F.struct(*[c for c in names if c not in PART]), F.size("open") + F.size("names")).alias("x")).select(*PART, "x.*").select(*names)
+        same = F.lit(True)
+        for c in PART:
+            same = same & F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
+        kept = F.col("sent").isNotNull() | F.col("last").isNotNull() | (F.size("names") > 0) | F.col("out").isNotNull()
+        apply = lambda old: old.alias("old").join(changed.alias("new"), same, "left_anti").unionByName(changed.where(kept))
+        snapshots.update(spark, path, schema, PART, changed, apply, f"{folder}/steps")
+
+    try:
+        snapshots.create(spark.createDataFrame([], schema), path, PART)
+    except Exception as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
     sink = versions.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{folder}/threads-progress")
     return sink.trigger(**trigger).start()
 
 
+def _same_thread(a: str, b: str) -> Column:
+    both = F.lit(True)
+    for c in THREAD:
+        both = both & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return both
+
+
 def current_threads(spark: SparkSession, folder: str, as_of, days: int = DAYS) -> DataFrame:
-    """The threads that wait at ``as_of``, from the newest version of each."""
-    versions = spark.read.schema(f"{VERSION}, batch bigint").parquet(f"{folder}/threads")
-    newest = versions.groupBy(*THREAD).agg(F.max_by("state", "batch").alias("state"))
+    """The threads that wait at ``as_of``, merged from their parts. Raises if the stream kept a shorter window than ``days``."""
+    parts = snapshots.read(spark, f"{folder}/threads", f"{PARTS}, days int")
+    kept = parts.agg(F.min("days")).first()[0]
+    if kept is not None and days > kept:
+        raise ValueError(f"the stream keeps {kept} days; {days} were asked for")
     start = F.unix_micros(instant(as_of)) - max(days, 1) * DAY
-    held = newest.select(*THREAD, F.from_json("state", HELD).alias("s"))
-    inside = held.select(
-        *THREAD,
-        F.filter("s.open", lambda x: x["at"] >= start).alias("open"),
-        F.array_max(F.transform(F.filter("s.names", lambda x: x["at"] >= start), lambda x: x["name"])).alias("author"),
-        F.col("s.last").alias("last"),
-        F.greatest(
-            F.when(F.col("s.out") >= start, F.timestamp_micros("s.out")), F.timestamp_micros("s.sent"), never()
-        ).alias("last_out"),
-    ).filter(F.size("open") > 0)
     matched = F.col("brand").isNotNull() & F.col("channel").isNotNull()
+    threads = parts.groupBy(*THREAD).agg(
+        F.max(F.array_max(F.transform(F.filter("names", lambda x: x["at"] >= start), lambda x: x["name"]))).alias("author"),
+        F.max(F.when(F.col("last.at") >= start, F.col("last.at"))).alias("last_in"),
+        F.greatest(F.max(F.when(F.col("out") >= start, F.col("out"))), F.max(F.when(matched, F.col("sent"))), F.unix_micros(never())).alias("last_out"),
+    )
+    threads = threads.filter(F.col("last_in") > F.col("last_out"))
+    inside = parts.where((F.size("open") > 0) | (F.col("last.at") >= start)).alias("p").join(threads.alias("t"), _same_thread("p", "t"))
+    waits = F.filter("open", lambda x: (x["at"] >= start) & (x["at"] > F.col("last_out")))
+    rows = inside.select(*[F.col(f"t.{c}").alias(c) for c in THREAD], "author", "last_in", "last_out", waits.alias("open"), "last")
+    categories = F.array_distinct(F.filter(F.transform("open", lambda x: x["category"]), lambda c: c.isNotNull()))
+    merged = rows.groupBy(*THREAD, "author", "last_in", "last_out").agg(
+        F.min(F.array_min(F.transform("open", lambda x: x["at"]))).alias("since"),
+        F.sum(F.size("open")).alias("n"),
+        F.sum(F.size(F.filter("open", lambda x: x["media"]))).alias("media"),
+        F.max_by("last", F.struct("last.at", "last.id")).alias("last"),
+        F.array_distinct(F.flatten(F.collect_set(categories))).alias("categories"),  # as many as there are different ones
+    )
     none = F.lit(0).cast("long")
-    categories = F.array_sort(F.array_distinct(F.filter(F.transform("open", lambda x: x["category"]), lambda c: c.isNotNull())))
-    return inside.select(
+    return merged.select(
         *THREAD,
         "author",
-        F.timestamp_micros("last.at").alias("last_in"),
-        "last_out",
-        F.when(matched, F.timestamp_micros(F.array_min(F.transform("open", lambda x: x["at"])))).alias("waiting_since"),
-        F.when(matched, F.size("open").cast("long")).otherwise(none).alias("n_unanswered"),
-        F.when(matched, F.size(F.filter("open", lambda x: x["media"])).cast("long")).otherwise(none).alias("n_media"),
-        F.when(matched, blank_to_null(F.array_join(categories, ", "))).alias("categories"),
+        F.timestamp_micros("last_in").alias("last_in"),
+        F.timestamp_micros("last_out").alias("last_out"),
+        F.when(matched, F.timestamp_micros("since")).alias("waiting_since"),
+        F.when(matched, F.col("n")).otherwise(none).alias("n_unanswered"),
+        F.when(matched, F.col("media")).otherwise(none).alias("n_media"),
+        F.when(matched, blank_to_null(F.array_join(F.array_sort("categories"), ", "))).alias("categories"),
         F.when(matched, F.col("last.text")).alias("last_text"),
         F.when(matched, F.col("last.message_id")).alias("last_message_id"),
     )
 
 
+def closed_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """(thread, last_in, hours): reply windows that closed by the watermark with nothing newer come in, over all parts of the thread."""
+    clocks = spark.read.schema(CLOCKS).parquet(f"{folder}/clocks").distinct()
+    newest = clocks.groupBy(*THREAD).agg(F.max("last_in").alias("newest"))
+    parts = snapshots.read(spark, f"{folder}/threads", f"{PARTS}, days int").groupBy(*THREAD).agg(F.max(F.timestamp_micros("last.at")).alias("held"))
+    known = clocks.alias("c").join(newest.alias("n"), _same_thread("c", "n")).where("c.last_in = n.newest").select("c.*")
+    joined = known.alias("c").join(parts.alias("p"), _same_thread("c", "p"), "left")
+    return joined.where("p.held is null or p.held <= c.last_in").select("c.*")
+
+
 # --- outbox -------------------------------------------------------------------
 
 ACCEPTED = "seq bigint, brand string, channel string, ref string, text string, by_whom string"
+CHECKED = f"{ACCEPTED}, error string"
+
 
+class Comments(StatefulProcessor):
+    """Whether one comment exists, and the replies to it that came before it did."""
 
-def start_outbox(replies: DataFrame, messages: Callable[[], DataFrame], folder: str, **trigger) -> StreamingQuery:
-    """Check each micro-batch of reply actions and write it, with its errors, to ``folder/checked``.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "yes boolean")
+        self.early = handle.getListState("early", ACCEPTED)
 
-    ``messages`` is called for every batch, so that comments that came meanwhile are known. A repeated batch replaces its own folder.
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        comment = frame["is_comment"].astype(bool)
+        replies = frame.loc[~comment, ["seq", "brand", "channel", "ref", "text", "by_whom"]]
+        if comment.any() and not self.known.exists():
+            self.known.update((True,))
+            again = [tuple(x) for x in self.early.get()]
+            self.early.clear()
+            if again:
+                yield pd.DataFrame(again, columns=replies.columns).assign(known=True)
+        known = self.known.exists()
+        if len(replies):
+            if not known and key[0] is not None and (replies["channel"] != "dm").any():
+                self.early.appendList([tuple(map(_plain, x)) for x in replies.itertuples(index=False)])
+            yield replies.assign(known=known)
+
+    def close(self) -> None:
+        pass
+
+
+def start_outbox(replies: DataFrame, messages: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Check reply actions against the comments seen so far and keep ``folder/checked``, one row for each ``seq``.
+
+    Both arguments are streams; comments are state, by their id. A reply that comes before its comment is rejected, and checked again when
+    the comment arrives. Direct replies need no comment and are spread by ``seq``. Each batch rewrites the buckets of its ``seq`` only.
     """
+    spark = replies.sparkSession
+    _stateful(spark)
+    comments = messages.filter((F.col("channel") == "comentario") & F.col("message_id").isNotNull())
+    comments = comments.select(F.col("message_id").alias("key"), F.lit(True).alias("is_comment"))
+    asked = replies.select(F.when(F.col("channel") == "dm", F.concat(F.lit("seq "), F.col("seq"))).otherwise(F.col("ref")).alias("key"), "*", F.lit(False).alias("is_comment"))
+    checked = (
+        asked.unionByName(comments, allowMissingColumns=True)
+        .groupBy("key")
+        .transformWithStateInPandas(Comments(), f"{ACCEPTED}, known boolean", "Update", "None")
+    )
+    path = f"{folder}/checked"
 
     def run(rows: DataFrame, batch: int) -> None:
-        actions.validate_replies(rows, messages()).write.mode("overwrite").parquet(f"{folder}/checked/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+        new = spark.read.schema(rows.schema).parquet(f"{folder}/changes/batch={batch}")
+        # a reply may have been seen before and after its comment in one batch
+        new = new.groupBy("seq").agg(F.max_by(F.struct(*[c for c in new.columns if c != "seq"]), "known").alias("x")).select("seq", "x.*")
+        changed = actions.with_error(new, F.col("known")).select("seq", "brand", "channel", "ref", "text", "by_whom", "error")
+        snapshots.update(spark, path, CHECKED, ["seq"], new, lambda old: old.join(new, "seq", "left_anti").unionByName(changed), f"{folder}/steps")
 
-    return replies.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/outbox-progress").trigger(**trigger).start()
+    try:
+        snapshots.create(spark.createDataFrame([], CHECKED), path, ["seq"])
+    except Exception as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
+    return checked.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{folder}/outbox-progress").trigger(**trigger).start()
 
 
 def outbox_actions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) actions so far."""
-    checked = spark.read.schema(f"{ACCEPTED}, error string, batch bigint").parquet(f"{folder}/checked").drop("batch")
-    return actions.split_valid(checked)
+    return actions.split_valid(snapshots.read(spark, f"{folder}/checked", CHECKED))
 
 
 def current_outbox(spark: SparkSession, folder: str, reply_queue: DataFrame, as_of, first_id: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pytest
 from moments import at
 
 from inboxlake.operators import actions, threads
@@ -77,6 +78,12 @@ def test_late_sends_a_moving_clock_and_no_reread(spark, table, rows):
             assert rows(live.current_threads(spark, folder, as_of, 7), *COLUMNS) == rows(expected, *COLUMNS)
 
 
+def outbox(spark, folder):
+    stream = spark.readStream.schema(live.ACCEPTED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    said = spark.readStream.schema(SCHEMAS["messages"]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/messages")
+    live.start_outbox(stream, said, folder, availableNow=True).awaitTermination()
+
+
 def test_outbox(spark, table, rows):
     messages = table("messages", dict(id=1, channel="comentario", message_id="1" * 17))
     queue = table("reply_queue", dict(id=7, brand="brand_en", channel="dm", ref="5" * 12, text="old", result="ok"))
@@ -84,9 +91,51 @@ def test_outbox(spark, table, rows):
     replies = spark.createDataFrame(data, live.ACCEPTED)
     folder = workspace(spark)
     replies.repartition(3).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(live.ACCEPTED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    live.start_outbox(stream, lambda: messages, folder, availableNow=True).awaitTermination()
+    messages.write.parquet(f"{folder}/messages")
+    outbox(spark, folder)
     accepted, rejected = actions.split_valid(actions.validate_replies(replies, messages))
     expected = actions.upsert_replies(queue, accepted, AS_OF, 100)
     assert rows(live.current_outbox(spark, folder, queue, AS_OF, 100)) == rows(expected)
     assert rows(live.outbox_actions(spark, folder)[1], "seq", "error") == rows(rejected, "seq", "error") == [(20, "brand")]
+
+
+def test_late_comments_and_no_reread(spark, table, rows):
+    folder = workspace(spark)
+    replies = [(1, "brand_es", "comentario_publico", "1" * 17, "hi", "op"), (2, "brand_es", "comentario_privado", "2" * 17, "hi", "op"), (3, "brand_es", "dm", "5" * 12, "hi", "op"), (4, "brand_es", "dm", None, "hi", "op")]
+    spark.createDataFrame(replies, live.ACCEPTED).coalesce(1).write.parquet(f"{folder}/in")
+    table("messages", dict(id=1, channel="dm", message_id="2" * 17)).coalesce(1).write.parquet(f"{folder}/messages")
+    outbox(spark, folder)
+    assert rows(live.outbox_actions(spark, folder)[0], "seq") == [(3,), (4,)] or rows(live.outbox_actions(spark, folder)[0], "seq") == [(3,)]
+    assert [r for r in rows(live.outbox_actions(spark, folder)[1], "seq", "error") if r[0] < 3] == [(1, "comment_missing"), (2, "comment_missing")]
+    # the comment arrives later, and another reply after it
+    table("messages", dict(id=2, channel="comentario", message_id="1" * 17)).coalesce(1).write.mode("append").parquet(f"{folder}/messages")
+    spark.createDataFrame([(9, "brand_es", "comentario_publico", "1" * 17, "again", "op")], live.ACCEPTED).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    outbox(spark, folder)
+    assert {(1,), (3,), (9,)} <= set(rows(live.outbox_actions(spark, folder)[0], "seq"))
+    assert (2, "comment_missing") in rows(live.outbox_actions(spark, folder)[1], "seq", "error")
+
+
+def test_hot_thread_spreads_and_windows_close(spark, table, rows):
+    folder = workspace(spark)
+    hot = [dict(id=i, brand="brand_es", channel="dm", author_id="hot", direction="entrada", text="x", created_at=NOW - datetime.timedelta(minutes=i)) for i in range(400)]
+    early = [dict(id=900 + i, brand="brand_es", channel="dm", author_id=f"a{i}", direction="entrada", text="x", created_at=NOW - datetime.timedelta(days=20 + i)) for i in range(4)]
+    later = [dict(id=2000, brand="brand_es", channel="dm", author_id="z", direction="entrada", text="x", created_at=NOW + datetime.timedelta(days=45))]
+    table("reply_queue").write.parquet(f"{folder}/in/queue")
+    expected = threads.waiting_threads(table("messages", *hot, *early), table("reply_queue"), AS_OF, 7)
+    table("messages", *hot, *early).coalesce(1).write.parquet(f"{folder}/in/messages")
+    run_threads(spark, folder)
+    assert rows(live.current_threads(spark, folder, AS_OF, 7), *COLUMNS) == rows(expected, *COLUMNS)
+    parts = live.snapshots.read(spark, f"{folder}/threads", f"{live.PARTS}, days int").where("author_id = 'hot'")
+    assert parts.count() > live.SALTS and max(r[0] for r in parts.selectExpr("size(open)").collect()) < 100
+    with pytest.raises(ValueError):
+        live.current_threads(spark, folder, AS_OF, 8)
+    # the watermark moves past every window; the newest message of each thread is told with both
+    table("messages", *later).coalesce(1).write.mode("append").parquet(f"{folder}/in/messages")
+    run_threads(spark, folder)
+    closed = rows(live.closed_windows(spark, folder), "author_id", "last_in", "hours")
+    newest = {"hot": hot[0]["created_at"]} | {m["author_id"]: m["created_at"] for m in early}
+    assert {(a, h) for a, _, h in closed} == {(a, h) for a in newest for h in (24, 168)}
+    assert {(a, t.replace(tzinfo=datetime.timezone.utc) if t.tzinfo is None else t) for a, t, _ in closed} == set(newest.items())
+    # what is over is dropped from the table of parts
+    left = live.snapshots.read(spark, f"{folder}/threads", f"{live.PARTS}, days int")
+    assert rows(left.where("size(open) > 0"), "author_id") == [("z",)]
