@@ -153,6 +153,8 @@ def thread_events(messages: DataFrame, reply_queue: DataFrame, resolved: DataFra
         events = events.unionByName(sends, allowMissingColumns=True)
     events = events.withWatermark("at", late)  # one over all, which goes on when one of them is silent
     micros = F.unix_micros("at")
+    # a column without nulls stays whole numbers in Python
+    events = events.withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
     return events.select("*", micros.alias("micros"), F.floor(micros / DAY).alias("day"), F.pmod(F.xxhash64("id", micros), F.lit(salts)).cast("int").alias("salt"))
 
 
@@ -356,7 +358,7 @@ class Comments(StatefulProcessor):
         known = self.known.exists()
         if len(replies):
             if not known and key[0] is not None and (replies["channel"] != "dm").any():
-                self.early.appendList([tuple(map(_plain, x)) for x in replies.itertuples(index=False)])
+                self.early.appendList([(int(x[0]), *map(_plain, x[1:])) for x in replies.itertuples(index=False)])
             yield replies.assign(known=known)
 
     def close(self) -> None:
@@ -372,7 +374,7 @@ def start_outbox(replies: DataFrame, messages: DataFrame, folder: str, **trigger
     spark = replies.sparkSession
     _stateful(spark)
     comments = messages.filter((F.col("channel") == "comentario") & F.col("message_id").isNotNull())
-    comments = comments.select(F.col("message_id").alias("key"), F.lit(True).alias("is_comment"))
+    comments = comments.select(F.col("message_id").alias("key"), F.lit(0).cast("long").alias("seq"), F.lit(True).alias("is_comment"))  # a column without nulls stays whole numbers
     asked = replies.select(F.when(F.col("channel") == "dm", F.concat(F.lit("seq "), F.col("seq"))).otherwise(F.col("ref")).alias("key"), "*", F.lit(False).alias("is_comment"))
     checked = (
         asked.unionByName(comments, allowMissingColumns=True)

@@ -115,6 +115,25 @@ def test_late_comments_and_no_reread(spark, table, rows):
     assert (2, "comment_missing") in rows(live.outbox_actions(spark, folder)[1], "seq", "error")
 
 
+def test_replies_before_and_with_their_comments(spark, table, rows):
+    """Whatever order both come in, the checks are those of the batch form; ids beyond 2 ** 53 stay exact."""
+    big = 1 << 60
+    messages = [dict(id=i, channel="comentario", message_id=str(10**16 + i)) for i in range(30)]
+    replies = [(big + i, "brand_es", "comentario_publico", str(10**16 + i % 40), f"t{i}", "op") for i in range(80)]
+    for first in (replies[:50], replies[30:]):
+        folder = workspace(spark)
+        rest = [r for r in replies if r not in first]
+        spark.createDataFrame(first, live.ACCEPTED).coalesce(1).write.parquet(f"{folder}/in")
+        table("messages", *messages[:9]).coalesce(1).write.parquet(f"{folder}/messages")
+        outbox(spark, folder)
+        spark.createDataFrame(rest, live.ACCEPTED).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        table("messages", *messages[9:]).coalesce(1).write.mode("append").parquet(f"{folder}/messages")
+        outbox(spark, folder)
+        accepted, rejected = actions.split_valid(actions.validate_replies(spark.createDataFrame(replies, live.ACCEPTED), table("messages", *messages)))
+        assert rows(live.outbox_actions(spark, folder)[0], "seq", "text") == rows(accepted, "seq", "text")
+        assert rows(live.outbox_actions(spark, folder)[1], "seq", "error") == rows(rejected, "seq", "error")
+
+
 def test_hot_thread_spreads_and_windows_close(spark, table, rows):
     folder = workspace(spark)
     hot = [dict(id=i, brand="brand_es", channel="dm", author_id="hot", direction="entrada", text="x", created_at=NOW - datetime.timedelta(minutes=i)) for i in range(400)]
