@@ -1,4 +1,5 @@
 import json
+import random
 
 from inboxlake.llm.tool_links import canonical, linked, problems
 
@@ -48,3 +49,39 @@ def test_links_order_and_states(spark, folder):
 
 def test_empty(spark, folder):
     assert rows_of(spark, folder, [], []) == []
+
+
+def test_odd_arguments(spark, folder):
+    odd = ['{"q":"\\ud800"}', "[" * 100_000, "NaN", '{"q":"x","x":1e999}', '{"q":"x","x":-Infinity}', '{"\\udfff":1,"q":"x"}', "", '{"q":"' + "long " * 20_000 + '"}', "9" * 5000]
+    calls = [(1, f"c{i:02}", i, "find", x, []) for i, x in enumerate(odd)]
+    got = {r.call_id: r for r in rows_of(spark, folder, calls, [(1, "c00", 1, "")])}
+    assert got["c00"].valid and got["c00"].line.endswith('"result":""}') and "\\ud800" in got["c00"].line
+    assert [got[f"c{i:02}"].problems for i in (1, 2, 3, 4, 6, 8)] == ["arguments are not JSON"] * 6
+    assert got["c05"].problems == "\\udfff is unknown" and got["c07"].valid
+    for r in got.values():
+        json.loads(r.line, parse_constant=lambda x: 1 / 0)
+
+
+def test_tied_calls_have_one_answer(spark, folder):
+    calls = [(1, "a", 1, name, '{"q":"x"}', needs) for name in ("find", "seek", None) for needs in (["b"], [], None)] + [(1, "b", 0, "find", "{}", [])]
+    once = rows_of(spark, folder, calls, [])
+    again = rows_of(spark, folder, calls[::-1], [])
+    assert sorted(once, key=str) == sorted(again, key=str) and len(once) == 2
+
+
+def test_long_chains_and_random_graphs(spark, folder):
+    draw = random.Random(6)
+    chain = [(1, f"{i}", i, "find", "{}", [f"{i - 1}"]) for i in range(200)]
+    mixed = [(2, f"{i}", i, "find", "{}", [f"{draw.randrange(60)}" for _ in range(draw.choice([0, 1, 1, 1, 2, 3]))]) for i in range(60)]
+    acyclic = [(3, f"{i}", i, "find", "{}", [f"{draw.randrange(i)}" for _ in range(draw.choice([0, 1, 1, 2, 3]))] if i else []) for i in range(80)]
+    calls = chain + mixed + acyclic
+    want = {}
+    for _ in range(len(calls)):
+        for c, i, *_, needs in calls:
+            real = [(c, x) for x in set(needs) if any(k[:2] == (c, x) for k in calls)]
+            if all(x in want for x in real):
+                want[c, i] = max((want[x] + 1 for x in real), default=0)
+        if len(want) == len(calls):
+            break
+    got = {(r.conv_id, r.call_id): r.level for r in rows_of(spark, folder, calls, []) if r.level is not None}
+    assert got == want and max(v for (c, _), v in got.items() if c == 1) == 199
