@@ -75,14 +75,15 @@ def row_key(key: str, text: str) -> Column:
 
 
 def label_sample(labels: DataFrame, key: str, label: str, limit: int) -> DataFrame:
-    """At most about ``limit`` labelled rows (key, y), chosen by a hash of the key; rows without key or 0/1 label are none.
+    """At most about ``limit`` labelled rows (key, y), chosen by a hash of the key; rows without key or 0/1 label are none. Of several labels of a key the least counts.
 
     The bound keeps what a driver-side fit collects independent of the size of the labels.
     """
     rows = (
         labels.select(F.col(quoted(key)).alias("key"), F.col(quoted(label)).cast("int").alias("y"))
         .where(F.col("key").isNotNull() & F.col("y").isin(0, 1))
-        .dropDuplicates(["key"])
+        .groupBy("key")
+        .agg(F.min("y").alias("y"))
     )
     total = rows.count()
     if total <= limit:
@@ -91,6 +92,12 @@ def label_sample(labels: DataFrame, key: str, label: str, limit: int) -> DataFra
     return rows.where(F.pmod(F.xxhash64(F.col("key"), F.lit("sample")), F.lit(1 << 30)) < share)
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row for each ``key``, that with the least hash of its other columns: partly aggregated, so a key with very many rows reaches nobody whole."""
+    others = [c for c in rows.columns if c != "key"]
+    return rows.groupBy("key").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("x")).select("key", "x.*")
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """The connected components of undirected ``edges`` (a, b: long): (node, root), root the smallest node reachable.
 

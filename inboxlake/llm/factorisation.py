@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inboxlake.llm.common import blocks, extended, label_sample, packed, quoted, texts, unpacked
+from inboxlake.llm.common import blocks, extended, label_sample, one_each, packed, quoted, texts, unpacked
 from inboxlake.llm.statistics import COUNTS, counts
 
 #: Labelled documents that a machine is fitted on, at most about.
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = F.broadcast(label_sample(labels.where(~held_out(F.col(quoted(key)))), key, label, limit))
     named = [F.col(quoted(c)).cast("string").alias(f"m{k}") for k, c in enumerate(metadata)]
     rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"), *named).join(sample, "key")
+    rows = one_each(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     kind = rows.schema["key"].dataType.simpleString()
     found = rows.mapInArrow(run, f"key {kind}, y int, at array<int>, x array<float>").toPandas()
-    found = found.sort_values("key", kind="stable").drop_duplicates("key")
+    found = found.sort_values("key", kind="stable")
     return train([(np.asarray(a, dtype=np.int64), np.asarray(x, dtype=np.float64)) for a, x in zip(found["at"], found["x"])], found["y"].to_numpy(dtype=float))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inboxlake.llm.common import blocks, extended, label_sample, packed, quoted, texts, unpacked
+from inboxlake.llm.common import blocks, extended, label_sample, one_each, packed, quoted, texts, unpacked
 from inboxlake.llm.statistics import COUNTS, counts
 
 #: Labelled rows that a list is learned from, at most about.
@@ -161,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     sample = F.broadcast(label_sample(labels, key, label, limit))
     rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).join(sample, "key")
-    found = statistics(rows).where(~failed()).select("rest.key", "rest.y", *rates()).toPandas()
-    found = found.sort_values(["key", *RATES], kind="stable").drop_duplicates("key")
+    found = statistics(one_each(rows)).where(~failed()).select("rest.key", "rest.y", *rates()).toPandas()
+    found = found.sort_values("key", kind="stable")
     return learn({name: found[name].to_numpy(dtype=float) for name in RATES}, (found["y"] == 0).to_numpy())
 
 

@@ -70,8 +70,9 @@ def shards_by_bytes(docs: DataFrame, folder: str, shards: int = 16, key: str = "
         F.col(quoted(key)).alias("id"),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        # equal texts share the upper 44 bits; the id spreads them over the lower 20, so that a hot one can be cut
-        h.bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(F.col(quoted(key))).bitwiseAND(F.lit(low))).alias("k"),
+        # equal texts share the upper 44 bits; the id and the row's place spread them over the lower 20, so that a hot one can be cut, also one of
+        # rows that agree in id and text; places stay as they are once the table is written
+        h.bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(F.col(quoted(key)), F.monotonically_increasing_id()).bitwiseAND(F.lit(low))).alias("k"),
     )
     keys = settled(keys, folder, "keys")
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()

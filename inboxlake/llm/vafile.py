@@ -44,15 +44,17 @@ def cells(whole: DataFrame, folder: str, bits: int = BITS) -> tuple[DataFrame, d
     found = each.groupBy("d", "k").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("d", "k").toPandas()
     edges = {}
     for d, some in found.groupby("d"):
-        low = some["low"].to_numpy(dtype=np.int64)
-        edges[int(d)] = (low, np.maximum(1, -(-(some["high"].to_numpy(dtype=np.int64) - low + 1) // (1 << bits))))
+        low, high = ([int(x) for x in some[c]] for c in ("low", "high"))
+        width = [max(1, -(-(b - a + 1) // (1 << bits))) for a, b in zip(low, high)]  # whole numbers of any size
+        edges[int(d)] = (np.array(low, dtype=np.int64), np.array(width, dtype=np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for v in batch.column("v").to_pylist():
                 low, width = edges[len(v)]
-                out.append(((np.array(v, dtype=np.int64) - low) // width).astype(np.uint8 if bits <= 8 else "<u2").tobytes())
+                # differences of any two longs, as unsigned numbers
+                out.append(((np.array(v, dtype=np.int64).view(np.uint64) - low.view(np.uint64)) // width.view(np.uint64)).astype(np.uint8 if bits <= 8 else "<u2").tobytes())
             size = pa.array([len(v) for v in batch.column("v").to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), size, pa.array(out, pa.binary())], names=["id", "d", "cell"])
 
@@ -89,7 +91,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, folder: str, k: int = 5, key:
     Queries and candidates are rows of integer vectors (see ``integers``); a query's own id is no candidate, ties go to the
     smaller id, fewer candidates give fewer rows, and vectors of another dimension are none. Of several rows with one id the
     least vector counts. Blocks of queries meet blocks of approximations; what a task emits is bounded by k for a query
-    and block in the first scan. Exact, whatever the quality of the bounds.
+    and block in the first scan. Exact, whatever the quality of the bounds, as long as products and sums fit a long; a score for which one does
+    not is the sum in doubles, at most 2 ** 63 - 1 either way. Null, empty and non-finite vectors take no part, empty tables give no rows, and other columns are not read.
     """
     once = lambda rows: integers(rows, key, vector, scale).groupBy("id").agg(F.min("v").alias("v"))
     whole = settled(once(vectors), folder, "vectors")
@@ -152,7 +155,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, folder: str, k: int = 5, key:
     def exact(some: DataFrame) -> DataFrame:
         c = whole.select(F.col("id").alias("vec_id"), F.col("v").alias("x"))
         q = asked.select(F.col("id").alias("query_id"), F.col("v").alias("y"))
-        score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, p: s + p)
+        near = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, p: s + p)
+        whole_ = F.aggregate(F.zip_with("x", "y", F.try_multiply), F.lit(0).cast("long"), F.try_add)
+        most = F.lit((1 << 63) - 1)
+        score = F.coalesce(whole_, F.when(near >= 2.0**63, most).when(near <= -(2.0**63), -most).otherwise(F.floor(near)))
         return some.join(c, "vec_id").join(q, "query_id").select("query_id", "vec_id", "bound", score.alias("score"))
 
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

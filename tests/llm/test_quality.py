@@ -138,3 +138,13 @@ def test_classifier_on_awkward_rows(spark, awkward, labels, nothing):
 
 def test_names_of_counts_are_columns(awkward):
     assert set(COUNTS) <= set(quality_rules.statistics(awkward).columns)
+
+
+def test_a_label_of_very_many_rows_reaches_the_driver_once(spark):
+    from inboxlake.llm.common import label_sample, one_each
+
+    rows = spark.createDataFrame([(1, f"text {i % 7}", 1) for i in range(2000)] + [(2, None, 0)], "key long, text string, y int").repartition(5)
+    once = sorted(map(tuple, one_each(rows).collect()), key=str)
+    assert [r[0] for r in once] == [1, 2] and once == sorted(map(tuple, one_each(rows.repartition(3)).collect()), key=str)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    assert sorted(map(tuple, label_sample(labels, "doc_id", "quality", 10).collect())) == [(1, 0), (2, 1)]

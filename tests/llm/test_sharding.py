@@ -52,3 +52,13 @@ def test_overfull_ranges_are_cut_again(spark, folder, monkeypatch):
 def test_awkward_rows(awkward, folder, nothing, shards):
     check(sharding.shards_by_bytes(awkward, folder, shards).collect(), [(r.doc_id, r.text) for r in awkward.collect()], shards)
     assert sharding.shards_by_bytes(nothing, folder, shards).count() == 0
+
+
+def test_rows_equal_in_id_and_text_are_cut(spark, folder, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGES", 32)
+    docs = [(7, "hot " * 50)] * 3000 + [(None, "hot " * 50)] * 500 + [(i, f"text {i}") for i in range(500)]
+    seen = []
+    ranges = sharding._ranges
+    monkeypatch.setattr(sharding, "_ranges", lambda keys, cuts: seen.append(len(cuts)) or ranges(keys, cuts))
+    size = check(sharding.shards_by_bytes(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), folder).collect(), docs)
+    assert size.max() < 1.05 * size.mean() and seen[-1] > 20

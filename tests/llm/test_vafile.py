@@ -53,3 +53,14 @@ def test_empty(spark, folder):
 
 def test_query_has_five_for_each_of_ten(spark):
     assert len(answers(QUERIES["op4_vector_file"](spark, "/root/testdata/sf0.001"))) == 50
+
+
+def test_huge_components_do_not_overflow(spark, folder):
+    rows = [(0, [1e17, 1.0]), (1, [-1e17, 2.0]), (2, [3.0, 1e300]), (3, [1.0, 1.0]), (4, [2.0, -5e16])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vafile.top_k(vectors, vectors, folder).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert all(sorted(x)[k][0] == k + 1 for x in got.values() for k in range(4)) and len(got) == 5
+    assert all(-(1 << 63) < s < 1 << 63 for x in got.values() for _, _, s in x)
+    assert sorted(got[3])[0][1:] == (0, (1 << 63) - 1)  # a tie at the end of the range goes to the smaller id
