@@ -76,12 +76,12 @@ def candidates(codes: DataFrame, folder: str, halves: int = HALVES) -> DataFrame
     """
     half = codes.select("code", F.posexplode("bands").alias("i", "band"))
     shared = half.groupBy("i", "band").count().where("count > 1").drop("count")
-    kept = half.join(shared, ["i", "band"]).groupBy("code").agg(F.collect_list(F.struct("i", "band")).alias("all"))  # 2 * halves at most
+    kept = half.join(shared.hint("merge"), ["i", "band"]).groupBy("code").agg(F.collect_list(F.struct("i", "band")).alias("all"))  # 2 * halves at most
     first, second = F.filter("all", lambda x: x["i"] < halves), F.filter("all", lambda x: x["i"] >= halves)
     keys = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["i"], x["band"], y["i"], y["band"]))))
     tables = settled(kept.select("code", F.explode(keys).alias("key")), folder, "tables")
     least = tables.groupBy("key").agg(F.min("code").alias("least"), F.count("*").alias("many")).where("many > 1").select("key", "least")
-    edges = tables.join(least, "key").where("code <> least").select(F.col("code").alias("a"), F.col("least").alias("b"))
+    edges = tables.join(least.hint("merge"), "key").where("code <> least").select(F.col("code").alias("a"), F.col("least").alias("b"))
     return components(edges, folder)
 
 

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inboxlake.llm.common import blocks, components, extended, packed, quoted, row_key, texts
-from inboxlake.llm.gray_index import GrayIndex, distance
+from inboxlake.llm.gray_index import GrayIndex
+from inboxlake.llm.similar import candidate_sets, linked
 from inboxlake.sources.tables import settled
 
 #: Codes of a bucket that one task compares; a larger bucket is cut into pieces, and every two of them meet.
@@ -27,9 +28,6 @@ BUCKET = 50_000
 #: Shingles whose bits are counted at once.
 SHINGLES = 1 << 16
 
-#: Sets, and shingles in them, of a group of candidates that one task compares; a larger group is cut like a bucket.
-GROUP, GROUP_SHINGLES = 1_000, 1 << 20
-
 #: Added to a hash before it is mixed into the next word of a long fingerprint.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -201,93 +199,6 @@ def links(codes: DataFrame, words: int, radius: int, folder: str, bands: int | N
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def similar(sets: list[np.ndarray], bits: np.ndarray, radius: int, jaccard: float) -> tuple[list[int], list[int]]:
-    """Places of pairs that connect all sets linked within ``radius`` and at a Jaccard similarity of ``jaccard`` or more.
-
-    Every set that a search has reached is compared with all that none has: a pair is left out only if links that were compared connect it.
-    """
-    many = np.array([len(x) for x in sets], dtype=np.int64)
-    left, a, b = np.arange(len(sets)), [], []
-    while len(left):
-        reached, left = [int(left[0])], left[1:]
-        while reached and len(left):
-            i = reached.pop()
-            near = (distance(bits[left], bits[i]) <= radius) & (np.minimum(many[left], many[i]) >= jaccard * np.maximum(many[left], many[i]) - 0.5)
-            linked = np.zeros(len(left), dtype=bool)
-            places = np.flatnonzero(near & (many[left] > 0)) if many[i] else np.zeros(0, dtype=np.int64)
-            part = np.cumsum(many[left[places]]) // GROUP_SHINGLES
-            for some in np.split(places, np.flatnonzero(np.diff(part)) + 1) if len(places) else ():
-                n = many[left[some]]
-                found = np.concatenate([sets[k] for k in left[some]])
-                at = np.minimum(np.searchsorted(sets[i], found), many[i] - 1)
-                both = np.add.reduceat(sets[i][at] == found, np.cumsum(n) - n, dtype=np.int64)
-                linked[some] = both / (n + many[i] - both) >= jaccard
-            new = left[linked].tolist()
-            reached += new
-            a += [i] * len(new)
-            b += new
-            left = left[~linked]
-    return a, b
-
-
-def verified(docs: DataFrame, codes: DataFrame, candidates: DataFrame, folder: str, key: str, text: str, size: int, words: int, radius: int, jaccard: float) -> DataFrame:
-    """Edges (a, b) that connect every two codes of one component of ``candidates`` within ``radius`` and with a Jaccard similarity of ``jaccard`` or more.
-
-    Only codes with a candidate are read again, one text each. Every two sets of a component meet in one task: a component of
-    more than ``GROUP`` sets or ``GROUP_SHINGLES`` shingles is cut into pieces, and every two of them meet.
-    """
-    names = [f"w{k}" for k in range(words)]
-    members = settled(codes.join(candidates, codes["code"] == candidates["node"]).select("doc", "root", "code", *names), folder, "members")
-    rows = docs.select(row_key(key, text).alias("doc"), F.col(quoted(text)).alias("text")).join(members, "doc").dropDuplicates(["doc"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            found = [shingle_set(x, size) for x in texts(block)]
-            columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*map(block.column, ("root", "code", *names)), *columns], names=["root", "code", *names, "n", "shingles"])
-
-    fields = ", ".join(f"{c} long" for c in ("root", "code", *names, "n"))
-    sets = settled(rows.select("root", "code", *names, "text").mapInArrow(read, f"{fields}, shingles binary"), folder, "sets")
-    pieces = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_SHINGLES)).cast("long")
-    large = settled(sets.groupBy("root").agg(pieces.alias("pieces")).where("pieces > 1"), folder, "large-groups")
-    own = F.pmod(F.xxhash64("code", F.lit("piece")), F.coalesce("pieces", F.lit(1)))
-    cut = sets.join(large, "root", "left").withColumn("own", own)
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1)))
-    # with more than one piece, a piece meets itself wherever it meets another
-    cut = cut.where(F.col("pieces").isNull() | (F.col("own") != F.col("other")))
-    cell = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
-
-    def compared(table: pa.Table) -> pa.RecordBatch:
-        cell, code = table.column("cell").to_numpy(), table.column("code").to_numpy()
-        bits = np.ascontiguousarray(np.stack([table.column(w).to_numpy() for w in names], axis=1)).view(np.uint64)
-        found = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        a, b = [], []
-        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(cell)]):
-            x, y = similar(found[lo:hi], bits[lo:hi], radius, jaccard)
-            a += code[lo:hi][x].tolist()
-            b += code[lo:hi][y].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows come sorted by cell; the last cell waits for its other rows
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            last = batch.column("cell")[-1].as_py()
-            if held[0].column("cell")[0].as_py() == last:
-                continue
-            whole = pa.Table.from_batches(held)
-            to = int(np.searchsorted(whole.column("cell").to_numpy(), last, side="left"))
-            yield compared(whole.slice(0, to))
-            held = whole.slice(to).to_batches()
-        if held:
-            yield compared(pa.Table.from_batches(held))
-
-    return cut.select(cell.alias("cell"), "code", *names, "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
-
-
 def near_duplicates(
     docs: DataFrame,
     folder: str,
@@ -306,8 +217,8 @@ def near_duplicates(
     documents have them; nulls among the keys never are the smallest, and a component of null keys only is null. Empty
     texts have the fingerprint zero and link like any other. Repeated rows stay.
 
-    With ``jaccard`` fingerprints are those of the sets of shingles, equal sets (by a 64-bit hash) are one node, and a link needs a
-    Jaccard similarity of the two sets (of 64-bit hashes) of ``jaccard`` or more too, see ``verified``.
+    With ``jaccard`` fingerprints are those of the sets of shingles, equal sets (by a 64-bit hash) are one node, and the components of fingerprints are
+    only candidates: in each, two sets link at a Jaccard similarity (of sets of 64-bit hashes) of ``jaccard``, a whole percentage, or more, see ``similar.linked``.
     """
     names = [f"w{k}" for k in range(words)]
     least = F.min(F.col("rest")[key]).alias("least")
@@ -320,7 +231,9 @@ def near_duplicates(
         codes = settled(prints.groupBy("code", *names).agg(least, F.min("doc").alias("doc")), folder, "codes")
     roots = components(links(codes, words, radius, folder, bands, cuts), folder)
     if jaccard is not None:
-        roots = components(verified(docs, codes, roots, folder, key, text, size, words, radius, jaccard), folder)
+        members = settled(codes.join(roots, codes["code"] == roots["node"]).select("doc", "root", "code"), folder, "members")
+        sets = candidate_sets(docs, members, folder, key, text, lambda x: shingle_set(x, size))
+        roots = components(linked(sets, folder, round(100 * jaccard)), folder)
     placed = codes.select("code", "least").join(roots, codes["code"] == roots["node"], "left")
     placed = settled(placed.select("code", "least", F.coalesce("root", "code").alias("root")), folder, "placed")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component"))

@@ -242,7 +242,8 @@ def linked(sets: DataFrame, folder: str, percent: int = 80) -> DataFrame:
 
 def candidate_sets(docs: DataFrame, members: DataFrame, folder: str, key: str, text: str, make) -> DataFrame:
     """What ``linked`` takes, for ``members`` (doc: ``row_key``, root, code); one text of each is read again. ``make`` gives a text's set."""
-    rows = docs.select(row_key(key, text).alias("doc"), F.col(quoted(text)).alias("text")).join(members, "doc").dropDuplicates(["doc"])
+    # members have no size bound, so they are not broadcast, however few they look
+    rows = docs.select(row_key(key, text).alias("doc"), F.col(quoted(text)).alias("text")).join(members.hint("merge"), "doc").dropDuplicates(["doc"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):

@@ -206,7 +206,8 @@ def repeats(texts: DataFrame, folder: str, size: int = SIZE) -> DataFrame:
     hot = settled(asked.groupBy("least").agg(F.sum(length).alias("bytes")).where(F.col("bytes") > SHARD_BYTES // 4).select("least", F.lit(True).alias("hot")), folder, "hot")
     marked = asked.join(hot, "least", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = marked.groupBy("key").agg(F.collect_list(F.struct("start", "n", "least", (F.col("copies") == 1).alias("alone"), "hot")).alias("asked"))
-    strings = settled(texts.join(wanted, "key").mapInArrow(_strings(size), "least long, key long, start long, alone boolean, string binary"), folder, "strings")
+    # rows that repeat share a key: one of them is read, and their runs are handed on once
+    strings = settled(texts.join(wanted, "key").dropDuplicates(["key"]).mapInArrow(_strings(size), "least long, key long, start long, alone boolean, string binary"), folder, "strings")
 
     total = strings.agg(F.coalesce(F.sum(F.length("string")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
@@ -221,7 +222,7 @@ def repeats(texts: DataFrame, folder: str, size: int = SIZE) -> DataFrame:
     strings = strings.withColumn("shard", F.when(F.col("pieces").isNull(), ordinary).otherwise(cell)).withColumn("own", F.col("piece") == F.col("other"))
     strings = strings.select("shard", "own", "piece", "key", "start", "alone", "string").dropDuplicates(["shard", "key", "start"])
     inside = strings.groupBy("shard").applyInArrow(_shard(size), "key long, start long, n long")
-    return counted.where("copies > 1").select("key", "start", "n").unionByName(inside)
+    return counted.where("copies > 1").select("key", "start", "n").distinct().unionByName(inside)
 
 
 def _cut(size: int):

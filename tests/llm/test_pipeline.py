@@ -48,24 +48,6 @@ def test_clean_documents_stay(spark):
     assert len(good & base & {r.doc_id for r in left.collect()}) >= 0.98 * len(good & base)
 
 
-def test_near_copies_are_alike(spark, folder):
-    """What the near-duplicate stage removes has a partner with a Jaccard similarity of five-word shingles near 0.8 or more."""
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    groups = {}
-    for r in simhash.near_duplicates(docs, folder, **simhash.WIDE).collect():
-        groups.setdefault(r.component, []).append(r.rest.doc_id)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-
-    def shingles(i):
-        words = re.findall(r"[^\x20\x09-\x0D]+", texts[i].lower())
-        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-
-    for members in groups.values():
-        sets = {i: shingles(i) for i in members}
-        for i in members if len(members) > 1 else ():
-            assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in members if j != i) >= 0.6
-
-
 def test_groups_against_all_pairs(spark, folder):
     """The documents that stay are the smallest ids of the groups by exact Jaccard of five-word shingles, all pairs compared, planted ones too."""
     draw = random.Random(50)

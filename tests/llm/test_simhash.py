@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from inboxlake.llm import simhash
+from inboxlake.llm import similar, simhash
 from inboxlake.llm.common import components
 from inboxlake.llm.gray_index import GrayIndex, gray_rank
 from inboxlake.llm.queries import QUERIES
@@ -155,6 +155,6 @@ def test_a_link_left_out_stands_on_compared_ones(spark, folder, monkeypatch):
     docs = spark.createDataFrame([*enumerate(chain), (50, apart)], "doc_id long, text string")
     want = {**{k: 0 for k in range(20)}, 50: 50}
     assert {r.rest.doc_id: r.component for r in simhash.near_duplicates(docs, folder, **simhash.WIDE).collect()} == want
-    monkeypatch.setattr(simhash, "GROUP", 4)
-    monkeypatch.setattr(simhash, "GROUP_SHINGLES", 900)
+    monkeypatch.setattr(similar, "GROUP", 4)
+    monkeypatch.setattr(similar, "GROUP_SHINGLES", 900)
     assert {r.rest.doc_id: r.component for r in simhash.near_duplicates(docs, folder, **simhash.WIDE).collect()} == want

@@ -101,3 +101,13 @@ def test_awkward_rows(awkward, nothing, folder):
     assert left.columns == awkward.columns and left.count() == len(docs)
     assert {r.doc_id: r.text for r in left.collect()}[0] is None
     assert suffix_dedup.cut_repeats(nothing, folder).count() == 0
+
+
+def test_many_repeated_rows_hand_on_their_runs_once(spark, folder):
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = [(1, passage + " one")] * 200 + [(None, "other " + passage)] * 200 + [(3, "alone " * 5)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = suffix_dedup.repeats(rows.select(suffix_dedup.row_key("doc_id", "text").alias("key"), "text"), folder)
+    assert found.count() == found.distinct().count() < 400
+    got = {(r.rest.doc_id, bytes(r.kept)) for r in suffix_dedup.cut_repeats(rows, folder).collect()}
+    assert got == {(1, b""), (None, b""), (3, ("alone " * 5).encode())}
