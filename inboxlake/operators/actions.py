@@ -29,7 +29,7 @@ from inboxlake.constants import (
     REPLY_MAX_CHARS,
 )
 from inboxlake.functions.text import blank_to_null, filled, instant, trim_all
-from inboxlake.operators.skew import newest, skew_join
+from inboxlake.operators.skew import newest, newest_rows, skew_join
 
 
 def _text(c: str) -> Column:
@@ -150,7 +150,8 @@ def set_states(
     key = ["conversation_id", "brand"]
     updated = skew_join(case_state, folded, key, "left", spread=["id"])
     updated = updated.withColumn("state", F.when(F.col("_first").isNotNull(), F.col("_state")).otherwise(F.col("state")))
-    absent = folded.join(case_state.select(*key).distinct(), key, "left_anti")
+    known = case_state.join(folded.select(*key), key, "left_semi").select(*key).distinct()
+    absent = folded.join(known, key, "left_anti")
     added = absent.select(
         (F.lit(first_id) + F.col("_first.seq")).alias("id"),
         "brand",
@@ -258,7 +259,8 @@ def answered_outside(messages: DataFrame, actions: DataFrame, as_of, first_id: i
     checked = actions.withColumn("error", F.when(~F.col("channel").isin(*OUTSIDE_CHANNELS), "channel"))
     accepted, rejected = split_valid(checked)
     note = F.coalesce(F.concat(F.lit(" "), blank_to_null(F.col("note"))), F.lit(""))
-    named = skew_join(accepted, author_names(messages), ["author_id"], "left", spread=["seq"])
+    asked = messages.join(accepted.select("author_id").distinct(), "author_id", "left_semi")
+    named = skew_join(accepted, author_names(asked), ["author_id"], "left", spread=["seq"])
     text = filled(RECORDS["outside"], by=F.col("by_whom"), note=note)
     rows = named.withColumns({"author": F.col("known_name"), "text": text})
     return _outbound_record(rows, as_of, first_id), rejected
@@ -461,9 +463,9 @@ def log_suggestions(produced: DataFrame, as_of) -> DataFrame:
 def log_corrections(produced: DataFrame, messages: DataFrame, as_of, first_id: int, sample: int = 30) -> DataFrame:
     """A correction per improved draft; its question is the newest inbound text among the last messages."""
     improved = produced.filter((F.col("mode") == "melhorar") & (F.col("suggestion") != ""))
-    last = newest(
-        messages.select("author_id", "id", "created_at", "direction", "text"), ["author_id"], "created_at", ["id"], sample
-    )
+    said = messages.select("author_id", "id", "created_at", "direction", "text")
+    said = said.join(improved.select("author_id").distinct(), "author_id", "left_semi")
+    last = newest_rows(said, ["author_id"], "created_at", "id", sample)
     asked = last.filter((F.col("direction") == INBOUND) & (trim_all(F.coalesce("text", F.lit(""))) != ""))
     questions = asked.groupBy("author_id").agg(F.min_by("text", "rank").alias("question"))
     joined = skew_join(improved, questions, ["author_id"], "left", spread=["seq"])

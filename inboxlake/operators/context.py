@@ -32,7 +32,7 @@ from inboxlake.constants import (
 )
 from inboxlake.functions.language import brand_language
 from inboxlake.functions.text import blank_to_null, by_value, filled, is_blank, json_object_in, mask_email, stamp, trim_all
-from inboxlake.operators.skew import newest
+from inboxlake.operators.skew import newest_rows
 
 DAY = "yyyy-MM-dd"
 
@@ -91,7 +91,7 @@ def transcript(messages: DataFrame, line=reply_line, k: int = TRANSCRIPT_SHORT)
     """The newest ``k`` messages of each author as one text, oldest first."""
     columns = ["author_id", "id", "created_at", "direction", "channel", "category", "text", "deleted_at", "hidden_at"]
     known = messages.filter(F.col("author_id").isNotNull()).select(*columns)
-    picked = newest(known, ["author_id"], "created_at", ["id"], k)
+    picked = newest_rows(known, ["author_id"], "created_at", "id", k)
     lines = picked.select("author_id", "rank", "created_at", line(F.struct(*columns)).alias("line"))
     ordered = F.reverse(F.array_sort(F.collect_list(F.struct("rank", "line"))))
     grouped = lines.groupBy("author_id").agg(

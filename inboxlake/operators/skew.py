@@ -106,3 +106,18 @@ def newest(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], k:
     order = [F.col(time).desc_nulls_first(), *[F.col(c).desc_nulls_last() for c in tie]]
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def newest_rows(df: DataFrame, keys: Sequence[str], time: str, id: str, k: int, salts: int = 64) -> DataFrame:
+    """As ``newest``, for wide rows with a unique ``id`` that is not NULL: only keys, times and ids are ranked, and the rest of the rows is fetched for what is left.
+
+    Ranks are taken in two steps, first in each of ``salts`` parts of a key and then among the at most ``k`` rows that each leaves, so the last step
+    of a key gets ``k * salts`` short rows at most, however many rows or tasks it has.
+    """
+    order = [F.col(time).desc_nulls_first(), F.col(id).desc_nulls_last()]
+    slim = df.select(*keys, time, id).withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(salts)))
+    first = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))
+    some = slim.withColumn("_place", first).filter(F.col("_place") <= k)
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    left = some.withColumn("rank", rank).filter(F.col("rank") <= k).select(id, "rank")
+    return df.join(left, id)

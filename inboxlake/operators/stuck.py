@@ -15,6 +15,13 @@ def open_cases(case_state: DataFrame) -> DataFrame:
     return case_state.filter(~F.col("state").eqNullSafe("resolvido"))
 
 
+def of_cases(cases: DataFrame, messages: DataFrame, reply_queue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The messages and replies of the conversations of ``cases``, selected before anything is aggregated."""
+    ids = cases.select("conversation_id").distinct()
+    spoken = messages.join(ids.withColumnRenamed("conversation_id", "author_id"), "author_id", "left_semi")
+    return spoken, reply_queue.join(ids.withColumnRenamed("conversation_id", "ref"), "ref", "left_semi")
+
+
 def conversation_facts(messages: DataFrame, reply_queue: DataFrame) -> DataFrame:
     """One row per author or reply ref: known name, newest inbound and outbound, unsent reply.
 
@@ -71,7 +78,7 @@ def stuck_cases(
 ) -> DataFrame:
     """The report, oldest update first."""
     cases = with_paid_flag(open_cases(case_state), purchases)
-    cases = with_conversation_facts(cases, conversation_facts(messages, reply_queue), counted=case_state)
+    cases = with_conversation_facts(cases, conversation_facts(*of_cases(open_cases(case_state), messages, reply_queue)), counted=case_state)
     now = instant(as_of)
     return cases.select(
         now.alias("as_of"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inboxlake.constants import INBOUND, LANGUAGE_SAMPLE, OUTBOUND, URGENCY
 from inboxlake.functions.language import detect_language
 from inboxlake.functions.text import blank_to_null, elapsed, instant, is_blank
-from inboxlake.operators.skew import HOT_ROWS, newest, skew_join
+from inboxlake.operators.skew import HOT_ROWS, newest, newest_rows, skew_join
 
 THREAD = ["author_id", "brand", "channel"]
 
@@ -102,7 +102,7 @@ def language_sample(messages: DataFrame, sample: int = LANGUAGE_SAMPLE) -> DataF
     spoken = messages.filter((F.col("direction") == INBOUND) & ~is_blank(F.col("text"))).select(
         "author_id", "id", "created_at", "text"
     )
-    picked = newest(spoken, ["author_id"], "created_at", ["id"], sample)
+    picked = newest_rows(spoken, ["author_id"], "created_at", "id", sample)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     texts = picked.groupBy("author_id").agg(ordered.alias("_texts"))
     return texts.select("author_id", F.array_join(F.col("_texts.text"), " ").alias("sample"))

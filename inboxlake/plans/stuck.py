@@ -34,7 +34,7 @@ REPORT = f"""
 
 
 def _facts(t):
-    return op.with_conversation_facts(op.open_cases(t.case_state), op.conversation_facts(t.messages, t.reply_queue))
+    return op.with_conversation_facts(op.open_cases(t.case_state), op.conversation_facts(*op.of_cases(op.open_cases(t.case_state), t.messages, t.reply_queue)))
 
 
 @query("B01_open_cases", REPORT + "select id, conversation_id, brand, state from report")

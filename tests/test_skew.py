@@ -1,10 +1,17 @@
+import datetime
 import random
+import re
 
 import pytest
+from moments import at
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from inboxlake.operators import skew
 from inboxlake.operators.skew import hot_keys, newest, skew_join, with_place
+from inboxlake.sources.tables import SCHEMAS, workspace
+
+NOW = at("2024-01-31")
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +72,17 @@ def test_newest_puts_null_times_first(spark, rows):
 def test_newest_limits_before_the_shuffle(facts):
     plan = newest(facts.withColumn("t", F.col("id")), ["k"], "t", ["id"], 6)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_newest_rows_of_a_hot_author(spark, table, rows):
+    """One author has half of all rows; ranks are those of one window, and no text is ranked."""
+    messages = table("messages", *[dict(id=i, author_id="hot" if i % 2 else f"a{i % 40}", text=f"t{i}", direction="entrada", created_at=None if i % 97 == 0 else NOW - datetime.timedelta(minutes=i % 50)) for i in range(1, 900)])
+    for k in (1, 5, 30):
+        ranked = skew.newest_rows(messages, ["author_id"], "created_at", "id", k, salts=4)
+        assert rows(ranked, "id", "rank", "text") == rows(skew.newest(messages, ["author_id"], "created_at", ["id"], k), "id", "rank", "text")
+    path = workspace(spark)
+    messages.write.parquet(path)
+    plan = skew.newest_rows(spark.read.schema(SCHEMAS["messages"]).parquet(path).select("author_id", "created_at", "id", "text"), ["author_id"], "created_at", "id", 5)
+    scans = re.findall(r"ReadSchema: struct<([^>\n]*)", plan._jdf.queryExecution().executedPlan().toString())
+    # the scan below the ranks has keys, times and ids only
+    assert sorted("text:" in x for x in scans) == [False, True]
