@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inboxlake.llm.common import blocks, components, quoted, row_key, texts
+from inboxlake.llm.common import blocks, quoted, row_key, texts
 from inboxlake.sources.tables import settled
 
 #: Sets, and shingles in them, that one task holds; about how many pivots a round draws from a group, and rounds.
 GROUP, GROUP_SHINGLES = 1_000, 1 << 20
-PIVOTS, ROUNDS = 16, 3
+PIVOTS, ROUNDS = 16, 2
 
 #: Pairs of a shingle and a set that are counted at once.
 HITS = 1 << 22
@@ -143,8 +143,11 @@ def _searched(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("cell", "code", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def _met(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
-    """Edges between the sets of ``few`` and those of ``many`` in one ``cell``: a task holds the few of a cell, and the others pass by."""
+def _met(few: DataFrame, many: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Edges between the sets of ``few`` and those of ``many`` in one ``cell``: a task holds the few of a cell, and the others pass by.
+
+    ``every`` link is an edge (set of ``many``, set of ``few``), or only as many as connect the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lookup, codes, sets = None, None, [], []
@@ -167,6 +170,10 @@ def _met(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
                 x, y = lookup.linked(_sets(part.column("shingles")), percent)
                 if not len(x):
                     continue
+                if every:
+                    a += own[x].tolist()
+                    b += lookup.codes[y].tolist()
+                    continue
                 # one edge for each set, to the first that it links with; those that it connects are few
                 first = np.concatenate([[True], x[1:] != x[:-1]])
                 near = lookup.codes[y]
@@ -190,14 +197,24 @@ def _drawn(rest: DataFrame, turn: int) -> DataFrame:
     return held.where((F.col("k") == 1) | ((F.col("k") <= 4 * PIVOTS) & (F.col("so_far") <= GROUP_SHINGLES))).select("root", "code")
 
 
-def _labelled(sets: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
-    """(root, code, n, label, main) of the sets whose root is not connected yet; main: whether the label is its root's most frequent one."""
-    found = components(edges, folder).select("node", F.col("root").alias("label"))
-    rows = sets.select("root", "code", "n").join(found, F.col("code") == F.col("node"), "left")
-    rows = settled(rows.select("root", "code", "n", F.coalesce("label", "code").alias("label")), folder, "labels")
-    counts = rows.groupBy("root", "label").count()
-    top = counts.groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("root", "top")
-    return settled(rows.join(top, "root").select("root", "code", "n", "label", (F.col("label") == F.col("top")).alias("main")), folder, "open")
+def _reached(sets: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """``sets`` (root, code, n, main) after a round that gave the edges ``found`` (a, b: pivot), of the roots in which some set is not main yet.
+
+    ``main`` are sets that links are known to connect: first those of the pivot with most of them, then those of every pivot that a main set links with.
+    No search for components is needed, as all edges go to pivots.
+    """
+    of = sets.select(F.col("code").alias("a"), "root", "main")
+    stars = found.join(of, "a").groupBy("root", "b").agg(F.count("*").alias("many"))
+    begun = sets.groupBy("root").agg(F.max("main").alias("begun")).where("not begun").select("root")
+    top = stars.join(begun, "root").groupBy("root").agg(F.max_by("b", F.struct("many", "b")).alias("code")).select("code")
+    main = sets.where("main").select("code").union(top)
+    for _ in range(2):
+        good = found.join(main.withColumnRenamed("code", "a"), "a", "left_semi").select("b").union(main.withColumnRenamed("code", "b")).distinct()
+        main = found.join(good, "b", "left_semi").select(F.col("a").alias("code")).union(good.select(F.col("b").alias("code")))
+    main = main.distinct().withColumn("new", F.lit(True))
+    rows = sets.join(main, "code", "left").select("root", "code", "n", (F.col("main") | F.coalesce("new", F.lit(False))).alias("main"))
+    rows = settled(rows, folder, "reached")
+    return rows.join(rows.where("not main").select("root").distinct(), "root", "left_semi")
 
 
 def linked(sets: DataFrame, folder: str, percent: int = 80) -> DataFrame:
@@ -212,16 +229,15 @@ def linked(sets: DataFrame, folder: str, percent: int = 80) -> DataFrame:
     edges = [settled(_searched(sets.join(large, "root", "left_anti").withColumn("cell", F.col("root")), percent), folder, "small")]
     sets = settled(sets.join(large, "root"), folder, "large-sets")
     mixed = lambda *c: F.xxhash64("root", *c)
-    left, far = sets.select("root", "code", "n", F.lit(False).alias("main")), None
+    left = sets.select("root", "code", "n", F.lit(False).alias("main"))
     for turn in range(ROUNDS):
         pivots = settled(sets.drop("n", "pieces").join(_drawn(left.where("not main"), turn), ["root", "code"]).join(large, "root"), folder, "pivots")
         few = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).withColumn("cell", mixed("salt"))
         here = sets.join(left.select("root").distinct(), "root", "left_semi")
         many = here.withColumn("cell", mixed(F.pmod(F.xxhash64("code", F.lit("salt")), F.col("pieces"))))
-        found = settled(_met(few, many, percent), folder, "met")
+        found = settled(_met(few, many, percent, every=True), folder, "met")
         edges.append(found)
-        far = found if far is None else far.union(found)
-        left = _labelled(here, far, folder)
+        left = _reached(left, found, folder)
         if left.isEmpty():
             break
     else:
