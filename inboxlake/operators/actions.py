@@ -40,14 +40,20 @@ def _text(c: str) -> Column:
 
 
 def validate_replies(
-    actions: DataFrame, messages: DataFrame, brands=REPLY_BRANDS, banned_domain: str = BANNED_DOMAIN
+    actions: DataFrame, messages: DataFrame, brands=REPLY_BRANDS, banned_domain: str = BANNED_DOMAIN, fetch=None
 ) -> DataFrame:
-    """Add ``error``: the first broken rule of a reply, NULL when it is good. The text comes out trimmed."""
+    """Add ``error``: the first broken rule of a reply, NULL when it is good. The text comes out trimmed.
+
+    Comments are looked for without the texts. ``fetch`` gives the actions whose ``seq`` is (``left_semi``) or is not (``left_anti``) in a frame.
+    """
     comments = messages.filter((F.col("channel") == "comentario") & F.col("message_id").isNotNull())
     refs = actions.filter(F.col("channel") != "dm").select("ref").distinct()
-    known = comments.select(F.col("message_id").alias("ref")).join(refs, "ref", "left_semi").distinct().withColumn("_known", F.lit(True))
-    checked = skew_join(actions, known, ["ref"], "left", spread=["seq"])
-    return with_error(checked, F.col("_known"), brands, banned_domain).drop("_known")
+    known = comments.select(F.col("message_id").alias("ref")).join(refs, "ref", "left_semi").distinct()
+    asked = actions.filter(F.col("channel") != "dm").select("seq", "ref")
+    found = skew_join(asked, known, ["ref"], spread=["seq"]).select("seq")
+    fetch = fetch or (lambda seqs, how: actions.join(seqs, "seq", how))
+    marked = fetch(found, "left_semi").withColumn("_known", F.lit(True)).unionByName(fetch(found, "left_anti").withColumn("_known", F.lit(False)))
+    return with_error(marked, F.col("_known"), brands, banned_domain).drop("_known")
 
 
 def with_error(actions: DataFrame, known: Column, brands=REPLY_BRANDS, banned_domain: str = BANNED_DOMAIN) -> DataFrame:
@@ -270,18 +276,21 @@ def answered_outside(messages: DataFrame, actions: DataFrame, as_of, first_id: i
 
 
 def moderate_comments(
-    messages: DataFrame, actions: DataFrame, as_of, first_id: int, brands, channels
+    messages: DataFrame, actions: DataFrame, as_of, first_id: int, brands, channels, fetch=None
 ) -> tuple[DataFrame, DataFrame]:
     """Delete, hide or show comments: (new messages with audit rows, outcome per action).
 
     ``kind`` is delete, hide or show. The first inbound row with the message id
     and brand is meant. A delete after a delete changes nothing; hiding or
-    showing a deleted comment is a conflict.
+    showing a deleted comment is a conflict. ``fetch`` gives the messages whose id is (``left_semi``) or is not (``left_anti``) in a frame; only those
+    that change are joined with their change.
     """
+    fetch = fetch or (lambda ids, how: messages.join(ids, "id", how))
     key = ["message_id", "brand"]
     actions = actions.withColumns({c: blank_to_null(F.col(c)) for c in (*key, "channel", "author_id")})
     inbound = messages.filter((F.col("direction") == INBOUND) & F.col("message_id").isNotNull())
     inbound = inbound.join(actions.select(*key).distinct(), key, "left_semi")
+    inbound = inbound.withColumn("text", F.substring("text", 1, 120))
     targets = inbound.groupBy(*key).agg(F.min_by(F.struct("id", "deleted_at", "text"), "id").alias("_target"))
     # the first good delete of a comment closes it for the actions after it
     deletes = (
@@ -315,15 +324,15 @@ def moderate_comments(
     )
     now = instant(as_of)
     updated = (
-        messages.join(change, "id", "left")
+        fetch(change.select("id"), "left_semi").join(change, "id")
         .withColumn("deleted_at", F.when(F.coalesce("_delete", F.lit(False)), now).otherwise(F.col("deleted_at")))
         .withColumn(
             "hidden_at",
             F.when(F.col("_visible") == "hide", now).when(F.col("_visible").isNull(), F.col("hidden_at")),
         )
         .drop("_delete", "_visible")
-    )
-    start = F.substring(F.coalesce("_target.text", F.lit("")), 1, 120)
+    ).unionByName(fetch(change.select("id"), "left_anti"))
+    start = F.coalesce("_target.text", F.lit(""))
     audit = F
     for kind in ("delete", "hide", "show"):
         audit = audit.when(F.col("kind") == kind, filled(RECORDS[kind], by=F.col("by_whom"), text=start))
@@ -425,12 +434,17 @@ def write_translations(messages: DataFrame, requested: DataFrame, translated: Da
     ``requested`` has the (id, part, lead) that were sent out, ``translated`` seq, id, part and pt. Of each part the last non-blank translation
     by ``seq`` counts; a message is written only when all of its parts came back.
     """
-    good = translated.withColumn("pt", trim_all(F.col("pt"))).filter(F.col("pt") != "")
-    best = good.groupBy("id", "part").agg(F.max_by("pt", "seq").alias("pt"))
-    asked = requested.select("id", "part", "lead").distinct().join(best, ["id", "part"], "left")
-    whole = asked.groupBy("id").agg(
-        F.count(F.when(F.col("pt").isNull(), 1)).alias("_missing"),
-        F.sort_array(F.collect_list(F.struct("part", F.concat("lead", "pt").alias("pt")))).alias("_parts"),
+    none = F.lit(None)
+    good = translated.withColumn("pt", trim_all(F.col("pt"))).filter((F.col("pt") != "") & F.col("part").isNotNull())
+    good = good.select("id", "part", none.cast("struct<lead: string>").alias("lead"), "seq", "pt")
+    sent = requested.select("id", "part", F.struct("lead").alias("lead"), none.cast("long").alias("seq"), none.cast("string").alias("pt"))
+    # what was sent and what came back meet by id, so that texts are shuffled once
+    parts = sent.unionByName(good).repartition("id").groupBy("id", "part").agg(
+        F.collect_set("lead").alias("leads"), F.max_by("pt", F.when(F.col("pt").isNotNull(), F.col("seq"))).alias("pt")
+    )
+    pieces = F.transform("leads", lambda x: F.struct("part", F.concat(x["lead"], F.col("pt")).alias("pt")))
+    whole = parts.filter(F.size("leads") > 0).groupBy("id").agg(
+        F.count(F.when(F.col("pt").isNull(), 1)).alias("_missing"), F.sort_array(F.flatten(F.collect_list(pieces))).alias("_parts")
     )
     whole = whole.filter("_missing = 0").select("id", F.array_join("_parts.pt", "").alias("_pt"))
     return messages.join(whole, "id", "left").withColumn("text_pt", F.coalesce("_pt", "text_pt")).drop("_pt")

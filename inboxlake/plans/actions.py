@@ -38,7 +38,7 @@ CHECKED = r"""
 
 
 def _checked(t):
-    return op.validate_replies(t.actions_reply, t.messages)
+    return op.validate_replies(t.actions_reply, t.messages, fetch=t.replies_of)
 
 
 @query("E01_reply_validation", CHECKED + " select seq, brand, channel, ref, text, error from checked")
@@ -260,7 +260,7 @@ JUDGED = """
 
 def _moderated(t, kinds=("delete", "hide", "show")):
     log = t.actions_moderation.filter(F.col("kind").isin(*kinds))
-    return op.moderate_comments(t.messages, log, AS_OF, FIRST_ID, MODERATION_BRANDS, COMMENT_CHANNELS)
+    return op.moderate_comments(t.messages, log, AS_OF, FIRST_ID, MODERATION_BRANDS, COMMENT_CHANNELS, t.messages_of)
 
 
 @query(
