@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inboxlake.constants import BRAND_LANGS, BRAND_NAMES, EMAIL_SHAPE, MAIL_TEXTS
 from inboxlake.functions.language import brand_language
 from inboxlake.functions.text import by_value, escape_html, first_name, instant, public_url, trim_all
-from inboxlake.operators.skew import with_place
+from inboxlake.operators.skew import spread_pairs, with_place
 
 ITEM = ["brand", "title", "bucket", "file", "position"]
 
@@ -50,30 +50,38 @@ def decide(requests: DataFrame, purchases: DataFrame) -> DataFrame:
 
 
 def deliverable_items(
-    decisions: DataFrame, rights: DataFrame, items: DataFrame, folder: str | None = None
+    decisions: DataFrame, rights: DataFrame, items: DataFrame, folder: str | None = None, only_chosen: bool = False
 ) -> DataFrame:
     """The items of each decided request in order, ``place`` from 0.
 
     From the product list, from the entitlements (these are chosen by place), or
-    the main items of the brand, which are put in order once for all requests.
+    the main items of the brand, which are put in order once for all requests. All pairs of these are dealt to many tasks; with ``only_chosen`` those
+    that a request does not name in its ``item_ids`` are not made, for ``chosen_items``, which applies to the rest.
     """
     by_list = requested_items(decisions.filter("listed"), items).withColumn("key_id", F.col("item_id"))
     bought = decisions.filter(~F.col("listed") & (F.col("base") == "compra")).select("request_key")
     by_right = rights.select("request_key", "item_id", *ITEM).join(bought, "request_key", "left_semi")
     by_right = by_right.withColumn("key_id", F.lit(None).cast("long"))
-    manual = decisions.filter(F.col("base") == "confirmacao_manual").select("request_key", "brand")
-
-    by_hand = manual.join(with_place(manual_items(items), ["brand"], ["position"], "item_id").drop("position"), "brand")
+    manual = decisions.filter(F.col("base") == "confirmacao_manual")
+    main = with_place(manual_items(items), ["brand"], ["position"], "item_id").drop("position")
+    whole = manual.filter(_names_none()) if only_chosen else manual
+    by_hand = spread_pairs(whole.select("request_key", "brand"), main, ["brand"], "request_key", "item_id")
+    if only_chosen:
+        named = manual.filter(~_names_none()).select("request_key", "brand", F.explode(F.array_distinct("item_ids")).alias("item_id"))
+        by_hand = by_hand.unionByName(named.join(main, ["brand", "item_id"]))
     placed = with_place(by_list.unionByName(by_right), ["request_key"], ["brand", "position"], "item_id", folder=folder).drop("position")
     return placed.unionByName(by_hand.withColumn("key_id", F.col("item_id")))
 
 
+def _names_none() -> Column:
+    return F.coalesce(F.size("item_ids"), F.lit(0)) <= 0
+
+
 def chosen_items(placed: DataFrame, requests: DataFrame) -> DataFrame:
     """Only the items a request names, by id, or by place where the item came without one."""
     wanted = requests.select("request_key", "item_ids")
     joined = placed.join(wanted, "request_key")
-    every = F.coalesce(F.size("item_ids"), F.lit(0)) <= 0
-    return joined.filter(every | F.array_contains("item_ids", F.coalesce("key_id", "place"))).drop("item_ids")
+    return joined.filter(_names_none() | F.array_contains("item_ids", F.coalesce("key_id", "place"))).drop("item_ids")
 
 
 def with_links(placed: DataFrame, base_url: str, public_buckets: list[str]) -> DataFrame:
