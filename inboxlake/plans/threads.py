@@ -158,7 +158,7 @@ def _bounded(t):
 
 
 def _waiting(t):
-    return op.waiting_threads(t.messages, t.reply_queue, AS_OF, 7)
+    return op.waiting_threads(t.messages, t.reply_queue, AS_OF, 7, fetch=t.messages_of)
 
 
 def _queued(t):
@@ -215,7 +215,7 @@ def _(t):
     GROUPS + LANGUAGES + f" select {KEYS}, {winner_sql('brand')} as lang from open_threads left join sample_votes using (author_id)",
 )
 def _(t):
-    return op.with_thread_language(op.unanswered(_bounded(t)), t.messages).select(*T, "lang")
+    return op.with_thread_language(op.unanswered(_bounded(t)), t.messages, t.messages_of).select(*T, "lang")
 
 
 @query("A11_hours_waiting", CLOCKS + f" select {KEYS}, hours_waiting from clocks")
@@ -266,7 +266,7 @@ def _(t):
 
 
 def _queue(t, language, days=7):
-    return op.queue(t.messages, t.reply_queue, t.case_state, t.pauses, AS_OF, days, language)
+    return op.queue(t.messages, t.reply_queue, t.case_state, t.pauses, AS_OF, days, language, t.messages_of)
 
 
 @query("A18_output_projection", FULL + f" select {REPORT} from classed")
