@@ -10,17 +10,18 @@ from inboxlake.sources.derived import AS_OF
 from inboxlake.sources.tables import SCHEMAS, workspace
 from inboxlake.streaming import live
 
-FILES = 4
+#: Micro-batches of a table, and files that a batch reads (and tasks that write them).
+FILES, TASKS = 4, 8
 
 
 def as_files(rows, folder: str, order: str) -> None:
     """A table written as files in ranges of ``order``."""
-    rows.repartitionByRange(FILES, order).write.parquet(folder)
+    rows.repartitionByRange(FILES * TASKS, order).write.parquet(folder)
 
 
 def as_stream(spark, folder: str, schema: str):
-    """Files as a stream, one for each micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    """Files as a stream in micro-batches."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", TASKS).parquet(folder)
 
 
 @query("S01_live_threads", WAITING + f" select {KEYS}, author, last_in, last_out, waiting_since, n_unanswered, n_media, categories, last_message_id from waiting")
@@ -42,7 +43,7 @@ def _(t):
 def _outbox(t) -> str:
     folder = workspace(t.spark)
     as_files(t.actions_reply, f"{folder}/in/replies", "seq")
-    as_files(t.messages, f"{folder}/in/messages", "id")
+    as_files(t.messages.select("id", "channel", "message_id"), f"{folder}/in/messages", "id")  # a reply needs to know that its comment exists
     streams = as_stream(t.spark, f"{folder}/in/replies", live.ACCEPTED), as_stream(t.spark, f"{folder}/in/messages", SCHEMAS["messages"])
     live.start_outbox(*streams, folder, availableNow=True).awaitTermination()
     return folder

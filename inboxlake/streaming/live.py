@@ -1,29 +1,26 @@
-"""Streaming forms of the thread queue and of the reply outbox, on Spark's own keyed state.
+"""Streaming forms of the thread queue and of the reply outbox, on Spark's own stream joins and on tables in buckets.
 
-``start_lookup`` keeps the author of each comment and the sends that wait for it, and appends sends with their author. ``start_threads``
-keeps what a thread said on each day, split over a few salts so that a hot thread is many small states, and hands on a new version of every part
-that changed; parts are merged when the queue is read, with the clock given then. ``start_outbox`` checks replies; which comments exist
-is state, so no batch reads earlier input again. State is typed, and timers on event time end it.
+``start_lookup`` joins comments with the sends to them and appends sends with their author. ``start_threads`` keeps what a thread said on
+each day, split over a few salts so that a hot thread is many small rows, in a table of which each batch rewrites the buckets it touches; parts
+are merged when the queue is read, with the clock given then. ``start_outbox`` checks replies; which comments exist is the state of a
+stream join, so no batch reads earlier input again. Nothing runs once a key: events of a batch are aggregated, joined and written by Spark.
 
-The state store must be one with named states: the functions here set RocksDB for the session.
+The state store is RocksDB, which the functions here set for the session.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from inboxlake.constants import INBOUND, OUTBOUND
+from inboxlake.functions.language import bound
 from inboxlake.functions.text import blank_to_null, instant, is_blank
 from inboxlake.operators import actions
 from inboxlake.operators.threads import THREAD, never
 from inboxlake.sources import snapshots
+from inboxlake.sources.tables import settled
 
 DAYS = 7
 RESOLVED = "author_id string, brand string, channel string, sent_at timestamp"
@@ -33,8 +30,13 @@ PART = [*THREAD, "day", "salt"]
 #: A part of a thread: newest outbound message and send, names with the time they were last seen, the newest inbound, and all inbound
 #: messages that the part does not know to be answered.
 PARTS = (
-    "author_id string, brand string, channel string, day bigint, salt int, out bigint, sent bigint, names array<struct<at: bigint, name: string>>, "
-    "last struct<at: bigint, id: bigint, text: string, message_id: string>, open array<struct<at: bigint, id: bigint, media: boolean, category: string>>"
+    "author_id string, brand string, channel string, day bigint, salt int, out bigint, sent bigint, names array<struct<name: string, at: bigint>>, "
+    "last struct<at: bigint, id: bigint, message_id: string>, open array<struct<at: bigint, id: bigint, media: boolean, category: string, batch: bigint>>"
+)
+#: What a batch read, kept in ``folder/events``: the texts stay there and are not written again with the parts.
+EVENTS = (
+    "author_id string, brand string, channel string, at timestamp, id bigint, name string, text string, kind string, media boolean, category string, "
+    "message_id string, micros bigint, day bigint, salt int"
 )
 #: A reply window that has closed: after so many hours nothing newer had come in.
 CLOCKS = "author_id string, brand string, channel string, last_in timestamp, hours int"
@@ -46,90 +48,33 @@ def _stateful(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _plain(x):
-    """A cell as Python has it; missing ones are None."""
-    return None if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)) else x
-
-
-def _get(state) -> tuple:
-    return tuple(state.get()) if state.exists() else ()
-
-
 # --- the author of a comment --------------------------------------------------
 
 
-def lookup_events(messages: DataFrame, reply_queue: DataFrame, late: str) -> DataFrame:
-    """Comments that have an id and sent replies to comments, by message id. ``late`` is how long after newer events one may arrive."""
+def resolved_sends(messages: DataFrame, reply_queue: DataFrame, late: str, keep_days: int | None) -> DataFrame:
+    """Sent replies to comments with the author of the comment, whichever of the two arrives first. With ``keep_days`` one may arrive ``late`` after newer events."""
     known = messages.filter(F.col("message_id").isNotNull() & F.col("author_id").isNotNull() & F.col("created_at").isNotNull())
-    known = known.select("message_id", F.col("created_at").alias("at"), "author_id", F.lit(None).cast("string").alias("brand"), F.lit(False).alias("is_send"))
+    known = known.select("message_id", "author_id", F.col("created_at").alias("said_at"))
     sent = reply_queue.filter(F.col("sent_at").isNotNull() & (F.col("channel") != "dm") & F.col("ref").isNotNull())
-    sent = sent.select(F.col("ref").alias("message_id"), F.col("sent_at").alias("at"), F.lit(None).cast("string").alias("author_id"), "brand", F.lit(True).alias("is_send"))
-    # one watermark over both, which goes on when one of them is silent
-    return known.unionByName(sent).withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
-
-
-class Lookup(StatefulProcessor):
-    """Authors and sends of one comment; hands on each pair once, and of the sends of a brand the newest only."""
-
-    def __init__(self, keep_days: int | None):
-        self.keep_days = keep_days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.authors = handle.getMapState("authors", "author_id string", "at bigint")
-        self.sends = handle.getMapState("sends", "known boolean, brand string", "at bigint")
-        self.until = handle.getValueState("until", "ms bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        authors = {k[0]: v[0] for k, v in self.authors.iterator()}
-        sends = {k[1] if k[0] else None: v[0] for k, v in self.sends.iterator()}
-        before = set(authors), dict(sends)
-        newest = 0
-        for frame in rows:
-            newest = max(newest, int(frame["micros"].max()))
-            said = frame[~frame["is_send"].astype(bool)]
-            authors |= said.groupby("author_id")["micros"].max().to_dict()
-            sent = frame[frame["is_send"].astype(bool)]
-            for brand, at in sent.groupby("brand", dropna=False)["micros"].max().items():
-                brand = _plain(brand)
-                sends[brand] = max(int(at), sends.get(brand, int(at)))
-        for name in set(authors) - before[0]:
-            self.authors.updateValue((name,), (int(authors[name]),))
-        for brand, at in sends.items():
-            if before[1].get(brand) != at:
-                self.sends.updateValue((brand is not None, brand or ""), (at,))
-        if self.keep_days is not None:
-            ms = newest // 1000 + self.keep_days * DAY // 1000 + 1
-            if ms > max(timerValues.getCurrentWatermarkInMs(), *_get(self.until), 0):
-                self.until.update((ms,))
-                self.handle.registerTimer(ms)
-        found = [(a, b, at) for a in authors for b, at in sends.items() if a not in before[0] or before[1].get(b) != at]
-        if found:
-            yield pd.DataFrame(found, columns=["author_id", "brand", "micros"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if _get(self.until) == (expiredTimerInfo.getExpiryTimeInMs(),):
-            for state in (self.authors, self.sends, self.until):
-                state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    sent = sent.select("ref", "brand", "sent_at")
+    same = F.col("message_id") == F.col("ref")
+    if keep_days is None:  # a comment that comes again is no new one
+        known = known.dropDuplicates(["message_id", "author_id"])
+    else:
+        known, sent = known.withWatermark("said_at", late), sent.withWatermark("sent_at", late)
+        kept = F.expr(f"interval {keep_days} days")
+        same = same & (F.col("sent_at") <= F.col("said_at") + kept) & (F.col("said_at") <= F.col("sent_at") + kept)
+    return known.join(sent, same).select("author_id", "brand", F.lit("comentario").alias("channel"), "sent_at")
 
 
 def start_lookup(messages: DataFrame, reply_queue: DataFrame, folder: str, late: str = "30 days", keep_days: int | None = None, **trigger) -> StreamingQuery:
     """Append the sends to comments with their author to ``folder/resolved``, whichever of the two arrives first.
 
-    Authors are kept for good, on disk; with ``keep_days`` a comment is forgotten so many days of event time after its last event, and a send that comes later
-    finds no author, which the batch queue would.
+    Authors are kept for good, on disk; with ``keep_days`` a send more than so many days of event time after its comment finds no author, which the
+    batch queue would, and state ends by the watermark.
     """
     _stateful(messages.sparkSession)
-    found = (
-        lookup_events(messages, reply_queue, late)
-        .groupBy("message_id")
-        .transformWithStateInPandas(Lookup(keep_days), "author_id string, brand string, micros bigint", "Append", "EventTime" if keep_days is not None else "None")
-    )
-    rows = found.select("author_id", "brand", F.lit("comentario").alias("channel"), F.timestamp_micros("micros").alias("sent_at"))
+    rows = resolved_sends(messages, reply_queue, late, keep_days)
     sink = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/resolved")
     return sink.option("checkpointLocation", f"{folder}/lookup-progress").trigger(**trigger).start()
 
@@ -137,7 +82,7 @@ def start_lookup(messages: DataFrame, reply_queue: DataFrame, folder: str, late:
 # --- threads ------------------------------------------------------------------
 
 
-def thread_events(messages: DataFrame, reply_queue: DataFrame, resolved: DataFrame, late: str, salts: int) -> DataFrame:
+def thread_events(messages: DataFrame, reply_queue: DataFrame, resolved: DataFrame, salts: int) -> DataFrame:
     """Messages with an author, sent direct replies and resolved sends, by thread, day and salt."""
     inbound = F.col("direction") == INBOUND
     spoken = messages.filter(~is_blank(F.col("author_id")) & F.col("created_at").isNotNull()).select(
@@ -151,127 +96,105 @@ def thread_events(messages: DataFrame, reply_queue: DataFrame, resolved: DataFra
     events = spoken
     for sends in (direct, others):
         events = events.unionByName(sends, allowMissingColumns=True)
-    events = events.withWatermark("at", late)  # one over all, which goes on when one of them is silent
     micros = F.unix_micros("at")
-    # a column without nulls stays whole numbers in Python
     events = events.withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
     return events.select("*", micros.alias("micros"), F.floor(micros / DAY).alias("day"), F.pmod(F.xxhash64("id", micros), F.lit(salts)).cast("int").alias("salt"))
 
 
-class Follow(StatefulProcessor):
-    """What one part of a thread (its messages of a day that share a salt) holds. A changed part is handed on whole; it is as large as a day's share."""
-
-    def __init__(self, days: int):
-        self.days = days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.said = handle.getValueState("said", "out bigint, sent bigint")
-        self.last = handle.getValueState("last", "at bigint, id bigint, text string, message_id string")
-        self.names = handle.getMapState("names", "name string", "at bigint")
-        self.open = handle.getListState("open", "at bigint, id bigint, media boolean, category string")
-        self.ends = handle.getValueState("ends", "ms bigint")
-
-    def _version(self, key, open_: list, kind: str = "part", at: int | None = None, hours: int | None = None) -> pd.DataFrame:
-        out, sent = _get(self.said) or (None, None)
-        last = _get(self.last)
-        row = dict(zip(PART, key)) | {
-            "kind": kind, "out": out, "sent": sent, "names": [{"at": v[0], "name": k[0]} for k, v in self.names.iterator()],
-            "last": dict(zip(("at", "id", "text", "message_id"), last)) if last else None,
-            "open": [dict(zip(("at", "id", "media", "category"), x)) for x in open_], "at": at, "hours": hours,
-        }
-        return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in row.items()})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        frame = pd.concat(list(rows), ignore_index=True)
-        newest = frame.groupby("kind")["micros"].max().to_dict()
-        out, sent = _get(self.said) or (None, None)
-        out, sent = (max((int(t) for t in (newest.get(k), x) if t is not None), default=None) for k, x in (("out", out), ("send", sent)))
-        self.said.update((out, sent))
-        for name, at in frame[frame["name"].notna()].groupby("name")["micros"].max().items():
-            known = self.names.getValue((name,)) if self.names.containsKey((name,)) else (0,)
-            if at > known[0]:
-                self.names.updateValue((name,), (int(at),))
-        inbound = frame[frame["kind"] == "in"].sort_values(["micros", "id"])
-        open_ = [tuple(x) for x in self.open.get()]
-        open_ += [(int(a), int(i), bool(m), _plain(c)) for a, i, m, c in zip(inbound["micros"], inbound["id"], inbound["media"], inbound["category"])]
-        answered = max(out or 0, sent or 0)
-        open_ = [x for x in open_ if x[0] > answered]
-        self.open.put(open_) if open_ else self.open.clear()
-        if len(inbound):
-            x = inbound.iloc[-1]
-            last = int(x["micros"]), int(x["id"]), _plain(x["text"]), _plain(x["message_id"])
-            if last[:2] > (_get(self.last) or (0, 0))[:2]:
-                self.last.update(last)
-                for hours in HOURS:  # a window's end that has passed already is told at once
-                    end = self._end(last[0], hours)
-                    if end > watermark:
-                        self.handle.registerTimer(end)
-                    else:
-                        yield self._version(key, [], "clock", last[0], hours)
-        if not self.ends.exists():
-            ms = (int(key[3]) + 1 + self.days) * DAY // 1000 + 1
-            self.ends.update((max(ms, watermark + 1),))
-            self.handle.registerTimer(max(ms, watermark + 1))
-        yield self._version(key, open_)
-
-    @staticmethod
-    def _end(at: int, hours: int) -> int:
-        return (at + hours * HOUR) // 1000 + 1
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, last = expiredTimerInfo.getExpiryTimeInMs(), _get(self.last)
-        for hours in HOURS:
-            if last and self._end(last[0], hours) == now:
-                yield self._version(key, [], "clock", last[0], hours)
-        if _get(self.ends) == (now,):
-            # nothing of this day is in the window any more; the newest send counts for good and stays in the table
-            for state in (self.open, self.names, self.last):
-                state.clear()
-            yield self._version(key, [])
-            self.said.clear()
-            self.ends.clear()
-
-    def close(self) -> None:
-        pass
+def _said(events: DataFrame, batch: int) -> DataFrame:
+    """The parts that the events of a batch make, without texts."""
+    kind, at = F.col("kind"), F.col("micros")
+    inbound = kind == "in"
+    return events.groupBy(*PART).agg(
+        F.max(F.when(kind == "out", at)).alias("out"),
+        F.max(F.when(kind == "send", at)).alias("sent"),
+        F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", at.alias("at")))).alias("names"),
+        F.max(F.when(inbound, F.struct(at.alias("at"), "id", "message_id"))).alias("last"),
+        F.collect_list(F.when(inbound, F.struct(at.alias("at"), "id", "media", "category", F.lit(batch).cast("long").alias("batch")))).alias("open"),
+    )
+
+
+def _newest_names(names: Column) -> Column:
+    """Each name once, with the last time it was seen."""
+    last = lambda ordered: lambda x, i: F.coalesce(F.get(ordered, i + 1)["name"] != x["name"], F.lit(True))
+    return bound(F.array_sort(names), lambda ordered: F.filter(ordered, last(ordered)))
+
+
+def _merged(old: DataFrame, new: DataFrame, batch: int) -> DataFrame:
+    """Old and new parts as one each. What an interrupted run of the same batch left in the old ones is not counted twice."""
+    before = old.select(*new.columns).withColumn("open", F.filter("open", lambda x: x["batch"] != batch))
+    both = before.unionByName(new).groupBy(*PART).agg(
+        F.max("out").alias("out"),
+        F.max("sent").alias("sent"),
+        F.flatten(F.collect_list("names")).alias("names"),
+        F.max("last").alias("last"),
+        F.flatten(F.collect_list("open")).alias("open"),
+    )
+    answered = F.coalesce(F.greatest("out", "sent"), F.lit(0).cast("long"))
+    both = both.withColumn("answered", answered)
+    return both.withColumn("names", _newest_names(F.col("names"))).withColumn("open", F.filter("open", lambda x: x["at"] > F.col("answered"))).drop("answered")
 
 
 def start_threads(messages: DataFrame, reply_queue: DataFrame, folder: str, days: int = DAYS, late: str = "30 days", salts: int = SALTS, **trigger) -> StreamingQuery:
     """Keep ``folder/threads``, a table of the parts of all threads of which each batch rewrites only the buckets it touches, and ``folder/clocks``.
 
-    ``folder/resolved`` is what ``start_lookup`` appends. A part is dropped ``days`` after its day ended by the watermark, by a timer; newest sends stay. Timers
-    also tell when the reply windows of 24 and 168 hours close (``closed_windows``). A repeated batch writes the same rows again.
+    ``folder/resolved`` is what ``start_lookup`` appends. The clock of the stream is the newest event less ``late``. A part is emptied ``days`` after its day ended by
+    that clock, and later events of its day count no more; newest sends stay. The clock also tells when the reply windows of 24 and 168 hours close
+    (``closed_windows``). ``folder/events`` keeps what each batch read, with the texts. A repeated batch writes the same rows again.
     """
     spark = messages.sparkSession
-    _stateful(spark)
     resolved = spark.readStream.schema(RESOLVED).parquet(f"{folder}/resolved")
-    events = thread_events(messages, reply_queue, resolved, late, salts)
-    versions = events.groupBy(*PART).transformWithStateInPandas(Follow(days), f"{PARTS}, kind string, at bigint, hours int", "Update", "EventTime")
+    events = thread_events(messages, reply_queue, resolved, salts)
     path, schema = f"{folder}/threads", f"{PARTS}, days int"
     names = spark.createDataFrame([], schema).columns
 
+    columns = spark.createDataFrame([], EVENTS).columns
+
+    def clock(newest: DataFrame) -> int | None:
+        return newest.select(F.unix_micros(F.timestamp_micros(F.max("newest")) - F.expr(f"interval {late}"))).first()[0]
+
     def run(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
-        new = spark.read.schema(rows.schema).parquet(f"{folder}/changes/batch={batch}")
-        clocks = new.where("kind = 'clock'").select(*THREAD, F.timestamp_micros("at").alias("last_in"), "hours")
-        clocks.write.mode("overwrite").parquet(f"{folder}/clocks/batch={batch}")
-        changed = new.where("kind = 'part'").withColumn("days", F.lit(days)).select(*names)
-        # a part may change and end in one batch: the ended one is what is left
-        changed = changed.groupBy(*PART).agg(F.min_by(F.struct(*[c for c in names if c not in PART]), F.size("open") + F.size("names")).alias("x")).select(*PART, "x.*").select(*names)
-        same = F.lit(True)
-        for c in PART:
-            same = same & F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
-        kept = F.col("sent").isNotNull() | F.col("last").isNotNull() | (F.size("names") > 0) | F.col("out").isNotNull()
-        apply = lambda old: old.alias("old").join(changed.alias("new"), same, "left_anti").unionByName(changed.where(kept))
-        snapshots.update(spark, path, schema, PART, changed, apply, f"{folder}/steps")
+        rows.select(*columns).write.mode("overwrite").parquet(f"{folder}/events/batch={batch}")
+        read = spark.read.schema(EVENTS).parquet(f"{folder}/events/batch={batch}")
+        seen = [spark.read.schema("newest bigint").parquet(f"{folder}/newest/batch={k}") for k in (batch - 1,) if k >= 0]
+        before = clock(seen[0]) if seen else None
+        newest = read.agg(F.max("micros").alias("newest"))
+        for earlier in seen:
+            newest = newest.unionByName(earlier).agg(F.max("newest").alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{folder}/newest/batch={batch}")
+        now = clock(spark.read.schema("newest bigint").parquet(f"{folder}/newest/batch={batch}"))
+        if now is None:
+            return  # no event yet
+        over = (F.col("day") + 1 + days) * F.lit(DAY) <= F.lit(now)
+        new = settled(_said(read, batch), f"{folder}/steps", "said")
+        old = snapshots.read(spark, path, schema)
+        # windows that the clock has passed since the last batch, and those of newest messages that were late
+        ends = F.col("last.at") + F.col("hours") * F.lit(HOUR)
+        passed = F.lit(before).cast("long")
+        held = old.select(*THREAD, "last", F.lit(False).alias("is_new")).unionByName(new.select(*THREAD, "last", F.lit(True).alias("is_new")))
+        held = held.where("last is not null").withColumn("hours", F.explode(F.array(*map(F.lit, HOURS))))
+        closed = held.where((ends <= F.lit(now)) & (F.col("is_new") | passed.isNull() | (ends > passed)))
+        # a repeated batch finds parts emptied that it told about before, so it adds to what is there
+        closed.select(*THREAD, F.timestamp_micros("last.at").alias("last_in"), "hours").distinct().write.mode("append").parquet(f"{folder}/clocks/batch={batch}")
+
+        def apply(held: DataFrame) -> DataFrame:
+            parts = _merged(held, new, batch).withColumn("over", over)
+            for c in ("names", "open"):
+                parts = parts.withColumn(c, F.when(F.col("over"), F.slice(c, 1, 0)).otherwise(F.col(c)))
+            parts = parts.withColumn("last", F.when(~F.col("over"), F.col("last"))).withColumn("days", F.lit(days)).select(*names)
+            return parts.where(F.col("sent").isNotNull() | F.col("last").isNotNull() | (F.size("names") > 0) | F.col("out").isNotNull())
+
+        ended = old.where(over & ((F.size("open") > 0) | (F.size("names") > 0) | F.col("last").isNotNull()))
+        snapshots.update(spark, path, schema, PART, new.select(*PART).unionByName(ended.select(*PART)), apply, f"{folder}/steps")
 
     try:
         snapshots.create(spark.createDataFrame([], schema), path, PART)
     except Exception as e:
         if "PATH_ALREADY_EXISTS" not in str(e):
             raise
-    sink = versions.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{folder}/threads-progress")
+    for name, kind in (("events", EVENTS), ("clocks", CLOCKS)):  # readers find an empty table before the first batch
+        spark.createDataFrame([], kind).write.mode("ignore").parquet(f"{folder}/{name}/batch=-1")
+    sink = events.writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", f"{folder}/threads-progress")
     return sink.trigger(**trigger).start()
 
 
@@ -307,6 +230,13 @@ def current_threads(spark: SparkSession, folder: str, as_of, days: int = DAYS) -
         F.max_by("last", F.struct("last.at", "last.id")).alias("last"),
         F.array_distinct(F.flatten(F.collect_set(categories))).alias("categories"),  # as many as there are different ones
     )
+    # the texts of the newest messages only are fetched; where nobody asks for them, no text is read
+    said = spark.read.schema(f"{EVENTS}, batch bigint").parquet(f"{folder}/events").where((F.col("kind") == "in") & (F.col("micros") >= start))
+    texts = said.select(*THREAD, F.col("micros").alias("at"), "id", "message_id", "text").alias("x")
+    wanted = merged.select(*THREAD, "last").alias("m")
+    named = (F.col("x.id") == F.col("m.last.id")) & (F.col("x.at") == F.col("m.last.at")) & F.col("x.message_id").eqNullSafe(F.col("m.last.message_id"))
+    found = wanted.join(texts, named & _same_thread("x", "m")).groupBy(*[F.col(f"m.{c}").alias(c) for c in THREAD]).agg(F.max("x.text").alias("last_text"))
+    merged = merged.alias("t").join(found.alias("f"), _same_thread("t", "f"), "left").select("t.*", "f.last_text")
     none = F.lit(0).cast("long")
     return merged.select(
         *THREAD,
@@ -317,7 +247,7 @@ def current_threads(spark: SparkSession, folder: str, as_of, days: int = DAYS) -
         F.when(matched, F.col("n")).otherwise(none).alias("n_unanswered"),
         F.when(matched, F.col("media")).otherwise(none).alias("n_media"),
         F.when(matched, blank_to_null(F.array_join(F.array_sort("categories"), ", "))).alias("categories"),
-        F.when(matched, F.col("last.text")).alias("last_text"),
+        F.when(matched, F.col("last_text")).alias("last_text"),
         F.when(matched, F.col("last.message_id")).alias("last_message_id"),
     )
 
@@ -338,65 +268,46 @@ ACCEPTED = "seq bigint, brand string, channel string, ref string, text string, b
 CHECKED = f"{ACCEPTED}, error string"
 
 
-class Comments(StatefulProcessor):
-    """Whether one comment exists, and the replies to it that came before it did."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "yes boolean")
-        self.early = handle.getListState("early", ACCEPTED)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True)
-        comment = frame["is_comment"].astype(bool)
-        replies = frame.loc[~comment, ["seq", "brand", "channel", "ref", "text", "by_whom"]]
-        if comment.any() and not self.known.exists():
-            self.known.update((True,))
-            again = [tuple(x) for x in self.early.get()]
-            self.early.clear()
-            if again:
-                yield pd.DataFrame(again, columns=replies.columns).assign(known=True)
-        known = self.known.exists()
-        if len(replies):
-            if not known and key[0] is not None and (replies["channel"] != "dm").any():
-                self.early.appendList([(int(x[0]), *map(_plain, x[1:])) for x in replies.itertuples(index=False)])
-            yield replies.assign(known=known)
-
-    def close(self) -> None:
-        pass
-
-
 def start_outbox(replies: DataFrame, messages: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Check reply actions against the comments seen so far and keep ``folder/checked``, one row for each ``seq``.
 
-    Both arguments are streams; comments are state, by their id. A reply that comes before its comment is rejected, and checked again when
-    the comment arrives. Direct replies need no comment and are spread by ``seq``. Each batch rewrites the buckets of its ``seq`` only.
+    Both arguments are streams; a stream join of ids keeps comments and the replies to them. A reply that comes before its comment is rejected, and checked
+    again when the comment arrives. Each batch rewrites the buckets of its ``seq`` only.
     """
     spark = replies.sparkSession
     _stateful(spark)
-    comments = messages.filter((F.col("channel") == "comentario") & F.col("message_id").isNotNull())
-    comments = comments.select(F.col("message_id").alias("key"), F.lit(0).cast("long").alias("seq"), F.lit(True).alias("is_comment"))  # a column without nulls stays whole numbers
-    asked = replies.select(F.when(F.col("channel") == "dm", F.concat(F.lit("seq "), F.col("seq"))).otherwise(F.col("ref")).alias("key"), "*", F.lit(False).alias("is_comment"))
-    checked = (
-        asked.unionByName(comments, allowMissingColumns=True)
-        .groupBy("key")
-        .transformWithStateInPandas(Comments(), f"{ACCEPTED}, known boolean", "Update", "None")
-    )
+    comments = messages.filter((F.col("channel") == "comentario") & F.col("message_id").isNotNull()).select("message_id").dropDuplicates(["message_id"])
+    # the join has ids only; it tells once that a reply's comment is there, in the batch of the later of the two
+    waiting = replies.filter((F.col("channel") != "dm") & F.col("ref").isNotNull()).select("seq", F.col("ref").alias("key"))
+    found = waiting.join(comments, F.col("key") == F.col("message_id")).select("seq", F.lit(True).alias("known"))
+    asked = replies.select(*spark.createDataFrame([], ACCEPTED).columns, F.lit(False).alias("known"))
+    told = asked.unionByName(found, allowMissingColumns=True)
     path = f"{folder}/checked"
 
     def run(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
-        new = spark.read.schema(rows.schema).parquet(f"{folder}/changes/batch={batch}")
-        # a reply may have been seen before and after its comment in one batch
-        new = new.groupBy("seq").agg(F.max_by(F.struct(*[c for c in new.columns if c != "seq"]), "known").alias("x")).select("seq", "x.*")
-        changed = actions.with_error(new, F.col("known")).select("seq", "brand", "channel", "ref", "text", "by_whom", "error")
-        snapshots.update(spark, path, CHECKED, ["seq"], new, lambda old: old.join(new, "seq", "left_anti").unionByName(changed), f"{folder}/steps")
-
+        told = spark.read.schema(rows.schema).parquet(f"{folder}/changes/batch={batch}")
+        found = told.where("known").select("seq").distinct()
+        new = told.where("not known").drop("known")
+        new = new.groupBy("seq").agg(F.max_by(F.struct(*[c for c in new.columns if c != "seq"]), F.xxhash64("text")).alias("x")).select("seq", "x.*")
+        checked = lambda rows: actions.with_error(rows, F.col("known")).select(*names)
+
+        def apply(old: DataFrame) -> DataFrame:
+            # replies of this batch, and earlier ones whose comment has come now
+            held = old.select(*new.columns).join(new.select("seq"), "seq", "left_anti").join(found, "seq", "left_semi").withColumn("known", F.lit(True))
+            fresh = new.join(found.withColumn("known", F.lit(True)), "seq", "left")
+            rest = old.join(told.select("seq").distinct(), "seq", "left_anti")
+            return rest.unionByName(checked(fresh.unionByName(held)))
+
+        snapshots.update(spark, path, CHECKED, ["seq"], told.select("seq"), apply, f"{folder}/steps")
+
+    names = spark.createDataFrame([], CHECKED).columns
     try:
         snapshots.create(spark.createDataFrame([], CHECKED), path, ["seq"])
     except Exception as e:
         if "PATH_ALREADY_EXISTS" not in str(e):
             raise
-    return checked.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{folder}/outbox-progress").trigger(**trigger).start()
+    return told.writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", f"{folder}/outbox-progress").trigger(**trigger).start()
 
 
 def outbox_actions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -158,3 +158,29 @@ def test_hot_thread_spreads_and_windows_close(spark, table, rows):
     # what is over is dropped from the table of parts
     left = live.snapshots.read(spark, f"{folder}/threads", f"{live.PARTS}, days int")
     assert rows(left.where("size(open) > 0"), "author_id") == [("z",)]
+
+
+def test_nothing_runs_once_a_key(spark, table):
+    """Ids are joined by Spark's stream join, events are aggregated as batches: no plan calls Python."""
+    folder = workspace(spark)
+    table("messages", *_messages(40, 7)).coalesce(1).write.parquet(f"{folder}/in/messages")
+    table("reply_queue", dict(id=1, brand="brand_es", channel="comentario_publico", ref="m3", sent_at=NOW)).coalesce(1).write.parquet(f"{folder}/in/queue")
+    spark.createDataFrame([(1, "brand_es", "comentario_publico", "1" * 17, "hi", "op")], live.ACCEPTED).coalesce(1).write.parquet(f"{folder}/in/replies")
+    stream = lambda name, schema: spark.readStream.schema(schema).parquet(f"{folder}/in/{name}")
+    both = lambda: (stream("messages", SCHEMAS["messages"]), stream("queue", SCHEMAS["reply_queue"]))
+    plans = []
+    for start in (live.start_lookup, live.start_threads, lambda *a, **k: live.start_outbox(stream("replies", live.ACCEPTED), *a[:1], *a[2:], **k)):
+        query = start(*both(), folder, availableNow=True)
+        query.awaitTermination()
+        plans.append(query._jsq.explainInternal(False))
+    assert not [p for p in plans for word in ("Python", "Pandas", "PySpark") if word in p]
+    assert ["StreamingSymmetricHashJoin" in p for p in plans] == [True, False, True]
+
+
+def test_a_repeated_batch_counts_once(spark, rows):
+    """Two messages without id at one instant are two, also when their batch is run again over parts that have them already."""
+    said = [("a", "brand_es", "dm", NOW, 0, name, "x", "in", False, "A", None, 10**15, 11574, 0) for name in ("Ann", "Ann", "Bob")]
+    new = live._said(spark.createDataFrame(said, live.EVENTS), 3)
+    once = live._merged(new.limit(0), new, 3)
+    assert rows(once) == rows(live._merged(once, new, 3)) == rows(live._merged(live._merged(once, new, 3), new, 3))
+    assert rows(once.selectExpr("size(open)", "names.name")) == [(3, ["Ann", "Bob"])]
