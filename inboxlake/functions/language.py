@@ -25,6 +25,8 @@ WORDS = {
     "bezahlt aber wie wann guten",
 }
 
+_EVERY = sorted({word for words in WORDS.values() for word in words.split()})
+
 # fixed values: votes that are not one whole word
 SEQUENCES = {"es": (" ¿", " ¡"), "pt": (" bom dia ", " boa tarde ", " boa noite ")}
 
@@ -49,7 +51,7 @@ def votes(normalized: Column) -> Column:
 
     A repeated word shares its separating space with its neighbour, so a run of
     n equal words has ceil(n/2) votes: every pair is folded into one word, then
-    the text is split once and its tokens looked up in the word sets.
+    the text is split once and its tokens that are in any word set are looked up in each.
     """
     tokens = F.split(F.regexp_replace(normalized, r" (\S++) \1(?= )", " $1"), " ")
 
@@ -63,7 +65,7 @@ def votes(normalized: Column) -> Column:
             fields.append(count.alias(lang))
         return F.struct(*fields)
 
-    return bound(tokens, counted)
+    return bound(F.filter(tokens, _one_of(_EVERY)), counted)
 
 
 def brand_language(brand: Column, brand_langs: dict[str, str] = BRAND_LANGS) -> Column:
