@@ -32,7 +32,7 @@ OPEN = 4096
 MARKS = ".,;:!?|#*$%&"
 
 #: Words whose ids a Python worker remembers, and the longest that it does; words that are encoded in one call.
-MEMORY, LONGEST, TOGETHER = 400_000, 64, 10_000
+MEMORY, LONGEST, TOGETHER = 200_000, 64, 10_000
 
 
 #: Letters of byte-level vocabularies: these code points stand for themselves, the other bytes for 256, 257, ... in order (fixed values).
@@ -273,13 +273,14 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-        for block in blocks(batches, limit=1 << 21):
+        for block in blocks(batches):
             id_type = block.schema.field("id").type
             pieces = []
             for document, ids in zip(block.column("id").to_pylist(), known.of(block.column("text"), end)):
                 pieces += packer.place((document, len(ids) // 4), ids)
             if pieces:
                 yield batch_of(pieces)
+            pa.default_memory_pool().release_unused()  # Arrow keeps what the parts of a block took
         pieces = list(packer.close())
         for lo in range(0, len(pieces), 4096):
             yield batch_of(pieces[lo : lo + 4096])

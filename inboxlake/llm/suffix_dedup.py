@@ -225,24 +225,30 @@ def repeats(texts: DataFrame, folder: str, size: int = SIZE) -> DataFrame:
     return counted.where("copies > 1").select("key", "start", "n").distinct().unionByName(inside)
 
 
+def _left(block: pa.RecordBatch, size: int) -> Iterator[tuple[bytes | None, list[dict], bytes]]:
+    """Of each text of a block: its bytes, the spans that go and the bytes that stay."""
+    for text, first, many in zip(block.column("text").cast(pa.binary()).to_pylist(), block.column("starts").to_pylist(), block.column("ns").to_pylist()):
+        whole = text or b""
+        mine: list[dict] = []
+        for a, n in sorted(zip(first or (), many or ())):
+            b = a + n + size - 1
+            if mine and a <= mine[-1]["end"]:
+                mine[-1]["end"] = max(mine[-1]["end"], b)
+            else:
+                mine.append({"start": a, "end": b})
+        edges = [0, *(x for s in mine for x in (s["start"], s["end"])), len(whole)]
+        yield text, mine, b"".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for block in blocks(batches):
             sizes, spans, kept = [], [], []
-            for text, first, many in zip(block.column("text").cast(pa.binary()).to_pylist(), block.column("starts").to_pylist(), block.column("ns").to_pylist()):
-                text = text or b""
-                mine: list[dict] = []
-                for a, n in sorted(zip(first or (), many or ())):
-                    b = a + n + size - 1
-                    if mine and a <= mine[-1]["end"]:
-                        mine[-1]["end"] = max(mine[-1]["end"], b)
-                    else:
-                        mine.append({"start": a, "end": b})
-                edges = [0, *(x for s in mine for x in (s["start"], s["end"])), len(text)]
-                sizes.append(len(text))
+            for text, mine, left in _left(block, size):
+                sizes.append(len(text or b""))
                 spans.append(mine)
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                kept.append(left)
             yield pa.RecordBatch.from_arrays(
                 [block.column("rest"), block.column("text"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
                 names=["rest", "text", "n_bytes", "spans", "kept"],
@@ -251,37 +257,48 @@ def _cut(size: int):
     return run
 
 
-def cut_repeats(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """One row per document: ``rest`` (its other columns), text, n_bytes, spans (start, end in bytes, maximal) and kept (binary).
+def _readable(size: int):
+    """What stays as text, without bytes that are no UTF-8; texts without spans as they came."""
 
-    Every byte goes that is covered by a string of ``size`` bytes that starts anywhere else in the corpus too, in the same text
-    included; all copies go, none stays. A null text counts as empty; texts of fewer bytes stay whole; repeated rows
-    are copies of each other; null ids are ids.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            kept = [left.decode("utf-8", "ignore").encode() if mine else text for text, mine, left in _left(block, size)]
+            # a view, as a text that came with bytes that are no UTF-8 stays so
+            yield pa.RecordBatch.from_arrays([block.column("rest"), pa.array(kept, pa.binary()).view(pa.string())], names=["rest", "text"])
+
+    return run
+
+
+def _with_repeats(docs: DataFrame, folder: str, key: str, text: str, size: int) -> DataFrame:
+    """One row per document: ``rest``, text, starts and ns of its runs of windows that repeat (null: none)."""
     texts = docs.select(row_key(key, text).alias("key"), F.col(quoted(text)).alias("text"))
     found = repeats(texts, folder, size)
     spans = settled(found.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")), folder, "spans")
     rows = packed(docs, text)
     keyed = rows.withColumn("key", F.xxhash64(F.col("rest")[key], F.col("text")))
-    out = extended(rows.select("rest", "text"), "n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     short = F.coalesce(F.octet_length("text") < size, F.lit(True))
     none = F.lit(None).cast("array<bigint>")
     joined = keyed.where(~short).join(spans, "key", "left").select("rest", "text", "starts", "ns")
-    return joined.union(rows.where(short).select("rest", "text", none, none)).mapInArrow(_cut(size), out)
+    return joined.union(rows.where(short).select("rest", "text", none, none))
 
 
-def without_repeats(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """The documents with their repeated strings cut out; bytes of a character that was cut in two go too."""
-    rows = cut_repeats(docs, folder, key, text, size)
-    whole = F.when(F.size("spans") == 0, F.col("text")).otherwise(_readable("kept"))
-    return unpacked(rows.select("rest", whole.alias("text")), docs.columns, text)
+def cut_repeats(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """One row per document: ``rest`` (its other columns), text, n_bytes, spans (start, end in bytes, maximal) and kept (binary).
 
+    Every byte goes that is covered by a string of ``size`` bytes that starts anywhere else in the corpus too, in the same text
+    included; all copies go, none stays. A null text counts as empty; texts of fewer bytes stay whole; repeated rows
+    are copies of each other; null ids are ids.
+    """
+    rows = _with_repeats(docs, folder, key, text, size)
+    out = extended(rows.select("rest", "text"), "n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return rows.mapInArrow(_cut(size), out)
 
-def _readable(column: str):
-    """Bytes as text, without those that are no UTF-8."""
 
-    @F.arrow_udf("string")
-    def read(x: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in x.to_pylist()], pa.string())
+def without_repeats(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """The documents with their repeated strings cut out; bytes of a character that was cut in two go too.
 
-    return read(column)
+    One Python operator cuts and decodes: a second one after it would start a second worker for every task, and idle workers
+    take turns in later stages, each with a memory of its own.
+    """
+    rows = _with_repeats(docs, folder, key, text, size)
+    return unpacked(rows.mapInArrow(_readable(size), rows.select("rest", "text").schema), docs.columns, text)

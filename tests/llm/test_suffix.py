@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -111,3 +112,14 @@ def test_many_repeated_rows_hand_on_their_runs_once(spark, folder):
     assert found.count() == found.distinct().count() < 400
     got = {(r.rest.doc_id, bytes(r.kept)) for r in suffix_dedup.cut_repeats(rows, folder).collect()}
     assert got == {(1, b""), (None, b""), (3, ("alone " * 5).encode())}
+
+
+def test_texts_are_cut_and_decoded_by_one_python_operator(spark, folder):
+    """A second one in the same tasks would double the Python workers, which then share out the tasks of later stages."""
+    passage = "é" * 150
+    texts = ["a" + passage + "b", passage[:120] + "c" + passage[:90] + "x", "short", "", None, "one of its kind " * 3, "日" + "é" * 100 + "本"]
+    left = suffix_dedup.without_repeats(docs_of(spark, texts), folder)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow|EvalPython", plan)) == 1
+    want = [None if t is None else k[3].decode("utf-8", "ignore") for t, k in zip(texts, plain([(t or "").encode() for t in texts], 200))]
+    assert [r.text for r in left.orderBy("doc_id").collect()] == want
