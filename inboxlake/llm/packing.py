@@ -195,7 +195,8 @@ class Packer:
     def place(self, document, ids: bytes) -> Iterator[tuple]:
         total, at = len(ids) // 4, 0
         while total - at >= self.window:
-            yield document, at, ids[4 * at : 4 * (at + self.window)], self._next(), 0
+            # bytes, as Arrow never lets go of a memoryview that it made a binary value of
+            yield document, at, bytes(ids[4 * at : 4 * (at + self.window)]), self._next(), 0
             at += self.window
         size = total - at
         if not size:
@@ -273,7 +274,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-        for block in blocks(batches):
+        for block in blocks(batches, limit=1 << 21):
             id_type = block.schema.field("id").type
             pieces = []
             for document, ids in zip(block.column("id").to_pylist(), known.of(block.column("text"), end)):

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,3 +98,13 @@ def test_awkward_rows(awkward, nothing, model):
     whole([r for r in rows])
     want = sum(len(model.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in awkward.collect())
     assert sum(r.length for r in rows) == want and pack(nothing, PATH).count() == 0
+
+
+def test_arrow_lets_go_of_the_ids_of_a_block():
+    block = bytearray(4 * 100)
+    packer = Packer(window=12)
+    pieces = [*packer.place("a", memoryview(block)), *packer.close()]
+    assert sum(len(ids) for _, _, ids, _, _ in pieces) == 400
+    pa.array([ids for _, _, ids, _, _ in pieces], pa.binary())
+    del pieces
+    block.append(0)  # fails as long as anything holds a view of it
