@@ -6,7 +6,7 @@ from inboxlake.operators.threads import THREAD
 from inboxlake.plans.actions import CHECKED, FIRST_ID
 from inboxlake.plans.registry import ORACLES, query
 from inboxlake.plans.threads import KEYS, WAITING
-from inboxlake.sources.derived import AS_OF
+from inboxlake.sources.derived import AS_OF, Streams
 from inboxlake.sources.tables import SCHEMAS, workspace
 from inboxlake.streaming import live
 
@@ -42,10 +42,8 @@ def _(t):
 
 def _outbox(t) -> str:
     folder = workspace(t.spark)
-    as_files(t.actions_reply, f"{folder}/in/replies", "seq")
-    as_files(t.messages.select("id", "channel", "message_id"), f"{folder}/in/messages", "id")  # a reply needs to know that its comment exists
-    streams = as_stream(t.spark, f"{folder}/in/replies", live.ACCEPTED), as_stream(t.spark, f"{folder}/in/messages", SCHEMAS["messages"])
-    live.start_outbox(*streams, folder, availableNow=True).awaitTermination()
+    said = Streams(t.spark, t.folder, f"{folder}/in", {"events": "event_id", "conversations": "conv_id"}, FILES * TASKS, TASKS)
+    live.start_outbox(said.actions_reply, said.messages, folder, availableNow=True).awaitTermination()
     return folder
 
 

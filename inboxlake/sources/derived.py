@@ -310,3 +310,17 @@ class Inbox:
             if table in sql:
                 getattr(self, table).createOrReplaceTempView(table)
         return self.spark.sql(sql)
+
+
+class Streams(Inbox):
+    """The same tables as streams: those of ``orders``, a table and the column that its rows come by, arrive in micro-batches, and texts are joined as a batch is read.
+
+    The ordered tables, which have no texts but those of ``conversations``, are written to ``root`` as ``files`` files in ranges of the column; a batch reads ``trigger`` of each.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, root: str, orders: dict[str, str], files: int, trigger: int):
+        super().__init__(spark, folder)
+        for name, order in orders.items():
+            rows = super()._build(name)
+            rows.repartitionByRange(files, F.expr(order)).write.parquet(f"{root}/{name}")
+            self.built[name] = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", trigger).parquet(f"{root}/{name}")

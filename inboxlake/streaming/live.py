@@ -265,56 +265,70 @@ def closed_windows(spark: SparkSession, folder: str) -> DataFrame:
 # --- outbox -------------------------------------------------------------------
 
 ACCEPTED = "seq bigint, brand string, channel string, ref string, text string, by_whom string"
-CHECKED = f"{ACCEPTED}, error string"
+#: What a batch read, kept in ``folder/changes``: replies with what they break if their comment is there (``error``) and if it is not (``missing``), and the
+#: replies whose comment has come (``known``). ``version`` tells rows of one ``seq`` apart.
+CHANGES = f"{ACCEPTED}, known boolean, version bigint, error string, missing string"
+#: For each ``seq`` the row of ``folder/changes`` that counts, and whether its comment is known.
+CHECKED = "seq bigint, ref string, batch bigint, version bigint, known boolean"
 
 
 def start_outbox(replies: DataFrame, messages: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Check reply actions against the comments seen so far and keep ``folder/checked``, one row for each ``seq``.
 
-    Both arguments are streams; a stream join of ids keeps comments and the replies to them. A reply that comes before its comment is rejected, and checked
-    again when the comment arrives. Each batch rewrites the buckets of its ``seq`` only.
+    Both arguments are streams; a stream join of ids keeps comments and the replies to them. A reply that comes before its comment is rejected, and counts
+    when the comment arrives. Texts are checked as they are read and written once, to ``folder/changes``; each batch rewrites the buckets of its ``seq``
+    only, which hold no texts.
     """
     spark = replies.sparkSession
     _stateful(spark)
     comments = messages.filter((F.col("channel") == "comentario") & F.col("message_id").isNotNull()).select("message_id").dropDuplicates(["message_id"])
     # the join has ids only; it tells once that a reply's comment is there, in the batch of the later of the two
-    waiting = replies.filter((F.col("channel") != "dm") & F.col("ref").isNotNull()).select("seq", F.col("ref").alias("key"))
-    found = waiting.join(comments, F.col("key") == F.col("message_id")).select("seq", F.lit(True).alias("known"))
-    asked = replies.select(*spark.createDataFrame([], ACCEPTED).columns, F.lit(False).alias("known"))
+    waiting = replies.filter((F.col("channel") != "dm") & F.col("ref").isNotNull()).select("seq", "ref")
+    found = waiting.join(comments, F.col("ref") == F.col("message_id")).select("seq", "ref", F.lit(True).alias("known"))
+    names = spark.createDataFrame([], ACCEPTED).columns
+    asked = replies.select(*names, F.lit(False).alias("known"), F.xxhash64(*names).alias("version"))
+    asked = actions.with_error(asked, F.lit(False)).withColumnRenamed("error", "missing")
+    asked = actions.with_error(asked, F.lit(True)).select(*spark.createDataFrame([], CHANGES).columns)
     told = asked.unionByName(found, allowMissingColumns=True)
     path = f"{folder}/checked"
 
     def run(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
-        told = spark.read.schema(rows.schema).parquet(f"{folder}/changes/batch={batch}")
-        found = told.where("known").select("seq").distinct()
-        new = told.where("not known").drop("known")
-        new = new.groupBy("seq").agg(F.max_by(F.struct(*[c for c in new.columns if c != "seq"]), F.xxhash64("text")).alias("x")).select("seq", "x.*")
-        checked = lambda rows: actions.with_error(rows, F.col("known")).select(*names)
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/changes/batch={batch}")
+        told = spark.read.schema(CHANGES).parquet(f"{folder}/changes/batch={batch}")
+        found = told.where("known").select("seq", "ref", F.lit(True).alias("now")).distinct()
+        new = told.where("not known").groupBy("seq").agg(F.max(F.struct("version", "ref")).alias("x"))
+        new = new.select("seq", "x.ref", F.lit(batch).cast("long").alias("batch"), "x.version", F.lit(False).alias("known"))
 
         def apply(old: DataFrame) -> DataFrame:
-            # replies of this batch, and earlier ones whose comment has come now
-            held = old.select(*new.columns).join(new.select("seq"), "seq", "left_anti").join(found, "seq", "left_semi").withColumn("known", F.lit(True))
-            fresh = new.join(found.withColumn("known", F.lit(True)), "seq", "left")
-            rest = old.join(told.select("seq").distinct(), "seq", "left_anti")
-            return rest.unionByName(checked(fresh.unionByName(held)))
+            # replies of this batch, and earlier ones, whose comment may have come now
+            rows = old.join(new.select("seq"), "seq", "left_anti").unionByName(new).join(found, ["seq", "ref"], "left")
+            return rows.withColumn("known", F.col("known") | F.coalesce("now", F.lit(False))).drop("now").select(*old.columns)
 
         snapshots.update(spark, path, CHECKED, ["seq"], told.select("seq"), apply, f"{folder}/steps")
 
-    names = spark.createDataFrame([], CHECKED).columns
     try:
         snapshots.create(spark.createDataFrame([], CHECKED), path, ["seq"])
     except Exception as e:
         if "PATH_ALREADY_EXISTS" not in str(e):
             raise
+    spark.createDataFrame([], CHANGES).write.mode("ignore").parquet(f"{folder}/changes/batch=-1")  # readers find an empty table before the first batch
     return told.writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", f"{folder}/outbox-progress").trigger(**trigger).start()
 
 
 def outbox_actions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) actions so far."""
-    return actions.split_valid(snapshots.read(spark, f"{folder}/checked", CHECKED))
+    """(accepted, rejected) actions so far. Texts come from what the batches read, those of replies that no comment can mend left out of the accepted ones."""
+    checked, names = snapshots.read(spark, f"{folder}/checked", CHECKED), spark.createDataFrame([], ACCEPTED).columns
+    key = ["seq", "batch", "version"]
+
+    def of(read: DataFrame) -> DataFrame:
+        rows = read.drop("ref", "known").join(checked, key).withColumn("error", F.when(F.col("known"), F.col("error")).otherwise(F.col("missing")))
+        return rows.dropDuplicates(key).select(*names, "error")  # equal rows of one batch are one
+
+    said = spark.read.schema(f"{CHANGES}, batch bigint").parquet(f"{folder}/changes").where("not known")
+    return actions.split_valid(of(said.where("error is null")))[0], actions.split_valid(of(said))[1]
 
 
 def current_outbox(spark: SparkSession, folder: str, reply_queue: DataFrame, as_of, first_id: int) -> DataFrame:
     """The reply queue with every accepted action so far: one row per (channel, ref), whatever batch it came in."""
-    return actions.upsert_replies(reply_queue, outbox_actions(spark, folder)[0], as_of, first_id)
+    accepted = settled(outbox_actions(spark, folder)[0], f"{folder}/steps", "accepted")  # needed more than once
+    return actions.upsert_replies(reply_queue, accepted, as_of, first_id)

@@ -2,17 +2,21 @@
 
 import datetime
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from moments import at
 
 from inboxlake.operators import actions, threads
 from inboxlake.operators.threads import THREAD
+from inboxlake.sources.derived import Inbox, Streams
 from inboxlake.sources.tables import SCHEMAS, workspace
 from inboxlake.streaming import live
 
 AS_OF = "2024-01-31 00:00:00"
 NOW = at("2024-01-31")
+FOLDER = "/root/testdata/sf0.001"
 
 
 def _messages(n, seed):
@@ -184,3 +188,47 @@ def test_a_repeated_batch_counts_once(spark, rows):
     once = live._merged(new.limit(0), new, 3)
     assert rows(once) == rows(live._merged(once, new, 3)) == rows(live._merged(live._merged(once, new, 3), new, 3))
     assert rows(once.selectExpr("size(open)", "names.name")) == [(3, ["Ann", "Bob"])]
+
+
+def with_column(root, column):
+    """Folders below ``root`` whose parquet files have the column."""
+    files = [p for p in Path(root.removeprefix("file://")).rglob("*.parquet") if column in pq.read_schema(p).names]
+    return {p.relative_to(root.removeprefix("file://")).parts[0] for p in files}
+
+
+def test_texts_of_replies_are_written_once(spark, table, rows):
+    folder = workspace(spark)
+    data = [(i, "brand_es", "comentario_privado", str(10**16 + i % 9), f"text {i}" if i % 5 else "x" * 1001, "op") for i in range(40)]
+    source = workspace(spark)
+    spark.createDataFrame(data, live.ACCEPTED).repartition(4).write.parquet(f"{source}/in")
+    table("messages", *[dict(id=i, channel="comentario", message_id=str(10**16 + i)) for i in range(6)]).repartition(3).write.parquet(f"{source}/messages")
+    stream = spark.readStream.schema(live.ACCEPTED).option("maxFilesPerTrigger", 1).parquet(f"{source}/in")
+    said = spark.readStream.schema(SCHEMAS["messages"]).option("maxFilesPerTrigger", 1).parquet(f"{source}/messages")
+    live.start_outbox(stream, said, folder, availableNow=True).awaitTermination()
+    assert with_column(folder, "text") == {"changes"}
+    assert rows(spark.read.parquet(f"{folder}/changes").where("text is not null"), "seq") == sorted([(i,) for i in range(40)], key=repr)
+    accepted, rejected = live.outbox_actions(spark, folder)
+    assert rows(accepted, "seq", "text") == sorted([(i, f"text {i}") for i in range(40) if i % 5 and i % 9 < 6], key=repr)
+    assert {r["text"] for r in rejected.where("seq % 5 = 0").collect()} == {"x" * 1001}
+
+
+def test_a_replaced_reply_waits_for_its_own_comment(spark, table, rows):
+    folder = workspace(spark)
+    for k, (ref, said) in enumerate([("1" * 17, "9" * 17), ("2" * 17, "8" * 17), ("3" * 17, "1" * 17)]):
+        spark.createDataFrame([(1 if k < 2 else 7, "brand_es", "comentario_privado", ref, f"hi {k}", "op")], live.ACCEPTED).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        table("messages", dict(id=k, channel="comentario", message_id=said)).coalesce(1).write.mode("append").parquet(f"{folder}/messages")
+        outbox(spark, folder)
+    assert rows(live.outbox_actions(spark, folder)[1], "seq", "ref", "error") == [(1, "2" * 17, "comment_missing"), (7, "3" * 17, "comment_missing")]
+
+
+def test_tables_as_streams_are_the_tables(spark, rows):
+    folder, inbox = workspace(spark), Inbox(spark, FOLDER)
+    streams = Streams(spark, FOLDER, f"{folder}/in", {"events": "ts", "conversations": "conv_id", "customer": "-c_custkey"}, 6, 2)
+    for name in ("messages", "actions_reply", "reply_queue"):
+        sink = getattr(streams, name).writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/at-{name}")
+        query = sink.trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert len(query.recentProgress) > 2
+        expected = getattr(inbox, name)
+        assert rows(spark.read.schema(expected.schema).parquet(f"{folder}/{name}")) == rows(expected)
+    assert with_column(folder + "/in", "text") == {"conversations"}
