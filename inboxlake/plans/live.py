@@ -7,34 +7,24 @@ from inboxlake.plans.actions import CHECKED, FIRST_ID
 from inboxlake.plans.registry import ORACLES, query
 from inboxlake.plans.threads import KEYS, WAITING
 from inboxlake.sources.derived import AS_OF, Streams
-from inboxlake.sources.tables import SCHEMAS, workspace
+from inboxlake.sources.tables import workspace
 from inboxlake.streaming import live
 
 #: Micro-batches of a table, and files that a batch reads (and tasks that write them).
 FILES, TASKS = 4, 8
 
 
-def as_files(rows, folder: str, order: str) -> None:
-    """A table written as files in ranges of ``order``."""
-    rows.repartitionByRange(FILES * TASKS, order).write.parquet(folder)
-
-
-def as_stream(spark, folder: str, schema: str):
-    """Files as a stream in micro-batches."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", TASKS).parquet(folder)
+def streams(t, folder: str, **orders: str) -> Streams:
+    """The tables as streams, which come in the order of a column each."""
+    return Streams(t.spark, t.folder, f"{folder}/in", orders, FILES * TASKS, TASKS)
 
 
 @query("S01_live_threads", WAITING + f" select {KEYS}, author, last_in, last_out, waiting_since, n_unanswered, n_media, categories, last_message_id from waiting")
 def _(t):
     folder = workspace(t.spark)
-    streams = [
-        lambda: as_stream(t.spark, f"{folder}/in/messages", SCHEMAS["messages"]),
-        lambda: as_stream(t.spark, f"{folder}/in/queue", SCHEMAS["reply_queue"]),
-    ]
-    as_files(t.messages, f"{folder}/in/messages", "created_at")
-    as_files(t.reply_queue, f"{folder}/in/queue", "created_at")
-    live.start_lookup(*[s() for s in streams], folder, availableNow=True).awaitTermination()
-    live.start_threads(*[s() for s in streams], folder, availableNow=True).awaitTermination()
+    said = streams(t, folder, events="ts", conversations="-(conv_id % 40)", customer="-(c_custkey % 240)")
+    live.start_lookup(said.messages, said.reply_queue, folder, availableNow=True).awaitTermination()
+    live.start_threads(said.messages, said.reply_queue, folder, availableNow=True).awaitTermination()
     return live.current_threads(t.spark, folder, AS_OF).select(
         *THREAD, "author", "last_in", "last_out", "waiting_since", "n_unanswered", "n_media", "categories", "last_message_id"
     )
@@ -42,7 +32,7 @@ def _(t):
 
 def _outbox(t) -> str:
     folder = workspace(t.spark)
-    said = Streams(t.spark, t.folder, f"{folder}/in", {"events": "event_id", "conversations": "conv_id"}, FILES * TASKS, TASKS)
+    said = streams(t, folder, events="event_id", conversations="conv_id")
     live.start_outbox(said.actions_reply, said.messages, folder, availableNow=True).awaitTermination()
     return folder
 

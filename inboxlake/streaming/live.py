@@ -27,6 +27,8 @@ RESOLVED = "author_id string, brand string, channel string, sent_at timestamp"
 #: Parts that one thread's day is split into.
 SALTS = 8
 PART = [*THREAD, "day", "salt"]
+#: Buckets of parts go by day, as a batch has events of few days: parts of other days are not written again.
+BUCKET = ["day"]
 #: A part of a thread: newest outbound message and send, names with the time they were last seen, the newest inbound, and all inbound
 #: messages that the part does not know to be answered.
 PARTS = (
@@ -105,13 +107,14 @@ def _said(events: DataFrame, batch: int) -> DataFrame:
     """The parts that the events of a batch make, without texts."""
     kind, at = F.col("kind"), F.col("micros")
     inbound = kind == "in"
-    return events.groupBy(*PART).agg(
+    parts = events.groupBy(*PART).agg(
         F.max(F.when(kind == "out", at)).alias("out"),
         F.max(F.when(kind == "send", at)).alias("sent"),
         F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", at.alias("at")))).alias("names"),
         F.max(F.when(inbound, F.struct(at.alias("at"), "id", "message_id"))).alias("last"),
         F.collect_list(F.when(inbound, F.struct(at.alias("at"), "id", "media", "category", F.lit(batch).cast("long").alias("batch")))).alias("open"),
     )
+    return parts.withColumn("names", _newest_names(F.col("names")))
 
 
 def _newest_names(names: Column) -> Column:
@@ -154,7 +157,7 @@ def start_threads(messages: DataFrame, reply_queue: DataFrame, folder: str, days
         return newest.select(F.unix_micros(F.timestamp_micros(F.max("newest")) - F.expr(f"interval {late}"))).first()[0]
 
     def run(rows: DataFrame, batch: int) -> None:
-        rows.select(*columns).write.mode("overwrite").parquet(f"{folder}/events/batch={batch}")
+        rows.select(*columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/events/batch={batch}")
         read = spark.read.schema(EVENTS).parquet(f"{folder}/events/batch={batch}")
         seen = [spark.read.schema("newest bigint").parquet(f"{folder}/newest/batch={k}") for k in (batch - 1,) if k >= 0]
         before = clock(seen[0]) if seen else None
@@ -185,10 +188,10 @@ def start_threads(messages: DataFrame, reply_queue: DataFrame, folder: str, days
             return parts.where(F.col("sent").isNotNull() | F.col("last").isNotNull() | (F.size("names") > 0) | F.col("out").isNotNull())
 
         ended = old.where(over & ((F.size("open") > 0) | (F.size("names") > 0) | F.col("last").isNotNull()))
-        snapshots.update(spark, path, schema, PART, new.select(*PART).unionByName(ended.select(*PART)), apply, f"{folder}/steps")
+        snapshots.update(spark, path, schema, BUCKET, new.select(*BUCKET).unionByName(ended.select(*BUCKET)), apply, f"{folder}/steps")
 
     try:
-        snapshots.create(spark.createDataFrame([], schema), path, PART)
+        snapshots.create(spark.createDataFrame([], schema), path, BUCKET)
     except Exception as e:
         if "PATH_ALREADY_EXISTS" not in str(e):
             raise

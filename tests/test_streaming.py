@@ -232,3 +232,19 @@ def test_tables_as_streams_are_the_tables(spark, rows):
         expected = getattr(inbox, name)
         assert rows(spark.read.schema(expected.schema).parquet(f"{folder}/{name}")) == rows(expected)
     assert with_column(folder + "/in", "text") == {"conversations"}
+
+
+def test_a_batch_writes_the_days_it_has(spark, table):
+    """Parts of earlier days are left as they are, and names are told once a part."""
+    folder = workspace(spark)
+    table("reply_queue").write.parquet(f"{folder}/in/queue")
+    written = []
+    for k in range(2):
+        some = [dict(id=100 * k + i, brand="brand_es", channel="dm", author_id=f"a{i}", author="Ann", direction="entrada", text="x", created_at=NOW - datetime.timedelta(days=5 - k, hours=2, minutes=i)) for i in range(60)]
+        table("messages", *some).coalesce(1).write.mode("append").parquet(f"{folder}/in/messages")
+        run_threads(spark, folder)
+        files = sorted(Path(f"{folder}/threads".removeprefix("file://")).rglob("*.parquet"))
+        written.append({p: p.stat().st_mtime_ns for p in files if pq.read_table(p, columns=["is_row"])["is_row"].to_pylist().count(True)})
+    assert written[0] and written[0].items() <= written[1].items() and len(written[1]) > len(written[0])
+    twice = [("a", "brand_es", "dm", NOW, i, "Ann", "x", "in", False, "A", None, 10**15 + i, 11574, 0) for i in range(2)]
+    assert live._said(spark.createDataFrame(twice, live.EVENTS), 0).selectExpr("size(names)").first()[0] == 1
