@@ -55,6 +55,14 @@ def test_pairs_of_one_key_are_dealt(spark):
     assert "_a" in plan(pairs) and "_b" in plan(pairs)
 
 
+def test_pairs_of_short_rows_stay_in_many_tasks(spark):
+    """What comes in is small, so adaptive execution would make one task of it."""
+    left, right = spark.range(300).selectExpr("string(id % 1) as k", "id as l"), spark.range(200).selectExpr("string(id % 1) as k", "id as r")
+    pairs = spread_pairs(left, right, ["k"], "l", "r", side=4)
+    sizes = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 60_000
+
+
 def test_only_named_items_are_paired(spark, table, rows):
     items = table("items", *[dict(id=i, brand="b", title=f"t{i}", bucket="k", file="f", active=True, section="principal", position=i % 3) for i in range(50)])
     decided = spark.createDataFrame([("all", "b", None), ("some", "b", [3, 3, None, 99]), ("none", "b", [])], "request_key string, brand string, item_ids array<bigint>")
