@@ -63,6 +63,20 @@ def test_pairs_of_short_rows_stay_in_many_tasks(spark):
     assert len(sizes) > 4 and sum(r["count"] for r in sizes) == 60_000
 
 
+def test_file_of_some_columns(spark, inbox, rows):
+    keyed = customer.customer_requests(inbox.requests)
+    states = customer.newest_state(keyed, inbox.case_state)
+    emails = customer.known_emails(keyed, states, inbox.refunds, inbox.messages)
+    refs = customer.reply_refs(keyed, inbox.messages)
+    parts = {"refunds": customer.customer_refunds(keyed, emails, inbox.refunds), "queue": customer.customer_queue(refs, inbox.reply_queue), "state": states}
+    whole = customer.customer_file(keyed, parts, AS_OF)
+    some = customer.customer_file(keyed, parts, AS_OF, {"refunds": ("id",), "queue": ("ref",), "state": ("state",)})
+    shown = ["author_id", "brand", "refunds.id", "queue.ref", "state.state"]
+    assert rows(some.select(*shown)) == rows(whole.select(*shown))
+    assert some.select(F.explode("queue").alias("q")).select("q.*").columns == ["ref"]
+    assert "reply " in plan(whole) and "reply " not in plan(some)  # the texts of replies are not made
+
+
 def test_only_named_items_are_paired(spark, table, rows):
     items = table("items", *[dict(id=i, brand="b", title=f"t{i}", bucket="k", file="f", active=True, section="principal", position=i % 3) for i in range(50)])
     decided = spark.createDataFrame([("all", "b", None), ("some", "b", [3, 3, None, 99]), ("none", "b", [])], "request_key string, brand string, item_ids array<bigint>")
