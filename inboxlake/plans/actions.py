@@ -13,6 +13,7 @@ from inboxlake.plans.customer import BOUGHT, Parts
 from inboxlake.plans.delivery import DECIDED, PARTS, TRIMMED, Sends
 from inboxlake.plans.registry import NOW, query
 from inboxlake.sources.derived import AS_OF
+from inboxlake.sources.tables import in_slices, of_slice, slices_for, workspace
 
 FIRST_ID = 9_000_000_000_000  # ids of added rows start here
 
@@ -390,7 +391,18 @@ select m.id, coalesce(w.pt, m.text_pt) as text_pt from messages m left join whol
 )
 def _(t):
     pending = translation_backlog(t.messages).filter("not done")
-    return op.write_translations(t.messages, pending, t.translated).select("id", "text_pt")
+    return _written(t, pending, t.translated)
+
+
+def _written(t, pending, translated):
+    """Texts meet by id in slices of the ids, so that they are not all shuffled at a time."""
+    n = slices_for(t.messages)
+
+    def write(k):
+        rows = (table.where(of_slice("id", k, n)) for table in (t.messages, pending, translated))
+        return op.write_translations(*rows).select("id", "text_pt")
+
+    return in_slices(write, n, workspace(t.spark), "written")
 
 
 @query(
@@ -402,7 +414,7 @@ def _(t):
     """A translation that gives every part back as it is: texts must come back whole."""
     pending = translation_backlog(t.messages).filter("not done")
     made = pending.select(F.lit(1).cast("long").alias("seq"), "id", "part", F.col("text").alias("pt"))
-    return op.write_translations(t.messages, pending, made).select("id", "text_pt")
+    return _written(t, pending, made)
 
 
 @query(
