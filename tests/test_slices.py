@@ -35,7 +35,7 @@ def test_every_row_has_one_slice(spark):
     assert sum(sizes) == 1000 and min(sizes) > 100
 
 
-@pytest.mark.parametrize("name", ["E14_identity_translation", "E14_translation_write_back", "F14_summary_transcript", "F24_summary_case"])
+@pytest.mark.parametrize("name", ["E14_identity_translation", "E14_translation_write_back", "F14_summary_transcript", "F19_case_context", "F24_summary_case"])
 def test_slices_give_the_same_rows(spark, rows, monkeypatch, name):
     whole = rows(QUERIES[name](spark, FOLDER))
     monkeypatch.setattr(tables, "SLICE_ROWS", 500)
